@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
-from .common import read
+from . import bpe, mixing
+from .common import read, saved
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +21,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
     out = bpe.decode(ids)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = saved(read(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "mix-sizes")
+    out = mixing.mix(sized, mixing.plan_mix(sized))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
