@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing
+from . import bpe, mixing, pii
 from .common import read, saved
 
 QUERIES: dict = {}
@@ -16,6 +16,14 @@ def query(f):
     return f
 
 
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(read(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "pii")
+    count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
