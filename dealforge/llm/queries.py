@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, pii
+from . import bpe, mixing, pii, quality
 from .common import read, saved
 
 QUERIES: dict = {}
@@ -36,3 +36,9 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = saved(read(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "mix-sizes")
     out = mixing.mix(sized, mixing.plan_mix(sized))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.assess(read(spark, sf_dir, "documents", "doc_id", "text", "lang"), keep=["doc_id", "lang"])
+    return out.select("doc_id", *quality.COUNTS, "base_failed", "kept", "lang", "log_ppl")
