@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, pii, quality
+from . import bpe, chat, language, mixing, pii, quality
 from .common import read, saved
 
 QUERIES: dict = {}
@@ -42,3 +42,21 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.assess(read(spark, sf_dir, "documents", "doc_id", "text", "lang"), keep=["doc_id", "lang"])
     return out.select("doc_id", *quality.COUNTS, "base_failed", "kept", "lang", "log_ppl")
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by all four kinds of evidence; documents by their text and their source as host."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    page = read(spark, sf_dir, "pages", "page_id", "url", "html")
+    nothing = F.lit(None).cast("string")
+    page = page.select(F.lit(None).cast("bigint").alias("doc_id"), "page_id", language.visible_text(F.col("html")).alias("text"), language.host(F.col("url")).alias("host"), language.declared(F.col("html")).alias("declared"))
+    page = page.withColumn("suffix", language.suffix(F.col("host")))
+    rows = page.unionByName(docs.select("doc_id", F.lit(None).cast("bigint").alias("page_id"), "text", F.concat(F.lit("source:"), "source").alias("host"), nothing.alias("declared"), nothing.alias("suffix")))
+    return language.identify(rows, language.train(docs), keep=["doc_id", "page_id"])
+
+
+@query
+def op8_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return chat.preference_rows(*chat.swapped_replies(turns))
