@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, language, mixing, pii, quality
+from . import bpe, chat, jaccard, language, mixing, pii, quality
 from .common import read, saved
 
 QUERIES: dict = {}
@@ -38,6 +38,12 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@query
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.link_components(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.assess(read(spark, sf_dir, "documents", "doc_id", "text", "lang"), keep=["doc_id", "lang"])
