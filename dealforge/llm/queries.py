@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, jaccard, language, mixing, pii, quality
+from . import bpe, chat, embeddings, jaccard, language, mixing, pii, quality
 from .common import read, saved
 
 QUERIES: dict = {}
@@ -24,6 +24,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
 
 
+@query
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embeddings.near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
