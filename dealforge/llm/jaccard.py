@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import map_batches, mix64, saved, texts
 from .graph import components
+from .wordhash import word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -42,47 +43,9 @@ QUERY_ITEMS, INDEX_ITEMS = 100_000, 500_000
 BROADCAST_IDS = 1_000_000
 MU = 0.01
 
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-BLANK = np.zeros(256, dtype=bool)
-BLANK[[32, *range(9, 14)]] = True
-BASE = 0x9E3779B97F4A7C15
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2 ** 64."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 1 << 17)
-            for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-                p = np.full(n, base, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.cumprod(p, dtype=np.uint64))
-
-
-POWERS = _Powers()
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word of a text, A-Z lower-cased."""
-    b = LOWER[np.frombuffer(text.encode(), np.uint8)]
-    if not len(b):
-        return np.zeros(0, np.uint64)
-    inside = np.concatenate([[False], ~BLANK[b], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edges[::2], edges[1::2]
-    POWERS.to(len(b) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * POWERS.up[: len(b)], dtype=np.uint64)])
-    return mix64((sums[end] - sums[start]) * POWERS.down[start] + (end - start).astype(np.uint64))
-
-
 def shingles(text: str, size: int = WORDS) -> np.ndarray:
     """The sorted distinct shingle hashes of a text, as signed integers."""
-    w = word_hashes(text)
+    w = word_hashes(text)[0]
     if not len(w):
         return np.zeros(0, np.int64)
     k = min(size, len(w))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, embeddings, jaccard, language, mixing, pii, quality
+from . import bpe, brown, chat, embeddings, jaccard, language, mixing, pii, quality
 from .common import read, saved
 
 QUERIES: dict = {}
@@ -16,6 +16,12 @@ def query(f):
     return f
 
 
+@query
+def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = brown.score_corpus(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(read(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "pii")
