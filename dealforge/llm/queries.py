@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, brown, chat, embeddings, jaccard, language, mixing, pii, quality
+from . import bpe, brown, chat, embeddings, jaccard, language, mixing, pii, quality, repeats
 from .common import read, saved
 
 QUERIES: dict = {}
@@ -16,6 +16,12 @@ def query(f):
     return f
 
 
+@query
+def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = brown.score_corpus(read(spark, sf_dir, "documents", "doc_id", "text"))
