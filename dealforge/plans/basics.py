@@ -172,9 +172,10 @@ def bounds_sql(source: str, value: str = "price_millions", k: float = 2.5) -> st
     return f", src as (select *, {value} as _v from {source})" + BOUNDS.replace("price_millions as v", "_v as v").replace("{k}", str(k))
 
 
-@register("D1_year_bounds", f"{WITH}, sparse as (select * from deals where {SPARSE}) {bounds_sql('sparse')} select * from bounds")
+@register("D1_year_bounds", f"{WITH}, sparse as (select * from deals where {SPARSE}) {bounds_sql('sparse')} select year, width, rows, round(low, 6) as low, round(high, 6) as high from bounds")
 def d1_bounds(spark, sf_dir):
-    return outliers.year_bounds(deals(spark, sf_dir).where(SPARSE))
+    b = outliers.year_bounds(deals(spark, sf_dir).where(SPARSE))
+    return b.select("year", "width", "rows", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @register("D1_trim_by_year", f"{WITH} {bounds_sql('deals')} select record_id, price_millions from deals left join bounds on deal_year = year where price_millions is null or year is null or price_millions between low and high")
