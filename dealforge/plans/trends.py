@@ -123,7 +123,7 @@ def e9(spark, sf_dir):
 
 @register("E10_segment_premium", f"{WITH} {BANDED}, v as (select *, {PER_M2} as v from banded), y as (select deal_year, median(v) as mid, count(*) as ny from v where v is not null group by 1), r as (select v.*, case when ny >= 5 then v / mid end as ratio from v left join y using (deal_year)), l as ("
           + " union all ".join(f"select v, ratio, '{d}' as dimension, band_{d} as label from r" for d in segments.DIMENSIONS)
-          + ") select dimension, label, count(*) as deals, count(v) as valid_prices, round(quantile_cont(v, 0.25), 6) as p25, round(quantile_cont(v, 0.5), 6) as median, round(quantile_cont(v, 0.75), 6) as p75, case when count(ratio) >= 10 then round_even((median(ratio) - 1) * 100, 1) end as premium_pct, count(v) < 10 as low_sample from l group by 1, 2")
+          + ") select dimension, label, count(*) as deals, count(v) as valid_prices, round(quantile_cont(v, 0.25), 6) as p25, round(quantile_cont(v, 0.5), 6) as median, round(quantile_cont(v, 0.75), 6) as p75, case when count(ratio) >= 10 then round_even((median(ratio) - 1) * 100, 1) + 0.0 end as premium_pct, count(v) < 10 as low_sample from l group by 1, 2")
 def e10(spark, sf_dir):
     return segments.segment_premium(deals(spark, sf_dir))
 
