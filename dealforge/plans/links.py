@@ -93,15 +93,19 @@ def b16(spark, sf_dir):
 
 @register("B18_transform_raw2", f"{WITH} select record_id, {KEY} as gush_code, deal_date, round(price_millions, 9) as price_millions, area, case when rooms > 0 then rooms end as rooms, case when build_year > 0 then build_year end as build_year, sale_portion from deals")
 def b18(spark, sf_dir):
-    d = deals(spark, sf_dir)
+    out = tables.transform_raw2(second_raw(deals(spark, sf_dir)))
+    return out.select("record_id", "gush_code", "deal_date", F.round("price_millions", 9).alias("price_millions"), "area", "rooms", "build_year", "sale_portion")
+
+
+def second_raw(d):
+    """Deals as the second source's raw texts."""
     p = F.split("gush_code", "-")
     s = lambda c: F.col(c).cast("string")
-    raw = d.select(
+    return d.select(
         F.col("record_id").alias("source_id"), F.col("city").alias("settlement"), F.lit("1").alias("settlement_code"), p[0].alias("gush"), p[1].alias("chelka"), p[2].alias("sub_chelka"), F.date_format("deal_date", "dd/MM/yyyy").alias("deal_date"),
         (F.col("price_millions") * 1e6).cast("string").alias("deal_amount"), F.lit("").alias("declared_amount"), F.col("apt_type").alias("deal_nature"), s("sale_portion").alias("portion"), s("build_year").alias("year_built"), s("area").alias("asset_area"),
         s("rooms").alias("room_num"), F.lit("2026-01-02T03:04:05Z").alias("scraped_at"), F.lit(5).alias("source_version"), F.lit("f.csv").alias("source_file"), F.lit(2).alias("source_row"),
     )
-    return tables.transform_raw2(raw).select("record_id", "gush_code", "deal_date", F.round("price_millions", 9).alias("price_millions"), "area", "rooms", "build_year", "sale_portion")
 
 
 STRICT = f""", ck as (select *, {KEY} as k from deals), lk as (select *, {KEY} as k from legacy),
