@@ -83,10 +83,8 @@ def story(**fields: Col) -> Column:
 
 def cadastral_key(code: Col) -> Column:
     """``block-parcel-unit`` without leading zeros, or null unless all three are positive integers."""
-    parts = F.split(_c(code), "-", -1)
-    ns = [num(F.try_element_at(parts, F.lit(i))) for i in (1, 2, 3)]
-    ok = [(n > 0) & (n % 1 == 0) for n in ns]
-    return F.when(ok[0] & ok[1] & ok[2], F.concat_ws("-", *[n.cast("long").cast("string") for n in ns]))
+    plain = F.regexp_replace(_c(code), r"\s|\.0*(?=-|$)", "")
+    return F.when(F.regexp_like(plain, F.lit("^0*[1-9][0-9]*(?:-0*[1-9][0-9]*){2}$")), F.regexp_replace(plain, "(?<![0-9])0+", ""))
 
 
 def quality_flags(**missing: Col) -> Column:
