@@ -82,48 +82,66 @@ def _signature(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _dealt(part: np.ndarray, parts: int, *cols: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
+    """The numbers of the parts that have rows, and each column packed by part."""
+    by = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[by], np.arange(parts + 1))
+    full = np.flatnonzero(np.diff(ends))
+    return full, [[c[by][ends[p] : ends[p + 1]].tobytes() for p in full] for c in cols]
+
+
+def _unpacked(batches, *cols: str) -> list[np.ndarray]:
+    got: list[list[np.ndarray]] = [[] for _ in cols]
+    for b in batches:
+        for held, c in zip(got, cols, strict=True):
+            held += [np.frombuffer(x, np.int64) for x in b.column(c).to_pylist()]
+    return [np.concatenate(g) if g else np.zeros(0, np.int64) for g in got]
+
+
+PACKED = "part int, reps binary, items binary"
+
+
 def shared_items(sets: DataFrame, items: str) -> DataFrame:
     """``(rep, shared)``: how many of a set's items some other set has too.
 
-    Items are dealt out by their hash in packed blocks, so that a shuffled row carries many.
+    Items are dealt out by their hash in packed blocks, so that a shuffled row carries many; the
+    counts go back to their sets the same way.
     """
-    parts = 4 * max(16, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * max(16, n)
+
+    def record(full, reps, held):
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(reps, pa.binary()), pa.array(held, pa.binary())], names=["part", "reps", "items"])
 
     def pack(batches):
         for b in batches:
             col = b.column("items")
             flat = col.flatten().to_numpy(zero_copy_only=False)
             reps = np.repeat(b.column("rep").to_numpy(zero_copy_only=False), np.diff(col.offsets.to_numpy()))
-            part = (mix64(flat.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-            by = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[by], np.arange(parts + 1))
-            flat, reps = flat[by], reps[by]
-            full = np.flatnonzero(np.diff(ends))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full.astype(np.int32)), pa.array([reps[ends[p] : ends[p + 1]].tobytes() for p in full], pa.binary()), pa.array([flat[ends[p] : ends[p + 1]].tobytes() for p in full], pa.binary())],
-                names=["part", "reps", "items"],
-            )
+            full, cut = _dealt((mix64(flat.view(np.uint64)) % np.uint64(parts)).astype(np.int64), parts, reps, flat)
+            yield record(full, *cut)
 
     def count(batches):
-        reps, flat = [], []
-        for b in batches:
-            reps += [np.frombuffer(x, np.int64) for x in b.column("reps").to_pylist()]
-            flat += [np.frombuffer(x, np.int64) for x in b.column("items").to_pylist()]
-        if not reps:
-            return
-        r, f = np.concatenate(reps), np.concatenate(flat)
+        r, f = _unpacked(batches, "reps", "items")
         by = np.argsort(f)
         f, r = f[by], r[by]
         same = f[1:] == f[:-1]
-        twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        ids, n = np.unique(r[twice], return_counts=True)
+        twice = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(f) else np.zeros(0, bool)
+        ids, k = np.unique(r[twice], return_counts=True)
+        if len(ids):
+            full, cut = _dealt((mix64(ids.view(np.uint64)) % np.uint64(n)).astype(np.int64), n, ids, k)
+            yield record(full, *cut)
+
+    def add(batches):
+        r, k = _unpacked(batches, "reps", "items")
+        ids, at = np.unique(r, return_inverse=True)
+        total = np.bincount(at, k, len(ids)).astype(np.int64)
         for i in range(0, len(ids), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 100_000]), pa.array(n[i : i + 100_000])], names=["rep", "shared"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 100_000]), pa.array(total[i : i + 100_000])], names=["rep", "shared"])
 
-    packed = sets.select("rep", F.col(items).alias("items")).mapInArrow(pack, "part int, reps binary, items binary")
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = packed.repartition(n, "part").mapInArrow(count, "rep bigint, shared bigint")
-    return found.groupBy("rep").agg(F.sum("shared").alias("shared"))
+    packed = sets.select("rep", F.col(items).alias("items")).mapInArrow(pack, PACKED)
+    counted = packed.repartition(n, "part").mapInArrow(count, PACKED)
+    return counted.repartition(n, "part").mapInArrow(add, "rep bigint, shared bigint")
 
 
 def _semi(df: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
