@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, brown, chat, embeddings, jaccard, language, mixing, pii, quality, repeats
+from . import bpe, brown, chat, embeddings, jaccard, language, mixing, oracles, pii, quality, repeats
 from .common import read, saved
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
 
 
 def query(f):
