@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import mix64, saved, texts
+from .common import mix64, pieces, saved, texts
 from .wordhash import word_hashes
 
 UNIT_SHARE = 1e-4
+#: At most ``UNIT_SHARE``, so that every unit's count is known everywhere.
 KNOWN_SHARE = 5e-7
 CLASSES = 48
 SWEEPS = 8
@@ -206,7 +207,13 @@ def _pack(part: np.ndarray, parts: int, *cols: np.ndarray):
     by = np.argsort(part, kind="stable")
     ends = np.searchsorted(part[by], np.arange(parts + 1))
     full = np.flatnonzero(np.diff(ends))
-    return full, [[c[by][ends[p] : ends[p + 1]].tobytes() for p in full] for c in cols]
+    return full, [[c[ends[p] : ends[p + 1]].tobytes() for p in full] for c in (x[by] for x in cols)]
+
+
+def _sums(key: np.ndarray, *cols: np.ndarray) -> list[np.ndarray]:
+    """The distinct keys and each column's sums by key."""
+    one, at = np.unique(key, return_inverse=True)
+    return [one, *[np.bincount(at, c, len(one)) for c in cols]]
 
 
 ROWS = "part int, row bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, ids binary, hs binary, ns binary, shapes binary"
@@ -217,12 +224,12 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_i
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = 4 * max(16, n_parts)
+    parts = 2 * max(16, n_parts)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         task, rows = TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in pieces(batches):
             m = shared.value
             base, got, known_n, token_n, rare = [], [], [], [], []
             for i, t in enumerate(texts(b, "text")):
@@ -283,16 +290,23 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_i
             wh, wn = wh[by], wn[by]
             at = np.minimum(np.searchsorted(wh, h), len(wh) - 1)
             n = np.where(wh[at] == h, wn[at], 0)
-        row, inv = np.unique(ids, return_inverse=True)
-        sums = [np.bincount(inv, x, len(row)) for x in (n > 0, m.base(n), m.within(n, shape))]
+        row, k, b, s = _sums(ids, n > 0, m.base(n), m.within(n, shape))
+        full, cut = _pack((mix64(row.view(np.uint64)) % np.uint64(n_parts)).astype(np.int64), n_parts, row, k, b, s)
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array(c, pa.binary()) for c in cut]], names=["part", "rows", "ks", "bs", "ss"])
+
+    def add(batches):
+        got = [[np.frombuffer(x, t) for x, t in zip(row, (np.int64, float, float, float), strict=True)] for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("rows", "ks", "bs", "ss")), strict=True)]
+        if not got:
+            return
+        row, k, b, s = _sums(*(np.concatenate(x) for x in zip(*got, strict=True)))
         for i in range(0, len(row), 100_000):
             j = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(row[j]), pa.array(sums[0][j].astype(np.int64)), pa.array(sums[1][j]), pa.array(sums[2][j])], names=["row", "k", "b", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(row[j]), pa.array(k[j].astype(np.int64)), pa.array(b[j]), pa.array(s[j])], names=["row", "k", "b", "s"])
 
     rarer = counts.where(F.col("n") < KNOWN_SHARE * model.total).select("h", "n").mapInArrow(file, "part int, ids binary, hs binary, ns binary, shapes binary")
     packed = out.where("part is not null").select("part", "ids", "hs", "ns", "shapes").unionByName(rarer)
-    more = packed.repartition(n_parts, "part").mapInArrow(meet, "row bigint, k bigint, b double, s double")
-    more = more.groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
+    more = packed.repartition(n_parts, "part").mapInArrow(meet, "part int, rows binary, ks binary, bs binary, ss binary")
+    more = more.repartition(n_parts, "part").mapInArrow(add, "row bigint, k bigint, b double, s double")
     rows = out.where("part is null").join(more, "row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return rows.select(id_col, "held_out", "n_tokens", plus("n_known", "k").alias("n_known"), plus("base", "b").alias("base_score"), plus("score", "s").alias("score"))

@@ -62,6 +62,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in drop])
 
 
+def pieces(batches, rows: int = 2_000):
+    """Record batches of at most ``rows`` rows, so that what a task holds in Python stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def map_batches(df: DataFrame, make, new: list[tuple[str, str]], keep: list[str] | None = None) -> DataFrame:
     """Add the columns that ``make(batch) -> dict`` computes from each Arrow batch.
 
@@ -73,7 +80,7 @@ def map_batches(df: DataFrame, make, new: list[tuple[str, str]], keep: list[str]
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [f"`{n}` {t}" for n, t in new])
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             got = make(b)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [got[n] for n, _ in new], names=kept + [n for n, _ in new])
 
