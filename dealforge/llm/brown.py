@@ -141,7 +141,8 @@ def exchange(first: np.ndarray, second: np.ndarray, n: np.ndarray, classes: int,
             diag = np.diag(table)
             gain = (_xlogx(table + right) - _xlogx(table)).sum(1) + (_xlogx(table + left[:, None]) - _xlogx(table)).sum(0)
             gain += _xlogx(diag + right + left + own) - _xlogx(diag + right) - _xlogx(diag + left) + _xlogx(diag)
-            rows, cols = table.sum(1), table.sum(0)
+            # whatever class the unit joins, its neighbours' rows and columns hold the bigrams with it
+            rows, cols = table.sum(1) + left, table.sum(0) + right
             gain -= _xlogx(rows + right.sum() + own) - _xlogx(rows) + _xlogx(cols + left.sum() + own) - _xlogx(cols)
             new = int(gain.argmax())
             if gain[new] <= gain[old] + 1e-9:
