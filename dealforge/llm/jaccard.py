@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import map_batches, mix64, saved, texts
+from .common import map_batches, mix64, pieces, saved, texts
 from .graph import components
 from .wordhash import word_hashes
 
@@ -87,7 +87,7 @@ def _dealt(part: np.ndarray, parts: int, *cols: np.ndarray) -> tuple[np.ndarray,
     by = np.argsort(part, kind="stable")
     ends = np.searchsorted(part[by], np.arange(parts + 1))
     full = np.flatnonzero(np.diff(ends))
-    return full, [[c[by][ends[p] : ends[p + 1]].tobytes() for p in full] for c in cols]
+    return full, [[c[ends[p] : ends[p + 1]].tobytes() for p in full] for c in (x[by] for x in cols)]
 
 
 def _unpacked(batches, *cols: str) -> list[np.ndarray]:
@@ -114,7 +114,7 @@ def shared_items(sets: DataFrame, items: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(reps, pa.binary()), pa.array(held, pa.binary())], names=["part", "reps", "items"])
 
     def pack(batches):
-        for b in batches:
+        for b in pieces(batches):
             col = b.column("items")
             flat = col.flatten().to_numpy(zero_copy_only=False)
             reps = np.repeat(b.column("rep").to_numpy(zero_copy_only=False), np.diff(col.offsets.to_numpy()))
@@ -153,7 +153,7 @@ def _search(percent: int):
     """Links of each query block within a block of its group, as a forest that spans them."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 1):
             for row in b.to_pylist():
                 out = search_block(row["queries"], row["members"], percent)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, mix64, saved, texts
+from .common import map_batches, mix64, pieces, saved, texts
 from .wordhash import POWERS
 
 LENGTH = 400
@@ -102,7 +102,7 @@ def _cut(part: np.ndarray, parts: int, *cols: np.ndarray):
     by = np.argsort(part, kind="stable")
     ends = np.searchsorted(part[by], np.arange(parts + 1))
     full = np.flatnonzero(np.diff(ends))
-    return full, [[c[by][ends[p] : ends[p + 1]].tobytes() for p in full] for c in cols]
+    return full, [[c[ends[p] : ends[p + 1]].tobytes() for p in full] for c in (x[by] for x in cols)]
 
 
 def _parts(df: DataFrame) -> tuple[int, int]:
@@ -141,7 +141,7 @@ def _spread(parts: int, table, length: int, gram: int, hot: int):
     """Blocks and strings of texts around recurring names; ``table`` is broadcast or null."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             blocks, strings = [], []
             for i, text in enumerate(texts(b, "text")):
                 raw = _bytes(text)
