@@ -39,8 +39,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed ids of each text, and whether they decode to it."""
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
-    whole = bpe.decode(ids).withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary"))
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), decoded_col="decoded")
+    whole = ids.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary"))
     return whole.select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import map_batches, texts
 
 #: Pieces that a worker remembers before it starts anew.
-MEMO = 300_000
+MEMO = 200_000
 #: The split pattern with Unicode's White_Space spelled out.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -107,15 +107,22 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
-def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", vocabulary: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Add ``ids_col`` (binary: packed ids) and ``n_tokens``; ``keep`` limits the columns carried on."""
+def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", vocabulary: str | None = None, keep: list[str] | None = None, decoded_col: str | None = None) -> DataFrame:
+    """Add ``ids_col`` (binary: packed ids) and ``n_tokens``; ``keep`` limits the columns carried on.
+
+    ``decoded_col`` asks for the bytes that the ids decode to, made by the same worker.
+    """
     path = vocabulary or default_vocabulary()
+    new = [(ids_col, "binary"), ("n_tokens", "bigint")] + ([(decoded_col, "binary")] if decoded_col else [])
 
     def make(b):
         packed = coder(path).encode(texts(b, text_col))
-        return {ids_col: pa.array(packed, pa.binary()), "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64())}
+        out = {ids_col: pa.array(packed, pa.binary()), "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64())}
+        if decoded_col:
+            out[decoded_col] = pa.array([coder(path).decode(p) for p in packed], pa.binary())
+        return out
 
-    return map_batches(df, make, [(ids_col, "binary"), ("n_tokens", "bigint")], keep)
+    return map_batches(df, make, new, keep)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabulary: str | None = None, keep: list[str] | None = None) -> DataFrame:
