@@ -21,43 +21,43 @@ KEY = "case when cast(split_part(gush_code, '-', 3) as int) > 0 then gush_code e
 ID = "record_id"
 
 
-def column_query(name: str, columns: dict, sql: str) -> None:
+def column_query(name: str, columns, sql: str) -> None:
     """A projection of the deals."""
 
     def q(spark, sf_dir):
-        return deals(spark, sf_dir).select(ID, *[c.alias(n) for n, c in columns.items()])
+        return deals(spark, sf_dir).select(ID, *[c.alias(n) for n, c in columns().items()])
 
     register(name, f"{WITH} select record_id, {sql} from deals")(q)
 
 
-column_query("B01_num", {"v": clean.num(F.concat(F.col("area").cast("string"), F.when(F.col("gush") == 2, "x").otherwise("")))}, "case when gush = 2 then null else area end as v")
-column_query("B02_parse_number", {"v": clean.parse_number(F.concat(F.lit("₪ 1,2"), F.col("gush").cast("int").cast("string"), F.lit(".5 NIS")))}, "cast('12' || cast(cast(gush as int) as varchar) || '.5' as double) as v")
-column_query("B03_parse_date", {"a": clean.parse_date(F.date_format("deal_date", "dd.MM.yyyy")), "b": clean.parse_date(F.date_format("deal_date", "dd/MM/yyyy")), "c": clean.parse_date(F.concat(F.lit("31/31/"), F.col("deal_year").cast("int")))}, "deal_date as a, deal_date as b, cast(null as date) as c")
-column_query("B04_clean_text", {"v": clean.clean_text(F.concat(F.lit("  "), F.when(F.col("roof") == "TRUE", F.col("street")).otherwise(" ")))}, "case when roof = 'TRUE' then street end as v")
-column_query("B05_city_name", {"v": clean.city_name("city", {"NATION_1": "First", "NATION_2": "Second"})}, "case city when 'NATION_1' then 'First' when 'NATION_2' then 'Second' else city end as v")
-column_query("B06_gush_of", {"v": clean.gush_of("gush_code")}, "gush as v")
-column_query("B09_first_nonempty", {"v": F.coalesce("roof", "apt_type")}, "coalesce(roof, apt_type) as v")
-column_query("B10_address", {"v": clean.address_of(F.when(F.col("roof").isNotNull(), F.col("street")), "city")}, "case when roof is null then city else street || ', ' || city end as v")
-column_query("B11_roof_flag", {"v": clean.roof_flag("apt_type", "street", "floor", F.col("floor") + 1, "build_floors", ["PROMO"], "red")}, "coalesce(apt_type = 'PROMO', false) or coalesce(contains(street, 'red'), false) or coalesce(floor = build_floors, false) or coalesce(floor + 1 = build_floors, false) as v")
-column_query("B12_new_project", {"v": clean.new_project_flag("roof", "build_year", "deal_year")}, "case when coalesce(roof = 'TRUE', false) or coalesce(build_year >= deal_year, false) then 'New Project' else '2nd hand' end as v")
-column_query("B13_building_age", {"v": clean.building_age("deal_year", F.when(F.col("gush") > 20, F.col("build_year")), "build_year")}, "deal_year - build_year as v")
-column_query("B14_source_key", {"v": clean.source_key(F.when(F.col("gush") > 5, F.lit("r")), F.when(F.col("gush") > 5, F.col("source_key")))}, "case when gush > 5 then 'r:' || source_key end as v")
-column_query("B15_story", {"v": clean.story(year="deal_year", type="apt_type", roof="roof")}, "'year: ' || cast(cast(deal_year as int) as varchar) || chr(10) || 'type: ' || apt_type || chr(10) || 'roof: ' || coalesce(roof, '-') as v")
-column_query("B17_cadastral_key", {"v": clean.cadastral_key(F.concat(F.lit("0"), F.col("gush_code")))}, f"{KEY} as v")
-column_query("B19_quality_flags", {"v": clean.quality_flags(missing_area="area", missing_rooms="rooms", missing_floor="floor", missing_roof="roof")}, "concat_ws(';', case when area is null then 'missing_area' end, case when rooms is null then 'missing_rooms' end, case when floor is null then 'missing_floor' end, case when roof is null then 'missing_roof' end) as v")
-column_query("B20_price_metrics", {k: clean.price_metric(k) for k in summary.KINDS}, f"price_millions as price, {PER_M2} as per_m2, {PER_ROOM} as per_room")
-column_query("B21_plausible_area", {"v": clean.plausible_area()}, f"{PLAUSIBLE} as v")
-column_query("B23_price_ils", {"v": clean.price_ils(F.when(F.col("gush") > 10, F.lit(5.0)), "price_millions")}, "case when gush > 10 then 5.0 else price_millions * 1e6 end as v")
-column_query("B24_display_address", {"v": clean.display_address(F.when(F.col("roof") == "TRUE", F.col("full_address")))}, "case when roof = 'TRUE' then full_address else street || ', ' || city end as v")
-column_query("B25_compact", {"v": clean.compact(F.col("gush") / 16)}, "round_even(gush / 16, 3) as v")
-column_query("B26_text_key", {"v": clean.text_key(F.concat(F.lit(" "), F.col("apt_type")))}, "lower(apt_type) as v")
-column_query("B27_gush_key", {"a": clean.gush_key("gush"), "b": clean.gush_key(F.concat(F.lit(" "), F.col("city")))}, "cast(cast(gush as int) as varchar) as a, lower(city) as b")
-column_query("B28_tri_state", {"v": clean.tri_state("roof")}, f"{TRI} as v")
-column_query("B31_place_key", {"v": clean.place_key(F.concat("city", F.lit("-A 'b\"")))}, "replace(lower(city), '-', '') || 'ab' as v")
-column_query("B32_suspect_flags", {"v": F.array_join(clean.suspect_flags(2001), ";")}, "concat_ws(';', case when rooms < 1 or rooms > 20 or (rooms * 2) % 1 <> 0 then 'rooms' end, case when area <= 0 or area > 1000 then 'area' end, case when build_year < 1800 or build_year > 2011 then 'build_year' end) as v")
-column_query("B07_floor_number", {"v": clean.floor_number(F.when(F.col("gush") < 10, F.concat(F.lit("floor "), F.col("floor").cast("int").cast("string"))).when(F.col("gush") < 20, F.lit("ground")).otherwise(F.col("floor").cast("int").cast("string")), {"ground": 0}, "floor")}, "case when gush < 10 then floor when gush < 20 then 0.0 else floor end as v")
-column_query("B08_high_floor", {"v": clean.high_floor(F.when(F.col("gush") < 10, F.lit("one and two")), {"one and two": 2}, "floor")}, "case when gush < 10 then 2.0 else floor end as v")
-column_query("B33_address_tokens", {"v": F.array_join(F.regexp_extract_all(clean.cased_address("full_address"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")}, "array_to_string(regexp_extract_all(lower(full_address), '[a-z0-9]+'), ' ') as v")
+column_query("B01_num", lambda: {"v": clean.num(F.concat(F.col("area").cast("string"), F.when(F.col("gush") == 2, "x").otherwise("")))}, "case when gush = 2 then null else area end as v")
+column_query("B02_parse_number", lambda: {"v": clean.parse_number(F.concat(F.lit("₪ 1,2"), F.col("gush").cast("int").cast("string"), F.lit(".5 NIS")))}, "cast('12' || cast(cast(gush as int) as varchar) || '.5' as double) as v")
+column_query("B03_parse_date", lambda: {"a": clean.parse_date(F.date_format("deal_date", "dd.MM.yyyy")), "b": clean.parse_date(F.date_format("deal_date", "dd/MM/yyyy")), "c": clean.parse_date(F.concat(F.lit("31/31/"), F.col("deal_year").cast("int")))}, "deal_date as a, deal_date as b, cast(null as date) as c")
+column_query("B04_clean_text", lambda: {"v": clean.clean_text(F.concat(F.lit("  "), F.when(F.col("roof") == "TRUE", F.col("street")).otherwise(" ")))}, "case when roof = 'TRUE' then street end as v")
+column_query("B05_city_name", lambda: {"v": clean.city_name("city", {"NATION_1": "First", "NATION_2": "Second"})}, "case city when 'NATION_1' then 'First' when 'NATION_2' then 'Second' else city end as v")
+column_query("B06_gush_of", lambda: {"v": clean.gush_of("gush_code")}, "gush as v")
+column_query("B09_first_nonempty", lambda: {"v": F.coalesce("roof", "apt_type")}, "coalesce(roof, apt_type) as v")
+column_query("B10_address", lambda: {"v": clean.address_of(F.when(F.col("roof").isNotNull(), F.col("street")), "city")}, "case when roof is null then city else street || ', ' || city end as v")
+column_query("B11_roof_flag", lambda: {"v": clean.roof_flag("apt_type", "street", "floor", F.col("floor") + 1, "build_floors", ["PROMO"], "red")}, "coalesce(apt_type = 'PROMO', false) or coalesce(contains(street, 'red'), false) or coalesce(floor = build_floors, false) or coalesce(floor + 1 = build_floors, false) as v")
+column_query("B12_new_project", lambda: {"v": clean.new_project_flag("roof", "build_year", "deal_year")}, "case when coalesce(roof = 'TRUE', false) or coalesce(build_year >= deal_year, false) then 'New Project' else '2nd hand' end as v")
+column_query("B13_building_age", lambda: {"v": clean.building_age("deal_year", F.when(F.col("gush") > 20, F.col("build_year")), "build_year")}, "deal_year - build_year as v")
+column_query("B14_source_key", lambda: {"v": clean.source_key(F.when(F.col("gush") > 5, F.lit("r")), F.when(F.col("gush") > 5, F.col("source_key")))}, "case when gush > 5 then 'r:' || source_key end as v")
+column_query("B15_story", lambda: {"v": clean.story(year="deal_year", type="apt_type", roof="roof")}, "'year: ' || cast(cast(deal_year as int) as varchar) || chr(10) || 'type: ' || apt_type || chr(10) || 'roof: ' || coalesce(roof, '-') as v")
+column_query("B17_cadastral_key", lambda: {"v": clean.cadastral_key(F.concat(F.lit("0"), F.col("gush_code")))}, f"{KEY} as v")
+column_query("B19_quality_flags", lambda: {"v": clean.quality_flags(missing_area="area", missing_rooms="rooms", missing_floor="floor", missing_roof="roof")}, "concat_ws(';', case when area is null then 'missing_area' end, case when rooms is null then 'missing_rooms' end, case when floor is null then 'missing_floor' end, case when roof is null then 'missing_roof' end) as v")
+column_query("B20_price_metrics", lambda: {k: clean.price_metric(k) for k in summary.KINDS}, f"price_millions as price, {PER_M2} as per_m2, {PER_ROOM} as per_room")
+column_query("B21_plausible_area", lambda: {"v": clean.plausible_area()}, f"{PLAUSIBLE} as v")
+column_query("B23_price_ils", lambda: {"v": clean.price_ils(F.when(F.col("gush") > 10, F.lit(5.0)), "price_millions")}, "case when gush > 10 then 5.0 else price_millions * 1e6 end as v")
+column_query("B24_display_address", lambda: {"v": clean.display_address(F.when(F.col("roof") == "TRUE", F.col("full_address")))}, "case when roof = 'TRUE' then full_address else street || ', ' || city end as v")
+column_query("B25_compact", lambda: {"v": clean.compact(F.col("gush") / 16)}, "round_even(gush / 16, 3) as v")
+column_query("B26_text_key", lambda: {"v": clean.text_key(F.concat(F.lit(" "), F.col("apt_type")))}, "lower(apt_type) as v")
+column_query("B27_gush_key", lambda: {"a": clean.gush_key("gush"), "b": clean.gush_key(F.concat(F.lit(" "), F.col("city")))}, "cast(cast(gush as int) as varchar) as a, lower(city) as b")
+column_query("B28_tri_state", lambda: {"v": clean.tri_state("roof")}, f"{TRI} as v")
+column_query("B31_place_key", lambda: {"v": clean.place_key(F.concat("city", F.lit("-A 'b\"")))}, "replace(lower(city), '-', '') || 'ab' as v")
+column_query("B32_suspect_flags", lambda: {"v": F.array_join(clean.suspect_flags(2001), ";")}, "concat_ws(';', case when rooms < 1 or rooms > 20 or (rooms * 2) % 1 <> 0 then 'rooms' end, case when area <= 0 or area > 1000 then 'area' end, case when build_year < 1800 or build_year > 2011 then 'build_year' end) as v")
+column_query("B07_floor_number", lambda: {"v": clean.floor_number(F.when(F.col("gush") < 10, F.concat(F.lit("floor "), F.col("floor").cast("int").cast("string"))).when(F.col("gush") < 20, F.lit("ground")).otherwise(F.col("floor").cast("int").cast("string")), {"ground": 0}, "floor")}, "case when gush < 10 then floor when gush < 20 then 0.0 else floor end as v")
+column_query("B08_high_floor", lambda: {"v": clean.high_floor(F.when(F.col("gush") < 10, F.lit("one and two")), {"one and two": 2}, "floor")}, "case when gush < 10 then 2.0 else floor end as v")
+column_query("B33_address_tokens", lambda: {"v": F.array_join(F.regexp_extract_all(clean.cased_address("full_address"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")}, "array_to_string(regexp_extract_all(lower(full_address), '[a-z0-9]+'), ' ') as v")
 
 
 @register("B22_with_metrics", f"{WITH} select record_id, deal_date, price_millions as price, {PER_M2} as per_m2, {PER_ROOM} as per_room from deals")
@@ -80,29 +80,29 @@ def b30(spark, sf_dir):
 
 
 FILTERS = {
-    "C01_text": (filters.in_text("city", [" nation_1", "NATION_7 "]), "lower(city) in ('nation_1', 'nation_7')"),
-    "C02_gush": (filters.in_gush(["7", 12.0]), "gush in (7, 12)"),
-    "C03_range": (filters.in_range("area", (30, 60)), "area between 30 and 60"),
-    "C04_floor": (filters.floor_ok((2, 5), False), "floor <> 999 and floor between 2 and 5"),
-    "C04_floor_unknown_kept": (filters.floor_ok((2, 5)), "floor between 2 and 5 or floor = 999 or floor is null"),
-    "C04_floor_known_only": (filters.floor_ok(None, False), "floor <> 999"),
-    "C05_rooms": (filters.rooms_ok([2, 3.5]), f"{HALF} in (2, 3.5) or not {KNOWN_ROOMS}"),
-    "C05_rooms_known": (filters.rooms_ok([2, 3.5], False), f"{KNOWN_ROOMS} and {HALF} in (2, 3.5)"),
-    "C06_per_m2": (filters.ppm_ok((10, 30)), f"({PER_M2}) between 10 and 30"),
-    "C07_build_year": (filters.build_year_ok((1950, 1980)), "build_year between 1950 and 1980 or build_year is null or build_year < 1900"),
-    "C08_age": (filters.age_ok((5, 25), False), "building_age <= 150 and building_age between 5 and 25"),
-    "C09_build_floors": (filters.build_floors_ok((5, 8)), "build_floors between 5 and 8 or build_floors = 999 or build_floors is null"),
-    "C10_roof": (filters.roof_ok("no"), f"coalesce(({TRI}) = false, false)"),
-    "C11_project": (filters.project_ok("yes"), "new_project = 'New Project'"),
-    "C12_address": (filters.address_ok("red 12"), "contains(lower(full_address), 'red') and regexp_matches(full_address, '(^|[^0-9])12($|[^0-9])')"),
-    "C14_share": (filters.share_ok("partial"), "sale_portion > 0 and sale_portion < 1"),
-    "C14_share_unknown": (filters.share_ok("unknown"), "sale_portion is null or sale_portion <= 0 or sale_portion > 1"),
-    "C15_complete": (filters.complete_ok("both"), "full_address is not null and floor <> 999"),
+    "C01_text": (lambda: filters.in_text("city", [" nation_1", "NATION_7 "]), "lower(city) in ('nation_1', 'nation_7')"),
+    "C02_gush": (lambda: filters.in_gush(["7", 12.0]), "gush in (7, 12)"),
+    "C03_range": (lambda: filters.in_range("area", (30, 60)), "area between 30 and 60"),
+    "C04_floor": (lambda: filters.floor_ok((2, 5), False), "floor <> 999 and floor between 2 and 5"),
+    "C04_floor_unknown_kept": (lambda: filters.floor_ok((2, 5)), "floor between 2 and 5 or floor = 999 or floor is null"),
+    "C04_floor_known_only": (lambda: filters.floor_ok(None, False), "floor <> 999"),
+    "C05_rooms": (lambda: filters.rooms_ok([2, 3.5]), f"{HALF} in (2, 3.5) or not {KNOWN_ROOMS}"),
+    "C05_rooms_known": (lambda: filters.rooms_ok([2, 3.5], False), f"{KNOWN_ROOMS} and {HALF} in (2, 3.5)"),
+    "C06_per_m2": (lambda: filters.ppm_ok((10, 30)), f"({PER_M2}) between 10 and 30"),
+    "C07_build_year": (lambda: filters.build_year_ok((1950, 1980)), "build_year between 1950 and 1980 or build_year is null or build_year < 1900"),
+    "C08_age": (lambda: filters.age_ok((5, 25), False), "building_age <= 150 and building_age between 5 and 25"),
+    "C09_build_floors": (lambda: filters.build_floors_ok((5, 8)), "build_floors between 5 and 8 or build_floors = 999 or build_floors is null"),
+    "C10_roof": (lambda: filters.roof_ok("no"), f"coalesce(({TRI}) = false, false)"),
+    "C11_project": (lambda: filters.project_ok("yes"), "new_project = 'New Project'"),
+    "C12_address": (lambda: filters.address_ok("red 12"), "contains(lower(full_address), 'red') and regexp_matches(full_address, '(^|[^0-9])12($|[^0-9])')"),
+    "C14_share": (lambda: filters.share_ok("partial"), "sale_portion > 0 and sale_portion < 1"),
+    "C14_share_unknown": (lambda: filters.share_ok("unknown"), "sale_portion is null or sale_portion <= 0 or sale_portion > 1"),
+    "C15_complete": (lambda: filters.complete_ok("both"), "full_address is not null and floor <> 999"),
 }
 
 
 def _filter_query(name: str, cond, sql: str) -> None:
-    register(name, f"{WITH} select record_id, city, price_millions from deals where {sql}")(lambda spark, sf_dir: deals(spark, sf_dir).where(cond).select(ID, "city", "price_millions"))
+    register(name, f"{WITH} select record_id, city, price_millions from deals where {sql}")(lambda spark, sf_dir: deals(spark, sf_dir).where(cond()).select(ID, "city", "price_millions"))
 
 
 for _name, (_cond, _sql) in FILTERS.items():
