@@ -1,14 +1,14 @@
-"""Near-duplicate vectors by an inverted multi-index.
+"""Near-duplicate vectors by an inverted multi-index, exactly.
 
 Vectors are split in halves, each half has a codebook of its own, and pairs of codewords are the
-cells of a grid. Every vector is filed in its cell and, as a query, visits the cells nearest to it
-in the order of the multi-sequence algorithm. What it meets there is verified by cosine in double
-precision. How many cells a query visits is set by measuring recall against brute force: a sample
-of queries is compared with all vectors, and the visits go as far as ``RECALL`` of their links need.
+cells of a grid. Every vector is filed in its nearest cell. Cells are packed into regions, a crowded
+cell is dealt out over regions of its own. A query visits every region that has a cell which, by the
+distance bounds of its codewords, may hold a vector within the cosine; there is no ceiling and
+nothing is estimated, so every link is found. What meets is verified by cosine in double precision.
 
 Codebooks are fitted on at most ``FIT_ROWS`` vectors and have at most ``MAX_CODES`` words; every
-vector is indexed. Crowded cells are dealt out in blocks of filed vectors and of queries, without
-any cap. A block returns counts and a spanning set of links, never its pairs.
+vector is indexed, and they only decide how much is compared. Two regions meet once, the vectors of
+the one asking in the other. A block returns counts and a spanning set of links, never its pairs.
 
 Cases: a null or zero vector, one with null or non-finite components or of another length than the
 commonest links with nothing; identical vectors are compared once; rows with a null id have no
@@ -23,17 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import saved
+from .common import mix64, pieces, saved
 from .graph import components
 
 COSINE = 0.95
-RECALL = 0.99
 FIT_ROWS = 20_000
-CALIBRATE_ROWS = 1_000
 MAX_CODES = 128
-MAX_VISITS = 64
-LEAST_VISITS = 4
-FILED, ASKING = 2_048, 4_096
+#: Vectors of a region, of a block of queries, and of queries that are compared at once.
+FILED, ASKING, AT_ONCE = 8_192, 8_192, 256
+#: What rounding may add to a squared distance, and the least distance of codewords that is told apart.
+ROUNDING, APART = 1e-6, 1e-6
 SEED = 17
 
 
@@ -73,7 +72,7 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 class MultiIndex:
-    """Two codebooks and the traversal of their grid."""
+    """Two codebooks and the bounds of their grid."""
 
     def __init__(self, sample: np.ndarray, codes: int, seed: int = SEED):
         rng = np.random.default_rng(seed)
@@ -84,21 +83,24 @@ class MultiIndex:
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _distances(x[:, : self.half], self.left), _distances(x[:, self.half :], self.right)
 
-    def traverse(self, x: np.ndarray, visits: int) -> np.ndarray:
-        """The nearest ``visits`` cells of each row, nearest first; -1 fills up.
-
-        The t-th cell of the multi-sequence order has codeword ranks (i, j) with (i+1)(j+1) <= t,
-        so only those pairs are ranked.
-        """
+    def own(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The cell of each row and the distances of its halves from the cell's codewords."""
         d1, d2 = self.halves(x)
-        o1, o2 = np.argsort(d1, axis=1, kind="stable"), np.argsort(d2, axis=1, kind="stable")
-        i, j = np.array([(a, b) for a in range(o1.shape[1]) for b in range(o2.shape[1]) if (a + 1) * (b + 1) <= visits]).T
-        sums = np.take_along_axis(d1, o1, 1)[:, i] + np.take_along_axis(d2, o2, 1)[:, j]
-        cells = o1[:, i] * len(self.right) + o2[:, j]
-        by = np.argsort(sums, axis=1, kind="stable")[:, :visits]
-        out = np.full((len(x), visits), -1, np.int64)
-        out[:, : by.shape[1]] = np.take_along_axis(cells, by, 1)
-        return out
+        i, j = d1.argmin(1), d2.argmin(1)
+        far = lambda d, at: np.sqrt(np.maximum(np.take_along_axis(d, at[:, None], 1)[:, 0], 0))
+        return i * len(self.right) + j, far(d1, i), far(d2, j)
+
+    def reach(self, x: np.ndarray, cells: np.ndarray, far1: np.ndarray, far2: np.ndarray, cosine: float) -> np.ndarray:
+        """Whether a cell, with its vectors' largest distances, may hold a vector within ``cosine`` of a row."""
+        total = 0.0
+        for d, codes, at, far in zip(self.halves(x), (self.left, self.right), (cells // len(self.right), cells % len(self.right)), (far1, far2), strict=True):
+            near = d.argmin(1)
+            gap = np.sqrt(np.maximum(_distances(codes, codes), 0))[near]
+            # a filed vector is on its codeword's side of the plane between that and the row's nearest one
+            plane = np.where(gap > APART, (d - np.take_along_axis(d, near[:, None], 1)) / (2 * np.maximum(gap, APART)), 0.0)
+            ball = np.sqrt(np.maximum(d, 0))[:, at] - far
+            total = total + np.maximum(np.maximum(plane[:, at], ball), 0) ** 2
+        return total <= 2 - 2 * cosine + ROUNDING
 
 
 def fit(vectors: DataFrame, count: int) -> MultiIndex | None:
@@ -110,68 +112,92 @@ def fit(vectors: DataFrame, count: int) -> MultiIndex | None:
     return MultiIndex(_matrix([bytes(r) for r in sample]), codes)
 
 
-def calibrate(vectors: DataFrame, index: MultiIndex, cosine: float = COSINE, recall: float = RECALL) -> int:
-    """How many cells to visit: brute force of a sample of queries over all vectors tells."""
-    sample = vectors.orderBy(F.xxhash64(F.col("rep") + 1), "rep").limit(CALIBRATE_ROWS).toPandas()
-    q = _matrix([bytes(r) for r in sample["raw"]])
-    shared = vectors.sparkSession.sparkContext.broadcast((index, q, sample["rep"].to_numpy(), index.traverse(q, MAX_VISITS)))
-
-    def run(batches):
-        ranks = np.zeros(MAX_VISITS + 1, np.int64)
-        for b in batches:
-            ix, qs, ids, seen = shared.value
-            reps = b.column("rep").to_numpy()
-            x = _matrix(b.column("raw").to_pylist())
-            at, to = np.nonzero((qs @ x.T >= cosine) & (ids[:, None] != reps))
-            if len(at):
-                mine = ix.traverse(x, MAX_VISITS)
-                there = seen[at] == mine[to, :1]
-                back = mine[to] == seen[at, :1]
-                first = np.minimum(np.where(there.any(1), there.argmax(1), MAX_VISITS), np.where(back.any(1), back.argmax(1), MAX_VISITS))
-                ranks += np.bincount(first, minlength=MAX_VISITS + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(MAX_VISITS + 1)), pa.array(ranks)], names=["rank", "n"])
-
-    got = vectors.mapInArrow(run, "rank bigint, n bigint").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").toPandas()
-    total = got["n"].sum()
-    if not total:
-        return 2 * LEAST_VISITS
-    enough = got["n"].cumsum() >= recall * total
-    return int(min(MAX_VISITS, max(LEAST_VISITS, 1 + got["rank"][enough].min())))
+class Regions:
+    """Occupied cells packed in their order into regions of about ``size`` vectors."""
+
+    def __init__(self, cells: np.ndarray, n: np.ndarray, far1: np.ndarray, far2: np.ndarray, size: int):
+        self.cells, self.far1, self.far2 = cells, far1, far2
+        self.first, self.parts = np.zeros(len(cells), np.int64), np.maximum(1, -(-n // size))
+        region, held = -1, size
+        for k in range(len(cells)):
+            if held + n[k] > size:
+                region, held = region + 1, 0
+            self.first[k] = region
+            held += n[k]
+            region += int(self.parts[k]) - 1
+        self.count = region + 1
+        #: Each region with each of its cells, by region.
+        self.of_cell = np.repeat(np.arange(len(cells)), self.parts)
+        self.region = np.repeat(self.first, self.parts) + np.arange(len(self.of_cell)) - np.repeat(np.cumsum(self.parts) - self.parts, self.parts)
+        self.heads = np.flatnonzero(np.diff(self.region, prepend=-1))
+
+    def own(self, cell: np.ndarray, rep: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.cells, cell)
+        return self.first[at] + (mix64(rep.view(np.uint64)) % self.parts[at].astype(np.uint64)).astype(np.int64)
+
+    def visits(self, index: MultiIndex, x: np.ndarray, cosine: float) -> np.ndarray:
+        """Which regions each row has to visit."""
+        may = index.reach(x, self.cells, self.far1, self.far2, cosine)
+        return np.logical_or.reduceat(may[:, self.of_cell], self.heads, axis=1)
+
+
+def _links(x: np.ndarray, y: np.ndarray, mult_x: np.ndarray, mult_y: np.ndarray, top_x: np.ndarray, top_y: np.ndarray, cosine: float, same: bool):
+    """Link counts of ``x`` and ``y``; labels fall in place, and pairs of an old and a new label are returned.
+
+    ``same`` compares the rows of one table, each two once.
+    """
+    n_x, n_y, falls = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), []
+    for i in range(0, len(x), AT_ONCE):
+        own = slice(i, min(i + AT_ONCE, len(x)))
+        to = slice(i if same else 0, len(y))
+        linked = x[own] @ y[to].T >= cosine
+        if same:
+            linked = np.triu(linked, 1)
+        rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+        if not len(rows):
+            continue
+        linked = linked[np.ix_(rows, cols)]
+        rows, cols = rows + own.start, cols + to.start
+        n_x[rows] += linked @ mult_y[cols]
+        n_y[cols] += mult_x[rows] @ linked
+        big = np.iinfo(np.int64).max
+        old_x, old_y = top_x[rows], top_y[cols]
+        new_x, new_y = old_x, old_y
+        while True:
+            low_x = np.minimum(new_x, np.where(linked, new_y, big).min(1))
+            low_y = np.minimum(new_y, np.where(linked, low_x[:, None], big).min(0))
+            if (low_x == new_x).all() and (low_y == new_y).all():
+                break
+            new_x, new_y = low_x, low_y
+        top_x[rows], top_y[cols] = new_x, new_y
+        pairs = np.stack([np.concatenate([old_x, old_y]), np.concatenate([new_x, new_y])], 1)
+        falls.append(np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0))
+    return n_x, n_y, falls
 
 
 def _verify(cosine: float):
-    """Count links and span them within one block of filed vectors and one of queries."""
+    """Count links and span them within a region and one block of those who visit it."""
 
-    def run(_key, table):
-        asks = np.array(table.column("asks").to_pylist())
-        rep, mult, cell = (table.column(c).to_numpy() for c in ("rep", "mult", "own"))
-        visits = np.array(table.column("visits").to_pylist(), np.int64).reshape(len(asks), -1)
+    def run(key, table):
+        asks = table.column("asks").to_numpy()
+        rep, mult = (table.column(c).to_numpy().astype(np.int64) for c in ("rep", "mult"))
         x = _matrix(table.column("raw").to_pylist())
         q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
-        linked = (x[q] @ x[r].T >= cosine) & (rep[q][:, None] != rep[r])
-        n = np.zeros(len(asks), np.int64)
-        n[q] = linked @ mult[r]
-        # a filed vector that does not itself visit the query's cell counts the link here
-        a, b = np.nonzero(linked)
-        deaf = ~(visits[r[b]] == cell[q[a], None]).any(1)
-        np.add.at(n, r[b[deaf]], mult[q[a[deaf]]])
-        top_q, top_r = rep[q].copy(), rep[r].copy()
-        big = np.iinfo(np.int64).max
-        while len(a):
-            new_q = np.minimum(top_q, np.where(linked, top_r, big).min(1))
-            new_r = np.minimum(top_r, np.where(linked, new_q[:, None], big).min(0))
-            if (new_q == top_q).all() and (new_r == top_r).all():
-                break
-            top_q, top_r = new_q, new_r
-        tops = np.concatenate([top_q, top_r])
-        at = np.concatenate([q, r])
-        some = (n[at] > 0) | (tops != rep[at])
-        return pa.table({"rep": rep[at][some], "n": n[at][some], "top": tops[some]})
+        top_q, top_r = rep[q], rep[r]
+        n_q, n_r, falls = _links(x[q], x[r], mult[q], mult[r], top_q, top_r, cosine, False)
+        if key[1].as_py() == 0:  # the region itself
+            a, b, more = _links(x[r], x[r], mult[r], mult[r], top_r, top_r, cosine, True)
+            n_r += a + b
+            falls += more
+        some, n = np.concatenate([rep[q], rep[r]]), np.concatenate([n_q, n_r])
+        some, n = some[n > 0], n[n > 0]
+        pairs = np.concatenate(falls) if falls else np.zeros((0, 2), np.int64)
+        return pa.table({"rep": np.concatenate([some, pairs[:, 0]]), "n": np.concatenate([n, np.zeros(len(pairs), np.int64)]), "top": np.concatenate([some, pairs[:, 1]])})
 
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """``(id, n_links, component, kept)`` for each id."""
     rows = saved(usable(df, id_col, vec_col), "vectors")
     common = rows.where("raw is not null").groupBy(F.length("raw").alias("len")).count().orderBy(F.desc("count"), "len").limit(1).collect()
@@ -182,26 +208,38 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     index = fit(vectors, count)
     if index is None:
         return rows.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("kept"))
-    visits = calibrate(vectors, index, cosine, recall)
-    shared = df.sparkSession.sparkContext.broadcast(index)
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(index)
 
-    def file(batches):
+    def locate(batches):
         for b in batches:
-            cells = shared.value.traverse(_matrix(b.column("raw").to_pylist()), visits)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, visits, dtype=np.int32)), pa.array(cells.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("mult"), b.column("raw"), pa.array(cells[:, 0]), flat], names=["rep", "mult", "raw", "own", "visits"])
+            cell, far1, far2 = shared.value.own(_matrix(b.column("raw").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(far1), pa.array(far2)], names=["cell", "far1", "far2"])
 
-    filed = saved(vectors.select("rep", "mult", "raw").mapInArrow(file, "rep bigint, mult bigint, raw binary, own bigint, visits array<bigint>"), "vectors-filed")
-    visit = filed.select("*", F.explode("visits").alias("cell")).where("cell >= 0")
     # one row per cell of the grid, at most MAX_CODES squared
-    load = visit.groupBy("cell").agg(F.count("*").alias("asking")).join(filed.groupBy(F.col("own").alias("cell")).agg(F.count("*").alias("filed")), "cell")
-    load = F.broadcast(saved(load.select("cell", F.ceil(F.col("filed") / FILED).cast("int").alias("fs"), F.ceil(F.col("asking") / ASKING).cast("int").alias("qs")), "cells"))
-    deal = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["rep", "mult", "raw", "own", "visits"]
-    asking = visit.join(load, "cell").select("cell", deal(F.col("qs")).alias("qb"), all_of("fs").alias("fb"), F.lit(True).alias("asks"), *cols)
-    held = filed.withColumn("cell", F.col("own")).join(load, "cell").select("cell", deal(F.col("fs")).alias("fb"), all_of("qs").alias("qb"), F.lit(False).alias("asks"), *cols)
-    met = asking.unionByName(held).groupBy("cell", "qb", "fb").applyInArrow(_verify(cosine), "rep bigint, n bigint, top bigint")
+    cells = vectors.select("raw").mapInArrow(locate, "cell bigint, far1 double, far2 double").groupBy("cell")
+    cells = cells.agg(F.count("*").alias("n"), F.max("far1").alias("far1"), F.max("far2").alias("far2")).orderBy("cell").toPandas()
+    regions = spark.sparkContext.broadcast(Regions(*(cells[c].to_numpy() for c in ("cell", "n", "far1", "far2")), FILED))
+
+    def file(batches):
+        for b in pieces(batches, 500):
+            x, rep = _matrix(b.column("raw").to_pylist()), b.column("rep").to_numpy()
+            own = regions.value.own(shared.value.own(x)[0], rep)
+            there = regions.value.visits(shared.value, x, cosine)
+            there[np.arange(regions.value.count) <= own[:, None]] = False
+            ends = np.concatenate([[0], there.sum(1).cumsum()]).astype(np.int32)
+            visits = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(there)[1]))
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("mult"), b.column("raw"), pa.array(own), visits], names=["rep", "mult", "raw", "own", "visits"])
+
+    filed = saved(vectors.select("rep", "mult", "raw").mapInArrow(file, "rep bigint, mult bigint, raw binary, own bigint, visits array<bigint>"), "vectors-filed")
+    load = filed.select(F.explode("visits").alias("region")).groupBy("region").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("qs"))
+    load = F.broadcast(saved(load, "regions"))
+    cols = ["rep", "mult", "raw"]
+    asking = filed.select(F.explode("visits").alias("region"), *cols).join(load, "region")
+    asking = asking.select("region", F.pmod(F.xxhash64("rep"), "qs").cast("int").alias("qb"), F.lit(True).alias("asks"), *cols)
+    held = filed.select(F.col("own").alias("region"), *cols).join(load, "region", "left")
+    held = held.select("region", F.explode(F.sequence(F.lit(0), F.coalesce("qs", F.lit(1)) - 1)).alias("qb"), F.lit(False).alias("asks"), *cols)
+    met = asking.unionByName(held).groupBy("region", "qb").applyInArrow(_verify(cosine), "rep bigint, n bigint, top bigint")
     met = saved(met, "vector-links")
     counts = met.groupBy("rep").agg(F.sum("n").alias("n"))
     comp = components(met.select(F.col("rep").alias("a"), F.col("top").alias("b")))

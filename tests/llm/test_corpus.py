@@ -196,6 +196,26 @@ def test_vectors(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_in_a_hot_group(spark, monkeypatch):
+    """Distinct near copies that spread over hundreds of cells, with codebooks as of a large table."""
+    fit = embeddings.fit
+    monkeypatch.setattr(embeddings, "fit", lambda vectors, count: fit(vectors, 32 * 128 * 128))
+    monkeypatch.setattr(embeddings, "FILED", 300)
+    monkeypatch.setattr(embeddings, "ASKING", 200)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1_500, 64))
+    x[::3] = x[0] + 0.16 * rng.normal(size=(500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= 0.95
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r["id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == (linked.sum(1) - 1).tolist()
+    top = np.arange(len(x))
+    while (low := np.where(linked, top, len(x)).min(1)).tolist() != top.tolist():
+        top = low
+    assert [got[i]["component"] for i in range(len(x))] == top.tolist()
+
+
 # 5 -----------------------------------------------------------------------------------------------
 
 
