@@ -374,6 +374,24 @@ def test_perplexity_tells_noise_from_text(spark):
     assert all(math.isfinite(x) for x in m.word_logs("none such", ["the", "é"]))
 
 
+def test_model_keeps_its_lower_orders_as_the_table_grows(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MIN_SHARE", 1e-4)
+    rnd = random.Random(8)
+    syl = ["ba", "ko", "mi", "tu", "re", "na", "sel", "dor", "vin"]
+    text = lambda: " ".join("".join(rnd.choices(syl, k=rnd.randint(1, 4))) for _ in range(80))
+    rows = [(i, text(), "en") for i in range(60)] + [(60, " ".join("".join(rnd.choices("#*$%&<>", k=7)) for _ in range(80)), "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(30))))
+    lower = lambda d: {(r["k"], r["gram"]) for r in quality.model_tables(d).where("k < 4 and p is not null").collect()}
+    assert lower(many) == lower(df) and {g for k, g in lower(df) if k == 1} >= set("bakomituren")
+    verdicts = lambda d: {(r["doc_id"], r["kept"]) for r in quality.assess(d, keep=["doc_id"]).collect()}
+    assert verdicts(many) == verdicts(df)
+    sums = collections.Counter()
+    for r in quality.model_tables(df).where("k = 4").collect():
+        sums[r["gram"][:3]] += r["back"] if r["p"] is None else r["p"]
+    assert all(math.isclose(x, 1) for x in sums.values())
+
+
 def test_digest_is_of_the_whole_text(docs):
     long = "word " * 60000
     df = docs.sparkSession.createDataFrame([(1, long)], "doc_id long, text string")
