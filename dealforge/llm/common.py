@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -53,7 +54,38 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what ``saved`` wrote for these; nothing may read them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+ARROW_ROWS, SMALL_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session's Arrow batches are made small where it left them at Spark's default.
+
+    Whole texts of 10,000 rows would be held at once by the JVM and by Python otherwise.
+    """
+    if df.sparkSession.conf.get(ARROW_ROWS) == "10000":
+        df.sparkSession.conf.set(ARROW_ROWS, str(SMALL_ROWS))
+    return df
+
+
+def give_back() -> None:
+    """Hand free memory back to the system, as an idle worker keeps its pages otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -83,8 +115,10 @@ def map_batches(df: DataFrame, make, new: list[tuple[str, str]], keep: list[str]
         for b in pieces(batches):
             got = make(b)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [got[n] for n, _ in new], names=kept + [n for n, _ in new])
+            del b, got
+        give_back()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def texts(batch: pa.RecordBatch, col: str) -> list[str]:

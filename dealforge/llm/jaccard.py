@@ -7,18 +7,22 @@ finds the connected components of these links without making all pairs of a grou
 2. A linked pair shares at least ``k`` of each side's ``n - T + k`` smallest hashes, where T is
    the overlap that a link takes. Representatives with fewer shared hashes in that prefix have no
    link. Of the rest, those need T shared hashes in their whole set.
-3. What is left is ordered by document frequency, rarest first; texts that share one of their
-   first ``n - T + 1`` shingles form a candidate group (linked texts always do).
-4. Each group's most central member is compared with all others. Only members that do not link to
-   it are searched against the whole group, in blocks, by T-occurrence with DivideSkip: short
-   inverted lists are merged, long ones probed by binary search, and texts that reach the required
-   overlap are checked exactly. A block reports links that span what it found connected.
+3. What is left is ordered by document frequency, rarest first; linked texts share one of their
+   first ``n - T + 1`` shingles. Shingles with the same owners are one list.
+4. Each text is compared with the most central owner of one of its lists. Only lists whose owners
+   these links leave apart are searched: owners not connected to the list's centre against all its
+   owners, in blocks of both, by T-occurrence with DivideSkip. Short inverted lists are merged, long
+   ones probed by binary search, and texts that reach the required overlap are checked exactly. A
+   block reports links that span what it found connected.
 
-Shingles are compared by 64-bit hashes of five lower-cased words.
+Shingles are compared by 64-bit hashes of five lower-cased words; two texts would have to hold
+different shingles of one hash to be misjudged.
 
 Cases: a text of fewer words is one shingle of them all; a null text or one without words has an
-empty set and links with nothing; rows with a null id are their own and get a null component;
-repeated rows fall together; empty tables give empty results.
+empty set and links with nothing; a very long text is one set like any other and is never cut; rows
+with a null id are their own and get a null component; repeated rows and ties fall together under
+the smallest id; columns besides id and text are carried by ``one_of_each`` whatever their names;
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import map_batches, mix64, pieces, saved, texts
+from .common import give_back, map_batches, mix64, saved, small_batches, texts
 from .graph import components
 from .wordhash import word_hashes
 
@@ -38,10 +42,12 @@ PERCENT = 80
 #: Extra share of a set that goes into the prefix and that a linked pair must then share there.
 EXTRA = 0.1
 #: Items in a block of queries and in a block of the searched group.
-QUERY_ITEMS, INDEX_ITEMS = 100_000, 500_000
+QUERY_ITEMS, INDEX_ITEMS = 50_000, 200_000
 #: Ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 MU = 0.01
+KEPT_ID = "kept_id"
+
 
 def shingles(text: str, size: int = WORDS) -> np.ndarray:
     """The sorted distinct shingle hashes of a text, as signed integers."""
@@ -98,39 +104,70 @@ def _unpacked(batches, *cols: str) -> list[np.ndarray]:
     return [np.concatenate(g) if g else np.zeros(0, np.int64) for g in got]
 
 
-PACKED = "part int, reps binary, items binary"
+#: Kinds of packed rows: sets that ask whether an item is shared, items known to be, tallies of sets.
+ASK, SURE, TALLY = range(3)
+PACKED = "kind tinyint, part int, reps binary, items binary"
 
 
 def shared_items(sets: DataFrame, items: str) -> DataFrame:
     """``(rep, shared)``: how many of a set's items some other set has too.
 
     Items are dealt out by their hash in packed blocks, so that a shuffled row carries many; the
-    counts go back to their sets the same way.
+    counts go back to their sets the same way. What sets of one batch share is counted there and
+    sends one mark, so a part gets an item at most once from each batch, however hot it is.
     """
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = 2 * max(16, n)
 
-    def record(full, reps, held):
-        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(reps, pa.binary()), pa.array(held, pa.binary())], names=["part", "reps", "items"])
+    def record(kind, full, reps, held):
+        none = pa.nulls(len(full), pa.binary())
+        cols = [pa.array(np.full(len(full), kind, np.int8)), pa.array(full.astype(np.int32)), none if reps is None else pa.array(reps, pa.binary()), pa.array(held, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["kind", "part", "reps", "items"])
+
+    def of(x, parts):
+        return (mix64(x.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+    def tallies(ids, k):
+        full, cut = _dealt(of(ids, n), n, ids, k)
+        return record(TALLY, full, *cut)
 
     def pack(batches):
-        for b in pieces(batches):
+        for b in batches:
             col = b.column("items")
             flat = col.flatten().to_numpy(zero_copy_only=False)
             reps = np.repeat(b.column("rep").to_numpy(zero_copy_only=False), np.diff(col.offsets.to_numpy()))
-            full, cut = _dealt((mix64(flat.view(np.uint64)) % np.uint64(parts)).astype(np.int64), parts, reps, flat)
-            yield record(full, *cut)
+            by = np.argsort(flat)
+            flat, reps = flat[by], reps[by]
+            alone = ~_twice(flat)
+            full, cut = _dealt(of(flat[alone], parts), parts, reps[alone], flat[alone])
+            yield record(ASK, full, *cut)
+            if not alone.all():
+                one = np.unique(flat[~alone])
+                full, (cut,) = _dealt(of(one, parts), parts, one)
+                yield record(SURE, full, None, cut)
+                yield tallies(*np.unique(reps[~alone], return_counts=True))
 
     def count(batches):
-        r, f = _unpacked(batches, "reps", "items")
+        got: list[list[np.ndarray]] = [[], [], []]
+        for b in batches:
+            kind = b.column("kind").to_numpy()
+            done = pa.array(kind == TALLY)
+            if (kind == TALLY).any():
+                yield b.filter(done)
+            for k, reps, held in zip(kind.tolist(), b.column("reps").to_pylist(), b.column("items").to_pylist(), strict=True):
+                if k == ASK:
+                    got[0].append(np.frombuffer(reps, np.int64))
+                if k != TALLY:
+                    got[1 if k == ASK else 2].append(np.frombuffer(held, np.int64))
+        r, asked, sure = (np.concatenate(g) if g else np.zeros(0, np.int64) for g in got)
+        f = np.concatenate([asked, sure])
         by = np.argsort(f)
-        f, r = f[by], r[by]
-        same = f[1:] == f[:-1]
-        twice = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(f) else np.zeros(0, bool)
-        ids, k = np.unique(r[twice], return_counts=True)
+        twice = np.zeros(len(f), bool)
+        twice[by] = _twice(f[by])
+        ids, k = np.unique(r[twice[: len(r)]], return_counts=True)
         if len(ids):
-            full, cut = _dealt((mix64(ids.view(np.uint64)) % np.uint64(n)).astype(np.int64), n, ids, k)
-            yield record(full, *cut)
+            yield tallies(ids, k)
+        give_back()
 
     def add(batches):
         r, k = _unpacked(batches, "reps", "items")
@@ -138,37 +175,54 @@ def shared_items(sets: DataFrame, items: str) -> DataFrame:
         total = np.bincount(at, k, len(ids)).astype(np.int64)
         for i in range(0, len(ids), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 100_000]), pa.array(total[i : i + 100_000])], names=["rep", "shared"])
+        give_back()
 
-    packed = sets.select("rep", F.col(items).alias("items")).mapInArrow(pack, PACKED)
+    packed = small_batches(sets).select("rep", F.col(items).alias("items")).mapInArrow(pack, PACKED)
     counted = packed.repartition(n, "part").mapInArrow(count, PACKED)
     return counted.repartition(n, "part").mapInArrow(add, "rep bigint, shared bigint")
 
 
+def _twice(ranked: np.ndarray) -> np.ndarray:
+    """Which of a sorted array's values it holds more than once."""
+    same = ranked[1:] == ranked[:-1]
+    return np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(ranked) else np.zeros(0, bool)
+
+
 def _semi(df: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if few else ids, on)
 
 
 def _search(percent: int):
-    """Links of each query block within a block of its group, as a forest that spans them."""
-
-    def run(batches):
-        for b in pieces(batches, 1):
-            for row in b.to_pylist():
-                out = search_block(row["queries"], row["members"], percent)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+    """Links of a block of queries within a block of their list's owners, as a forest that spans them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        asks = table.column("asks").to_numpy()
+        col = table.column("items").combine_chunks()
+        flat, ends = col.flatten().to_numpy(zero_copy_only=False), col.offsets.to_numpy()
+        rep, label = table.column("rep").to_numpy(), table.column("label").to_numpy()
+        out = search_block(rep, label, [flat[ends[i] : ends[i + 1]] for i in range(len(rep))], asks, percent)
+        give_back()
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
 
-def search_block(queries: list[dict], members: list[dict], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Edges ``(a, b)`` that connect what the links of the queries among the members connect."""
-    ids = np.array([m["rep"] for m in members], np.int64)
-    sizes = np.array([len(m["items"]) for m in members], np.int64)
-    flat = np.concatenate([np.array(m["items"], np.int64) for m in members])
-    owner = np.repeat(np.arange(len(members)), sizes)
+def search_block(rep: np.ndarray, label: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Edges ``(a, b)`` that connect what the links of the sets that ask to the others connect.
+
+    Sets of one label are known to be connected. T-occurrence search with DivideSkip.
+    """
+    held = np.flatnonzero(~asks)
+    sizes = np.array([len(sets[i]) for i in held], np.int64)
+    if not len(held):
+        return []
+    flat = np.concatenate([sets[i] for i in held])
+    owner = np.repeat(np.arange(len(held)), sizes)
     by = np.lexsort((owner, flat))
     flat, owner = flat[by], owner[by]
+    ids, labels = rep[held], label[held]
     tops: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -178,8 +232,8 @@ def search_block(queries: list[dict], members: list[dict], percent: int = PERCEN
         return x
 
     out = []
-    for q in queries:
-        items = np.array(q["items"], np.int64)
+    for q in np.flatnonzero(asks):
+        items = sets[q]
         lo, hi = np.searchsorted(flat, items), np.searchsorted(flat, items, "right")
         size = hi - lo
         need = least_overlap(len(items), percent)
@@ -189,10 +243,8 @@ def search_block(queries: list[dict], members: list[dict], percent: int = PERCEN
         short, long = order[: len(order) - aside], order[len(order) - aside :]
         merged = np.concatenate([owner[lo[i] : hi[i]] for i in short]) if len(short) else np.zeros(0, np.int64)
         seen, hits = np.unique(merged, return_counts=True)
-        some = hits >= need - aside
+        some = (hits >= need - aside) & (labels[seen] != label[q]) & (100 * sizes[seen] >= percent * len(items)) & (100 * len(items) >= percent * sizes[seen])
         seen, hits = seen[some], hits[some]
-        close = (100 * sizes[seen] >= percent * len(items)) & (100 * len(items) >= percent * sizes[seen])
-        seen, hits = seen[close], hits[close]
         for i in long:
             if not len(seen):
                 break
@@ -201,11 +253,11 @@ def search_block(queries: list[dict], members: list[dict], percent: int = PERCEN
                 at = np.minimum(np.searchsorted(one, seen), len(one) - 1)
                 hits = hits + (one[at] == seen)
         linked = 100 * hits >= percent * (len(items) + sizes[seen] - hits)
-        for other in ids[seen[linked]].tolist():
-            x, y = top(q["rep"]), top(other)
+        for other, its in zip(ids[seen[linked]].tolist(), labels[seen[linked]].tolist(), strict=True):
+            x, y = top(int(label[q])), top(its)
             if x != y:
                 tops[max(x, y)] = min(x, y)
-                out.append((q["rep"], other))
+                out.append((int(rep[q]), other))
     return out
 
 
@@ -231,33 +283,39 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = saved(kept.select("rep", "n", "items"), "jaccard-kept")
     # rarest first among what is left
     rows = kept.select("rep", "n", F.explode("items").alias("item"))
-    df_of = rows.groupBy("item").agg(F.count("*").alias("df"), F.min("rep").alias("head")).where("df > 1")
+    df_of = rows.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
     rows = saved(rows.join(df_of, "item"), "jaccard-lists")
     order = W.partitionBy("rep").orderBy("df", "item")
     sums = rows.groupBy("rep").agg(F.count("*").alias("common"), F.sum("df").alias("weight"))
     first = rows.withColumn("place", F.row_number().over(order)).join(sums, "rep")
-    first = first.where(F.col("place") <= F.col("n") - need + 1 - (F.col("n") - F.col("common")))
-    heads = first.groupBy("item").agg(F.min("rep").alias("pivot"), F.count("*").alias("m")).where("m > 1")
-    pairs = first.join(heads, "item").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    groups = components(pairs)
-    members = kept.join(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "rep")
-    members = saved(members.join(sums.select("rep", "weight"), "rep"), "jaccard-members")
-    centres = members.groupBy("grp").agg(F.max(F.struct("weight", "rep")).alias("c"), F.count("*").alias("m"), F.sum("n").alias("all"))
-    centres = centres.where("m > 1").select("grp", F.col("c.rep").alias("centre"), "m", "all")
-    mid = centres.join(members.select("rep", F.col("items").alias("mid")), F.col("centre") == F.col("rep")).drop("rep")
+    first = first.where(F.col("place") <= F.col("n") - need + 1 - (F.col("n") - F.col("common"))).select("rep", "item", "weight")
+    # shingles with the same owners are one list
+    h = F.xxhash64("rep")
+    heads = first.groupBy("item").agg(F.max(F.struct("weight", "rep")).alias("pivot"), F.count("*").alias("m"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("y")).where("m > 1")
+    heads = heads.select("item", "pivot", F.xxhash64("pivot", "m", "x", "y").alias("list"))
+    owners = saved(first.join(heads, "item").select("list", "rep", "pivot").distinct(), "jaccard-owners")
+    # each set against one pivot
+    pairs = owners.groupBy("rep").agg(F.max("pivot").alias("pivot")).select(F.col("rep").alias("a"), F.col("pivot.rep").alias("b")).where("a <> b")
+    left = kept.withColumnRenamed("rep", "a").join(pairs, "a")
+    right = kept.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("items").alias("mid"))
     both = F.size(F.array_intersect("items", "mid"))
-    linked = 100 * both >= percent * (F.col("n") + F.size("mid") - both)
-    judged = members.join(mid, "grp").where(F.col("rep") != F.col("centre"))
-    judged = saved(judged.select("grp", "rep", "n", "centre", "m", "all", linked.alias("linked")), "jaccard-judged")
-    near = judged.where("linked").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-    rest = judged.where("not linked and m > 2").select("grp", "rep", "all")
-    sizes = judged.where("not linked and m > 2").groupBy("grp").agg(F.sum("n").alias("asked"), F.first("all").alias("all"))
-    deal = lambda items, of: F.pmod(F.xxhash64("rep"), F.ceil(F.col(items) / of)).alias("block")
-    one = F.struct("rep", "items")
-    asks = members.join(rest.select("grp", "rep"), ["grp", "rep"]).join(sizes, "grp")
-    asks = asks.groupBy("grp", deal("asked", QUERY_ITEMS)).agg(F.collect_list(one).alias("queries")).drop("block")
-    held = members.join(sizes, "grp").groupBy("grp", deal("all", INDEX_ITEMS)).agg(F.collect_list(one).alias("members")).drop("block")
-    more = asks.join(held, "grp").select("queries", "members").mapInArrow(_search(percent), "a bigint, b bigint")
+    linked = 100 * both >= percent * (F.col("n") + F.col("nb") - both)
+    near = saved(left.join(right, "b").where(linked).select("a", "b"), "jaccard-near")
+    labels = components(near)
+    # lists whose owners are not all connected yet
+    owners = owners.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("list", "rep", F.coalesce("component", "rep").alias("label"), (F.col("pivot.rep") == F.col("rep")).alias("heads"))
+    owners = saved(owners, "jaccard-labelled")
+    home = owners.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("heads"), F.col("label"))).alias("home")).where("lo < hi").select("list", "home")
+    ready = owners.join(home, "list").select("list", "rep", "label", (F.col("label") != F.col("home")).alias("asking"))
+    ready = saved(ready.join(kept, "rep"), "jaccard-open")
+    load = ready.groupBy("list").agg(F.ceil(F.sum(F.when(F.col("asking"), F.col("n"))) / QUERY_ITEMS).cast("int").alias("qs"), F.ceil(F.sum("n") / INDEX_ITEMS).cast("int").alias("ms"))
+    ready = ready.join(load, "list")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    mine = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
+    cols = ["rep", "label", "items"]
+    queries = ready.where("asking").select("list", mine("qs").alias("qb"), every("ms").alias("mb"), F.lit(True).alias("asks"), *cols)
+    held = ready.select("list", every("qs").alias("qb"), mine("ms").alias("mb"), F.lit(False).alias("asks"), *cols)
+    more = saved(queries.unionByName(held).groupBy("list", "qb", "mb").applyInArrow(_search(percent), "a bigint, b bigint"), "jaccard-more")
     comp = components(near.unionByName(more))
     found = reps.select("sig", "rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     found = found.select("sig", F.coalesce("component", "rep").alias("component"))
@@ -268,8 +326,9 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows whose id names their component; rows with a null id stay."""
     comp = link_components(df, id_col, text_col, **how)
-    keep = saved(comp.where("id = component").select("id").distinct(), "jaccard-keep")
+    keep = saved(comp.where("id = component").select(F.col("id").alias(KEPT_ID)).distinct(), "jaccard-keep")
     few = keep.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    key = F.col(f"`{id_col}`")
-    found = df.join(F.broadcast(keep) if few else keep, key == F.col("id"), "left")
-    return found.where(key.isNull() | F.col("id").isNotNull()).select(*[df[f"`{c}`"] for c in df.columns])
+    names = [f"c{i}" for i in range(len(df.columns))]
+    key = F.col(names[df.columns.index(id_col)])
+    found = df.toDF(*names).join(F.broadcast(keep) if few else keep, key == F.col(KEPT_ID), "left")
+    return found.where(key.isNull() | F.col(KEPT_ID).isNotNull()).select(*names).toDF(*df.columns)
