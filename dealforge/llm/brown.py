@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import mix64, pieces, saved, texts
+from .common import give_back, mix64, pieces, saved, small_batches, texts
 from .wordhash import word_hashes
 
 UNIT_SHARE = 1e-4
@@ -37,6 +37,8 @@ BACK = 5.0
 LENGTHS = 16
 END = np.uint64(0xE17D0C5)  # the end's own hash
 END_SHAPE = 0
+#: Tokens that a task counts at once.
+CHUNK = 2_000_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -53,20 +55,26 @@ def tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
 def word_counts(train: DataFrame) -> DataFrame:
     """``(h, shape, n)`` over all texts of ``train``."""
 
+    def counted(hs, shapes):
+        u, at, n = np.unique(np.concatenate(hs), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.concatenate(shapes)[at].astype(np.int32)), pa.array(n)], names=["h", "shape", "n"])
+
     def run(batches):
+        hs, shapes, held = [], [], 0
         for b in batches:
-            hs, shapes, held = [], [], 0
-            for i, t in enumerate(texts(b, "text")):
+            for t in texts(b, "text"):
                 h, s = tokens(t)
                 hs.append(h)
                 shapes.append(s)
                 held += len(h)
-                if held > 2_000_000 or i == b.num_rows - 1:
-                    u, at, n = np.unique(np.concatenate(hs), return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.concatenate(shapes)[at].astype(np.int32)), pa.array(n)], names=["h", "shape", "n"])
+                if held > CHUNK:
+                    yield counted(hs, shapes)
                     hs, shapes, held = [], [], 0
+        if hs:
+            yield counted(hs, shapes)
+        give_back()
 
-    rows = train.select("text").mapInArrow(run, "h bigint, shape int, n bigint")
+    rows = small_batches(train).select("text").mapInArrow(run, "h bigint, shape int, n bigint")
     return rows.groupBy("h").agg(F.first("shape").alias("shape"), F.sum("n").alias("n"))
 
 
@@ -88,18 +96,23 @@ def unit_bigrams(train: DataFrame, units: Units) -> DataFrame:
     """``(pair, n)``: counts of adjacent units, the first times ``units.count`` plus the second."""
     shared = train.sparkSession.sparkContext.broadcast(units)
 
+    def counted(pairs):
+        p, n = np.unique(np.concatenate(pairs), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(p), pa.array(n)], names=["pair", "n"])
+
     def run(batches):
+        u, pairs, held = shared.value, [], 0
         for b in batches:
-            u = shared.value
-            pairs, held = [], 0
-            for i, t in enumerate(texts(b, "text")):
+            for t in texts(b, "text"):
                 seq = u.of(*tokens(t))
                 pairs.append(np.concatenate([seq[-1:], seq[:-1]]) * u.count + seq)
                 held += len(seq)
-                if held > 2_000_000 or i == b.num_rows - 1:
-                    p, n = np.unique(np.concatenate(pairs), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(n)], names=["pair", "n"])
+                if held > CHUNK:
+                    yield counted(pairs)
                     pairs, held = [], 0
+        if pairs:
+            yield counted(pairs)
+        give_back()
 
     return train.select("text").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
@@ -177,8 +190,9 @@ class Model:
         size = table.sum(0)
         back = (size + 1) / (size.sum() + classes)
         self.move = np.log10((table + BACK * back) / (table.sum(1, keepdims=True) + BACK))
-        members = np.bincount(self.cls, weight > 0, classes)
-        self.emit = np.log10((weight + ADD) / (size + ADD * (members + 1))[self.cls])
+        # units that training never saw are members of the last class, so a class's units sum to one
+        members = np.bincount(self.cls, minlength=classes)
+        self.emit = np.log10((weight + ADD) / (size + ADD * members)[self.cls])
         #: Tokens and distinct words of each shape that have no unit of their own.
         self.shape_n, self.shape_v = per_unit[:, 0], per_unit[:, 1]
 
@@ -264,7 +278,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[none(k, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], pa.array(cut[0], pa.binary()), pa.array(cut[1], pa.binary()), none(k, pa.binary()), pa.array(cut[2], pa.binary()), none(k, b.column(id_col).type)], names=[*names, id_col])
 
     names = [x.split()[0] for x in ROWS.split(", ")]
-    out = saved(docs.select(id_col, "text", "held_out").mapInArrow(run, f"{ROWS}, `{id_col}` {id_type}"), "brown-rows")
+    out = saved(small_batches(docs).select(id_col, "text", "held_out").mapInArrow(run, f"{ROWS}, `{id_col}` {id_type}"), "brown-rows")
 
     def file(batches):
         for b in batches:

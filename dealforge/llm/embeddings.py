@@ -10,8 +10,9 @@ Codebooks are fitted on at most ``FIT_ROWS`` vectors and have at most ``MAX_CODE
 vector is indexed, and they only decide how much is compared. Two regions meet once, the vectors of
 the one asking in the other. A block returns counts and a spanning set of links, never its pairs.
 
-Cases: a null or zero vector, one with null or non-finite components or of another length than the
-commonest links with nothing; identical vectors are compared once; rows with a null id have no
+Cases: a null or zero vector or one with null or non-finite components links with nothing; vectors
+link with those of their own length; identical vectors are compared once; ties do not matter, as
+all links count; other columns are not carried, whatever their names; rows with a null id have no
 links; several rows with one id count as one vector, the first by content; empty tables give no rows.
 """
 
@@ -103,11 +104,9 @@ class MultiIndex:
         return total <= 2 - 2 * cosine + ROUNDING
 
 
-def fit(vectors: DataFrame, count: int) -> MultiIndex | None:
+def fit(vectors: DataFrame, count: int) -> MultiIndex:
     """The index's codebooks from a sample of at most ``FIT_ROWS`` of ``(rep, raw)``."""
     sample = vectors.orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).select("raw").toPandas()["raw"]
-    if sample.empty:
-        return None
     codes = max(2, min(MAX_CODES, int(math.sqrt(count / 32))))
     return MultiIndex(_matrix([bytes(r) for r in sample]), codes)
 
@@ -198,17 +197,32 @@ def _verify(cosine: float):
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """``(id, n_links, component, kept)`` for each id."""
+    """``(id, n_links, component, kept)`` for each id.
+
+    Each length of vector that occurs twice has an index of its own, one after the other.
+    """
     rows = saved(usable(df, id_col, vec_col), "vectors")
-    common = rows.where("raw is not null").groupBy(F.length("raw").alias("len")).count().orderBy(F.desc("count"), "len").limit(1).collect()
-    length = common[0]["len"] if common else 0
-    good = F.col("raw").isNotNull() & (F.length("raw") == length)
-    vectors = saved(rows.where(good).groupBy("raw").agg(F.min("id").alias("rep"), F.count("*").alias("mult")), "vector-classes")
-    count = vectors.count()
+    vectors = saved(rows.where(F.col("raw").isNotNull()).groupBy("raw").agg(F.min("id").alias("rep"), F.count("*").alias("mult")), "vector-classes")
+    lengths = [(r["len"], r["count"]) for r in vectors.groupBy(F.length("raw").alias("len")).count().where("count > 1").orderBy("len").collect()]
+    met = df.sparkSession.createDataFrame([], MET)
+    for length, count in lengths:
+        met = met.unionByName(_met(vectors.where(F.length("raw") == length), count, cosine))
+    counts = met.groupBy("rep").agg(F.sum("n").alias("n"))
+    comp = components(met.select(F.col("rep").alias("a"), F.col("top").alias("b")))
+    classes = vectors.join(counts, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    classes = classes.select("raw", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    out = rows.join(classes, "raw", "left")
+    component = F.coalesce("component", "id")
+    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component"), (F.col("id") == component).alias("kept"))
+
+
+MET = "rep bigint, n bigint, top bigint"
+
+
+def _met(vectors: DataFrame, count: int, cosine: float) -> DataFrame:
+    """``(rep, n, top)``: link counts and links that span what the rows of ``vectors``, all of one length, connect."""
+    spark = vectors.sparkSession
     index = fit(vectors, count)
-    if index is None:
-        return rows.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("kept"))
-    spark = df.sparkSession
     shared = spark.sparkContext.broadcast(index)
 
     def locate(batches):
@@ -239,12 +253,5 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     asking = asking.select("region", F.pmod(F.xxhash64("rep"), "qs").cast("int").alias("qb"), F.lit(True).alias("asks"), *cols)
     held = filed.select(F.col("own").alias("region"), *cols).join(load, "region", "left")
     held = held.select("region", F.explode(F.sequence(F.lit(0), F.coalesce("qs", F.lit(1)) - 1)).alias("qb"), F.lit(False).alias("asks"), *cols)
-    met = asking.unionByName(held).groupBy("region", "qb").applyInArrow(_verify(cosine), "rep bigint, n bigint, top bigint")
-    met = saved(met, "vector-links")
-    counts = met.groupBy("rep").agg(F.sum("n").alias("n"))
-    comp = components(met.select(F.col("rep").alias("a"), F.col("top").alias("b")))
-    classes = vectors.join(counts, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select("raw", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.join(classes, "raw", "left")
-    component = F.coalesce("component", "id")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component"), (F.col("id") == component).alias("kept"))
+    met = asking.unionByName(held).groupBy("region", "qb").applyInArrow(_verify(cosine), MET)
+    return saved(met, "vector-links")

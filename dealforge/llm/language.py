@@ -7,8 +7,10 @@ smoothed towards the counts of the host's suffix and these towards all rows; a r
 left out of its host's count.
 
 Cases: rows without text rely on the other evidence and, without any, get the commonest language;
-a null host, suffix or declaration says nothing; unknown declarations say nothing; an empty table
-gives an empty result; a training table without labelled text raises ValueError.
+a null host, suffix or declaration says nothing; unknown declarations say nothing; of languages
+equally likely the last by name wins; repeated rows each have their say; texts are read whole
+whatever their length; other columns stay, whatever their names; an empty table gives an empty
+result; a training table without labelled text knows no language, and rows get null ones.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import map_batches, mix64, saved, texts, without
+from .common import fresh, map_batches, mix64, saved, small_batches, texts, without
 
 BITS = 14
 #: Trigrams of a text count as so many independent ones at most.
@@ -25,6 +27,8 @@ EFFECTIVE = 40.0
 #: How sure a declaration is of its language, and the weights of the priors above a host.
 DECLARED = 0.8
 PSEUDO_HOST, PSEUDO_SUFFIX = 5.0, 20.0
+#: Hosts or suffixes whose votes may be broadcast; more are joined by a shuffle.
+FEW = 200_000
 
 
 def trigram_counts(text: str) -> np.ndarray:
@@ -53,12 +57,10 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(s[at], pa.int64())], names=["lang", "bucket", "n"])
 
     slim = df.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    rows = slim.mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    if rows.empty:
-        raise ValueError("no labelled text to train on")
+    rows = small_batches(slim).mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     table = np.full((len(langs), 1 << BITS), 0.5)
-    table[rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(), rows["bucket"].to_numpy()] += rows["n"].to_numpy()
+    table[rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64), rows["bucket"].to_numpy(np.int64)] += rows["n"].to_numpy(np.int64)
     return langs, np.log(table / table.sum(axis=1, keepdims=True))
 
 
@@ -81,8 +83,11 @@ def text_evidence(df: DataFrame, model, text_col: str = "text", keep: list[str]
 
 
 def visible_text(html: Column) -> Column:
-    """A page's text: without scripts, styles, comments and tags, with the common entities."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*+>", " ")
+    """A page's text: without scripts, styles, comments and tags, with the common entities.
+
+    What is never closed reaches to the page's end, so each character is read once.
+    """
+    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[^>]*+>", " ")
     for name, c in (("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'), ("&amp;", "&")):
         t = F.replace(t, F.lit(name), F.lit(c))
     return t
@@ -106,25 +111,35 @@ def identify(df: DataFrame, model, text_col: str = "text", keep: list[str] | Non
     langs = model[0]
     names = list(dict.fromkeys([*(df.columns if keep is None else keep), "host", "suffix", "declared"]))
     df = without(df, "text_lang", "lang_id", "confidence")
+    if not langs:
+        none = F.lit(None).cast("string")
+        return df.select(*[c for c in names if c in df.columns], none.alias("text_lang"), none.alias("lang_id"), F.lit(None).cast("double").alias("confidence"))
     scored = text_evidence(df, model, text_col, [c for c in names if c.lower() not in ("text_lang", "lang_id", "confidence")])
     # what the text alone says, as a probability of each language
     ps = [F.exp(F.element_at("text_logs", i + 1)) for i in range(len(langs))]
     total = sum(ps[1:], ps[0])
     scored = saved(scored.withColumn("says", F.array(*[p / total for p in ps])), "language-text")
     say = lambda i: F.element_at("says", i + 1)
-    overall = scored.agg(*[(F.sum(say(i)) + 1).alias(f"g{i}") for i in range(len(langs))])
-    by_suffix = scored.where(F.col("suffix").isNotNull()).groupBy("suffix").agg(*[F.sum(say(i)).alias(f"s{i}") for i in range(len(langs))])
-    by_host = scored.where(F.col("host").isNotNull()).groupBy("host").agg(*[F.sum(say(i)).alias(f"h{i}") for i in range(len(langs))])
-    out = scored.join(by_host, "host", "left").join(by_suffix, "suffix", "left").crossJoin(F.broadcast(overall))
-    add = lambda k: sum([F.coalesce(F.col(f"{k}{i}"), F.lit(0.0)) for i in range(1, len(langs))], F.coalesce(F.col(f"{k}0"), F.lit(0.0)))
-    gs, ss, hs = add("g"), add("s"), add("h")
+    # one row of as many sums as there are languages
+    overall = scored.agg(*[(F.coalesce(F.sum(say(i)), F.lit(0.0)) + 1).alias(f"g{i}") for i in range(len(langs))]).first()
+    host_of, suffix_of = fresh(scored, "_host", "_suffix")
+
+    def votes(key, name):
+        """``(key, sums)``, broadcast if few; beyond that a table, so that Spark can split a hot key's rows."""
+        t = scored.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.array(*[F.sum(say(i)) for i in range(len(langs))]).alias("sums"))
+        t = saved(t.select(F.struct("key", "sums").alias(name)), "language-votes")
+        return F.broadcast(t) if t.limit(FEW + 1).count() <= FEW else t
+
+    out = scored.join(votes("host", host_of), F.col("host") == F.col(host_of)["key"], "left").join(votes("suffix", suffix_of), F.col("suffix") == F.col(suffix_of)["key"], "left")
+    part = lambda k, i: F.coalesce(F.element_at(F.col(k)["sums"], i + 1), F.lit(0.0))
+    add = lambda k: sum([part(k, i) for i in range(1, len(langs))], part(k, 0))
+    gs, ss, hs = sum(overall), add(suffix_of), add(host_of)
     posts = []
     for i, lang in enumerate(langs):
-        top = F.col(f"g{i}") / gs
-        mid = (F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + PSEUDO_SUFFIX * top) / (ss + PSEUDO_SUFFIX)
+        mid = (part(suffix_of, i) + PSEUDO_SUFFIX * overall[i] / gs) / (ss + PSEUDO_SUFFIX)
         own = F.when(F.col("host").isNotNull(), say(i)).otherwise(0.0)
         one = F.when(F.col("host").isNotNull(), 1.0).otherwise(0.0)
-        prior = (F.greatest(F.coalesce(F.col(f"h{i}"), F.lit(0.0)) - own, F.lit(0.0)) + PSEUDO_HOST * mid) / (F.greatest(hs - one, F.lit(0.0)) + PSEUDO_HOST)
+        prior = (F.greatest(part(host_of, i) - own, F.lit(0.0)) + PSEUDO_HOST * mid) / (F.greatest(hs - one, F.lit(0.0)) + PSEUDO_HOST)
         said = F.when(F.col("declared") == lang, DECLARED).when(F.col("declared").isin(langs), (1 - DECLARED) / max(1, len(langs) - 1)).otherwise(1.0)
         posts.append(say(i) * prior * said + 1e-300)
     norm = sum(posts[1:], posts[0])

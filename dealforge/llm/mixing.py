@@ -3,7 +3,10 @@
 Each source gets a target number of words. A document's expected copies are its source's target
 over the source's size: the whole part is certain, the rest is the inclusion probability of one
 more copy. Documents are ranked by random odds over inclusion odds and taken in that order up to
-the source's remaining words; one more document may then fill the gap that is left.
+the source's remaining words; one more document may then fill the gap that is left. All documents
+of a source have one inclusion probability, its target being for the source as a whole, so odds
+differ between sources only and each source has a cut of its own: a common cut over all sources
+would keep the total, not the targets.
 
 The cut is a boundary on (rank, id) per source, found by a histogram of the random numbers and an
 exact running sum inside the one bucket in which the source's words run out. So no task sorts a
@@ -11,14 +14,15 @@ source, however many rows it holds.
 
 Cases: a null text has no words; a null source is a source of its own, last in order; a null id
 takes part like any other; rows that share source and id are taken together or not at all; an
-empty table gives an empty plan; added columns replace those of the same name.
+empty table gives an empty plan; texts are counted whole whatever their length; added columns
+replace those of the same name in ``mix``, and ``mixed_rows`` keeps every column whatever its name.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import WORD, saved, without
+from .common import WORD, fresh, saved, without
 
 BUCKETS = 1024
 #: A plan of at most so many sources is broadcast; a longer one is joined as it comes.
@@ -31,7 +35,7 @@ def n_words(text: Column) -> Column:
 
 def _draw(id_col: str, seed: str) -> Column:
     """A number in (0, 1) that depends on id and seed alone."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")))
     return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -108,13 +112,16 @@ def _few(plan: DataFrame) -> bool:
 
 def mix(df: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """Add ``source_size``, ``target`` and ``copies`` (how often the mix takes the row)."""
-    df = without(df, "source_size", "target", "copies").withColumn("_u", _draw(id_col, seed))
-    df = df.join(F.broadcast(plan) if _few(plan) else plan, F.col(source_col).eqNullSafe(F.col("_s")), "left")
-    key = F.struct(((F.col("_u") / (1 - F.col("_u"))) / F.col("odds")).alias("_q"), F.col(id_col).alias("_id"))
-    bucket = F.floor(F.col("_u") * BUCKETS)
-    once = F.when(F.col("odds").isNull(), False).when(F.col("_eb").isNull() | (bucket < F.col("_eb")), True).when(F.col("filled") & (key.eqNullSafe(F.col("fill"))), True).when((bucket > F.col("_eb")) | F.col("cut").isNull(), False).otherwise(key <= F.col("cut"))
-    df = df.withColumn("copies", F.col("whole") + once.cast("long"))
-    return df.drop("_u", "_s", "whole", "odds", "_eb", "cut", "fill", "filled")
+    df = without(df, "source_size", "target", "copies")
+    u, p = fresh(df, "_u", "_plan")
+    own = plan.select(F.struct(*plan.columns).alias(p))
+    df = df.withColumn(u, _draw(id_col, seed)).join(F.broadcast(own) if _few(plan) else own, F.col(f"`{source_col}`").eqNullSafe(F.col(p)["_s"]), "left")
+    of = lambda name: F.col(p)[name]
+    key = F.struct(((F.col(u) / (1 - F.col(u))) / of("odds")).alias("_q"), F.col(f"`{id_col}`").alias("_id"))
+    bucket = F.floor(F.col(u) * BUCKETS)
+    once = F.when(of("odds").isNull(), False).when(of("_eb").isNull() | (bucket < of("_eb")), True).when(of("filled") & (key.eqNullSafe(of("fill"))), True).when((bucket > of("_eb")) | of("cut").isNull(), False).otherwise(key <= of("cut"))
+    df = df.withColumns({"source_size": of("source_size"), "target": of("target"), "copies": of("whole") + once.cast("long")})
+    return df.drop(u, p)
 
 
 def mixed_rows(df: DataFrame, **how) -> DataFrame:
@@ -123,6 +130,8 @@ def mixed_rows(df: DataFrame, **how) -> DataFrame:
     text = how.pop("text_col", "text")
     key, source = by.get("id_col", "doc_id"), by.get("source_col", "source")
     sized = saved(df.select(F.col(f"`{key}`"), F.col(f"`{source}`"), n_words(F.col(f"`{text}`")).alias("size")), "mix-sizes")
-    out = mix(df, plan_mix(sized, **how), **by)
+    named = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    at = lambda c: f"c{df.columns.index(c)}"
+    out = mix(named, plan_mix(sized, **how), **(by | {"id_col": at(key), "source_col": at(source)}))
     out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c in out.columns])
+    return out.select(*named.columns).toDF(*df.columns)

@@ -11,7 +11,7 @@ deep recursion on very long runs.
 Positions come from the texts between matches, whose lengths are summed in blocks, so a text with
 very many matches costs no square of their number.
 
-Cases: a null or empty text has no spans; repeated rows stay; columns that have the name of a new
+Cases: a null or empty text has no spans; an empty table gives an empty result; repeated rows stay; columns that have the name of a new
 one are replaced; a text is searched whole whatever its length.
 """
 
@@ -23,13 +23,34 @@ from .common import without
 
 LOCAL, HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: Characters of an account number, by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21,
+    "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22,
+    "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "JO": 30,
+    "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27,
+    "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
+    "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VG": 24, "XK": 20,
+}
+
+
+def _iban() -> str:
+    """Countries of one length together: check digits, then groups of four with blanks between or none."""
+    by_length: dict[int, list[str]] = {}
+    for country, n in IBAN_LENGTHS.items():
+        by_length.setdefault(n, []).append(country)
+    rest = lambda r: rf"\x20?[A-Z0-9]{{{r}}}" if r else ""
+    forms = [rf"(?:{'|'.join(c)})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}{rest(n % 4)}" for n, c in sorted(by_length.items())]
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join(forms)})(?![A-Za-z0-9])"
+
+
 #: Kind -> pattern, in the order in which spans are listed.
 PATTERNS = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@{HOST}++(?:\.{HOST}++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban(),
 }
 #: The kinds whose valid spans always stay.
 BASE = ("email", "ip", "card", "phone")
@@ -37,7 +58,7 @@ BASE = ("email", "ip", "card", "phone")
 HINT = {"email": "@", "phone": "+"}
 #: Score of a span that passed its check, before its context.
 PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.7}
-#: Words near before a span that raise its score, and words that lower it.
+#: Words near before a span, and near after it for kinds that need them, that raise its score; words that lower it.
 RAISE = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|reach|write)\b",
     "ip": r"(?i)\b(?:ip|host|server|address|login|from)\b",
@@ -57,6 +78,9 @@ def _lengths(text: Column, kind: str) -> Column:
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     between = F.split(text, PATTERNS[kind], -1)
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), m.alias("m"), F.right(g, F.lit(NEAR)).alias("near")))
+    if kind not in BASE:
+        after = F.slice(between, F.lit(2), F.size(found))
+        pairs = F.zip_with(pairs, after, lambda x, g: F.struct(x["gap"].alias("gap"), x["len"].alias("len"), x["m"].alias("m"), F.concat_ws("\n", x["near"], F.left(g, F.lit(NEAR))).alias("near")))
     hint = text.contains(HINT[kind]) if kind in HINT else F.lit(True)
     nothing = F.expr("cast(array() as array<struct<gap:int,len:int,m:string,near:string>>)")
     return F.when(hint & F.regexp_like(text, pattern), pairs).otherwise(nothing)
@@ -118,8 +142,7 @@ def _valid(kind: str, m: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(m)).between(8, 15)
     if kind == "iban":
-        n = F.length(F.replace(m, F.lit(" ")))
-        return F.when(n.between(15, 34), mod97(m)).otherwise(False)
+        return mod97(m)
     return F.lit(True)
 
 

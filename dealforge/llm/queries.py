@@ -83,4 +83,4 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    return chat.preference_rows(*chat.swapped_replies(turns))
+    return chat.preference_rows(*chat.crossed(turns))
