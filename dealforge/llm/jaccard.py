@@ -10,8 +10,8 @@ finds the connected components of these links without making all pairs of a grou
 3. What is left is ordered by document frequency, rarest first; linked texts share one of their
    first ``n - T + 1`` shingles. Shingles with the same owners are one list.
 4. Each text is compared with the most central owner of one of its lists. Only lists whose owners
-   these links leave apart are searched: owners not connected to the list's centre against all its
-   owners, in blocks of both, by T-occurrence with DivideSkip. Short inverted lists are merged, long
+   these links leave apart are searched, those with an owner in common together: owners not
+   connected to their list's centre against all, in blocks of both, by T-occurrence with DivideSkip. Short inverted lists are merged, long
    ones probed by binary search, and texts that reach the required overlap are checked exactly. A
    block reports links that span what it found connected.
 
@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import give_back, map_batches, mix64, saved, small_batches, texts
+from .common import discard, give_back, map_batches, mix64, saved, small_batches, texts
 from .graph import components
 from .wordhash import word_hashes
 
@@ -194,7 +194,7 @@ def _semi(df: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _search(percent: int):
-    """Links of a block of queries within a block of their list's owners, as a forest that spans them."""
+    """Links of a block of queries within a block of their group, as a forest that spans them."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -264,12 +264,15 @@ def search_block(rep: np.ndarray, label: np.ndarray, sets: list[np.ndarray], ask
 def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, percent: int = PERCENT, extra: float = EXTRA) -> DataFrame:
     """``(id, n, component)`` for each row: set size and the smallest id that links reach."""
     docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    marks = saved(signed(docs, size, percent, extra), "jaccard-marks")
-    known = marks.where("id is not null and n > 0")
+    whole_marks = saved(signed(docs, size, percent, extra), "jaccard-marks")
+    known = whole_marks.where("id is not null and n > 0")
     reps = saved(known.groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "jaccard-reps")
+    marks = saved(whole_marks.select("id", "n", "sig"), "jaccard-marks")
     least_k = F.greatest(F.lit(1), F.floor(F.col("n") * extra))
     some = shared_items(reps, "prefix").join(reps.select("rep", "sig", "n"), "rep").where(F.col("shared") >= least_k)
     some = saved(some.select(F.col("rep").alias("id"), F.col("sig").alias("want")), "jaccard-some")
+    classes = saved(reps.select("sig", "rep"), "jaccard-classes")
+    discard(whole_marks, reps)
 
     def whole(b):
         sets = [shingles(t, size) for t in texts(b, "text")]
@@ -281,6 +284,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     need = F.ceil(F.col("n") * percent / 100)
     kept = shared_items(sets, "items").join(sets, "rep").where(F.col("shared") >= need)
     kept = saved(kept.select("rep", "n", "items"), "jaccard-kept")
+    discard(some, sets)
     # rarest first among what is left
     rows = kept.select("rep", "n", F.explode("items").alias("item"))
     df_of = rows.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
@@ -294,6 +298,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = first.groupBy("item").agg(F.max(F.struct("weight", "rep")).alias("pivot"), F.count("*").alias("m"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("y")).where("m > 1")
     heads = heads.select("item", "pivot", F.xxhash64("pivot", "m", "x", "y").alias("list"))
     owners = saved(first.join(heads, "item").select("list", "rep", "pivot").distinct(), "jaccard-owners")
+    discard(rows)
     # each set against one pivot
     pairs = owners.groupBy("rep").agg(F.max("pivot").alias("pivot")).select(F.col("rep").alias("a"), F.col("pivot.rep").alias("b")).where("a <> b")
     left = kept.withColumnRenamed("rep", "a").join(pairs, "a")
@@ -305,19 +310,22 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # lists whose owners are not all connected yet
     owners = owners.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("list", "rep", F.coalesce("component", "rep").alias("label"), (F.col("pivot.rep") == F.col("rep")).alias("heads"))
     owners = saved(owners, "jaccard-labelled")
-    home = owners.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("heads"), F.col("label"))).alias("home")).where("lo < hi").select("list", "home")
-    ready = owners.join(home, "list").select("list", "rep", "label", (F.col("label") != F.col("home")).alias("asking"))
+    home = owners.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("heads"), F.col("label"))).alias("home"), F.min("rep").alias("first")).where("lo < hi").select("list", "home", "first")
+    apart = saved(owners.join(home, "list").select("rep", "first", "label", (F.col("label") != F.col("home")).alias("asking")), "jaccard-apart")
+    # such lists are searched together if they have an owner in common, so that a set travels once
+    groups = components(apart.select(F.col("rep").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    ready = apart.groupBy("rep").agg(F.max("label").alias("label"), F.max("asking").alias("asking")).join(groups, "rep")
     ready = saved(ready.join(kept, "rep"), "jaccard-open")
-    load = ready.groupBy("list").agg(F.ceil(F.sum(F.when(F.col("asking"), F.col("n"))) / QUERY_ITEMS).cast("int").alias("qs"), F.ceil(F.sum("n") / INDEX_ITEMS).cast("int").alias("ms"))
-    ready = ready.join(load, "list")
+    load = ready.groupBy("grp").agg(F.ceil(F.sum(F.when(F.col("asking"), F.col("n"))) / QUERY_ITEMS).cast("int").alias("qs"), F.ceil(F.sum("n") / INDEX_ITEMS).cast("int").alias("ms"))
+    ready = ready.join(load, "grp")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     mine = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
     cols = ["rep", "label", "items"]
-    queries = ready.where("asking").select("list", mine("qs").alias("qb"), every("ms").alias("mb"), F.lit(True).alias("asks"), *cols)
-    held = ready.select("list", every("qs").alias("qb"), mine("ms").alias("mb"), F.lit(False).alias("asks"), *cols)
-    more = saved(queries.unionByName(held).groupBy("list", "qb", "mb").applyInArrow(_search(percent), "a bigint, b bigint"), "jaccard-more")
+    queries = ready.where("asking").select("grp", mine("qs").alias("qb"), every("ms").alias("mb"), F.lit(True).alias("asks"), *cols)
+    held = ready.select("grp", every("qs").alias("qb"), mine("ms").alias("mb"), F.lit(False).alias("asks"), *cols)
+    more = saved(queries.unionByName(held).groupBy("grp", "qb", "mb").applyInArrow(_search(percent), "a bigint, b bigint"), "jaccard-more")
     comp = components(near.unionByName(more))
-    found = reps.select("sig", "rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    found = classes.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     found = found.select("sig", F.coalesce("component", "rep").alias("component"))
     out = marks.select("id", "n", "sig").join(found, "sig", "left")
     return out.select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
