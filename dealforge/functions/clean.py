@@ -59,7 +59,7 @@ def roof_flag(kind: Col, text: Col, floor: Col, high_floor: Col, build_floors: C
 
 
 def new_project_flag(flag: Col, build_year: Col, deal_year: Col) -> Column:
-    new = F.coalesce(_c(flag).isin("1", "true", "TRUE", "yes"), F.lit(False)) | F.coalesce(_c(build_year) >= _c(deal_year), F.lit(False))
+    new = F.coalesce(_c(flag).isin("1", "true", "TRUE", "כן"), F.lit(False)) | F.coalesce(_c(build_year) >= _c(deal_year), F.lit(False))
     return F.when(new, "New Project").otherwise("2nd hand")
 
 
@@ -155,23 +155,76 @@ def suspect_flags(snapshot_year: int) -> Column:
     ))
 
 
-#: Hebrew ordinals from 1 to 10, units of composed numbers from 1 to 9, and named floors.
-ORDINALS = ["ראשונה", "שניה", "שלישית", "רביעית", "חמישית", "שישית", "שביעית", "שמינית", "תשיעית", "עשירית"]
-UNITS = ["אחת", "שתים", "שלוש", "ארבע", "חמש", "שש", "שבע", "שמונה", "תשע"]
-TENS = {20: "עשרים", 30: "שלושים"}
-NAMED = {"מרתף": -1, "קרקע": 0, "הקרקע": 0}
+#: Floors in words.
+FLOORS = {
+    "מרתף": -1, "מרתף שני": -1, "מרתף \u200e-1\u200f": -1,
+    "קרקע": 0, "הקרקע": 0, "קרקע תחתונה": 0, "קרקע עליונה": 0, "ראשונה (קרקע)": 0, "קרקע וראשונה": 0, "קרקע + ראשונה": 0, "קרקע+ראשונה": 0,
+    "קרקע ראשונה": 0, "קרקע, ראשונה": 0, "קרקע,ראשונה": 0, "מרתף+קרקע": 0, "מרתף + קרקע": 0, "מרתף וקרקע": 0, "מרתף, קרקע": 0, "מרתף+קרקע+ראשונה": 0,
+    "מרתף + קרקע + ראשונה": 0, "מרתף קרקע ראשונה": 0, "ראשונה+קרקע": 0,
+    "ראשונה": 1, "א": 1, "א'": 1, "עמודים": 1, "ראשונה+שניה": 1, "ראשונה + שניה": 1, "ראשונה +שניה": 1, "ראשונה, שניה": 1, "ראשונה שניה": 1,
+    "קרקע ראשונה ושניה": 1, "קרקע+ראשונה+שניה": 1, "קרקע + ראשונה + שניה": 1, "קרקע, ראשונה, שניה": 1, "קרקע,ראשונה,שניה": 1, "קרקע ראשונה שניה": 1,
+    "שניה+קרקע": 1,
+    "שנייה": 2, "שניה": 2, "ב": 2, "ב'": 2, "שניה ושלישית": 2, "שניה+שלישית": 2, "שניה + שלישית": 2, "שניה, שלישית": 2, "שניה שלישית": 2,
+    "שניה+גג": 2, "שניה וגג": 2,
+    "שלישית": 3, "ג": 3, "ג'": 3, "שלישית ורביעית": 3, "שלישית+רביעית": 3, "שלישית + רביעית": 3, "שלישית רביעית": 3, "שלישית, רביעית": 3,
+    "שלישית+גג": 3, "שלישית + גג": 3, "שלישית וגג": 3,
+    "רביעית": 4, "ד": 4, "ד'": 4, "רביעית+חמישית": 4, "רביעית + חמישית": 4, "רביעית וחמישית": 4, "רביעית, חמישית": 4, "רביעית חמישית": 4,
+    "רביעית+גג": 4, "רביעית + גג": 4, "רביעית וגג": 4,
+    "חמישית": 5, "ה": 5, "חמישית+שישית": 5, "חמישית + שישית": 5, "חמישית ושישית": 5, "חמישית, שישית": 5, "חמישית שישית": 5, "חמישית+גג": 5,
+    "חמישית + גג": 5, "חמישית וגג": 5,
+    "שישית": 6, "ו": 6, "שישית+שביעית": 6, "שישית + שביעית": 6, "שישית ושביעית": 6, "שישית, שביעית": 6, "שישית+גג": 6, "שישית + גג": 6,
+    "שביעית": 7, "שביעית+שמינית": 7, "שביעית + שמינית": 7, "שביעית, שמינית": 7, "שביעית ושמינית": 7, "שביעית שמינית": 7,
+    "שמינית": 8, "שמינית+תשיעית": 8, "שמינית + תשיעית": 8, "שמינית, תשיעית": 8, "שמינית ותשיעית": 8,
+    "תשיעית": 9, "תשיעית+עשירית": 9, "תשיעית + עשירית": 9, "תשיעית, עשירית": 9, "תשיעית ועשירית": 9,
+    "עשירית": 10,
+    "אחת עשרה": 11,
+    "שתים עשרה": 12,
+    "שלוש עשרה": 13,
+    "ארבע עשרה": 14,
+    "חמש עשרה": 15,
+    "שש עשרה": 16,
+    "שבע עשרה": 17,
+    "שמונה עשרה": 18,
+    "תשע עשרה": 19,
+    "עשרים": 20,
+    "עשרים ואחת": 21,
+    "עשרים ושתיים": 22, "עשרים ושתים": 22,
+    "עשרים ושלוש": 23,
+    "עשרים וארבע": 24,
+    "עשרים וחמש": 25,
+    "עשרים ושש": 26,
+    "עשרים ושבע": 27,
+    "עשרים ושמונה": 28,
+    "עשרים ותשע": 29,
+    "שלושים": 30,
+    "שלושים ואחת": 31,
+    "שלושים ושתיים": 32,
+    "שלושים ושלוש": 33,
+    "שלושים וארבע": 34,
+    "שלושים וחמש": 35,
+    "שלושים ושבע": 37,
+}
+#: The top floor of phrases that name several.
+HIGH_FLOORS = {
+    "קרקע וראשונה": 1, "קרקע + ראשונה": 1, "קרקע+ראשונה": 1, "קרקע ראשונה": 1, "קרקע, ראשונה": 1, "קרקע,ראשונה": 1, "מרתף+קרקע+ראשונה": 1,
+    "מרתף + קרקע + ראשונה": 1, "מרתף קרקע ראשונה": 1,
+    "ראשונה+שניה": 2, "ראשונה + שניה": 2, "ראשונה +שניה": 2, "ראשונה, שניה": 2, "ראשונה שניה": 2, "קרקע ראשונה ושניה": 2, "קרקע+ראשונה+שניה": 2,
+    "קרקע + ראשונה + שניה": 2, "קרקע, ראשונה, שניה": 2, "קרקע,ראשונה,שניה": 2, "קרקע ראשונה שניה": 2,
+    "שניה ושלישית": 3, "שניה+שלישית": 3, "שניה + שלישית": 3, "שניה, שלישית": 3, "שניה שלישית": 3,
+    "שלישית ורביעית": 4, "שלישית+רביעית": 4, "שלישית + רביעית": 4, "שלישית רביעית": 4, "שלישית, רביעית": 4,
+    "רביעית+חמישית": 5, "רביעית + חמישית": 5, "רביעית וחמישית": 5, "רביעית, חמישית": 5, "רביעית חמישית": 5,
+    "חמישית+שישית": 6, "חמישית + שישית": 6, "חמישית ושישית": 6, "חמישית, שישית": 6, "חמישית שישית": 6,
+    "שישית+שביעית": 7, "שישית + שביעית": 7, "שישית ושביעית": 7, "שישית, שביעית": 7,
+    "שביעית+שמינית": 8, "שביעית + שמינית": 8, "שביעית, שמינית": 8, "שביעית ושמינית": 8, "שביעית שמינית": 8,
+    "שמינית+תשיעית": 9, "שמינית + תשיעית": 9, "שמינית, תשיעית": 9, "שמינית ותשיעית": 9,
+    "תשיעית+עשירית": 10, "תשיעית + עשירית": 10, "תשיעית, עשירית": 10, "תשיעית ועשירית": 10,
+}
 FLOOR_WORD = "קומה"
 
 
 def floor_words() -> dict[str, float]:
-    """Floors in words, composed from ordinals, units and tens."""
-    out: dict[str, float] = dict(NAMED)
-    out |= {w: n for n, w in enumerate(ORDINALS, 1)}
-    out |= {f"{u} עשרה": 10 + n for n, u in enumerate(UNITS, 1)}
-    for ten, word in TENS.items():
-        out[word] = ten
-        out |= {f"{word} ו{u}": ten + n for n, u in enumerate(UNITS, 1)}
-    return out
+    """Floors in words, a phrase of several as its lowest."""
+    return dict(FLOORS)
 
 
 def _floor_text(text: Col) -> Column:
@@ -198,7 +251,11 @@ def high_floor(text: Col, phrases: dict[str, float], floor: Col) -> Column:
 
 def cased_address(c: Col) -> Column:
     """An address for token search: lower case, without points, quotes and diacritics of Hebrew."""
-    return F.lower(F.regexp_replace(_c(c), "[֑-ׇ'\"׳״`]", ""))
+    return F.lower(F.regexp_replace(_c(c).cast("string"), "[֑-ׇ'\"׳״`]", ""))
+
+
+#: Words that say nothing in an address.
+ADDRESS_STOP = ("רחוב", "רח", "מספר")
 
 
 def tokens(query: str, stop: tuple[str, ...] = (), most: int = 160) -> list[str]:

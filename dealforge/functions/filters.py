@@ -6,7 +6,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .clean import cased_address, clean_text, gush_key, num, price_metric, text_key, tokens, tri_state
+from .clean import ADDRESS_STOP, cased_address, clean_text, gush_key, num, price_metric, text_key, tokens, tri_state
 from .schema import FIRST_BUILD_YEAR, LAST_BUILDING_AGE, UNKNOWN
 
 Range = tuple[float | None, float | None]
@@ -100,7 +100,7 @@ def project_ok(choice: str | list[str]) -> Column | None:
     return None if choice == "both" else text_key("new_project") == ("new project" if choice == "yes" else "2nd hand")
 
 
-def address_ok(query: str, c: str = "full_address", stop: tuple[str, ...] = ()) -> Column:
+def address_ok(query: str, c: str = "full_address", stop: tuple[str, ...] = ADDRESS_STOP) -> Column:
     """Every token of the query occurs, numbers as whole numbers; a query without tokens has no rows."""
     found = tokens(query, stop)
     text = F.coalesce(cased_address(c), F.lit(""))
@@ -213,11 +213,17 @@ def keep_groups(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def search_rows(df: DataFrame, text: str = "", contains: dict[str, str] | None = None, ranges: dict[str, Range] | None = None, order: list | None = None) -> DataFrame:
-    """Rows in which every word of ``text`` occurs in some column, with column filters and an order."""
+    """Rows in which one column holds every word of ``text``, with column filters and an order.
+
+    Words are those of an address search: numbers are whole numbers, stop words do not count. A
+    text without any word asks for nothing.
+    """
     out = df
-    joined = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in df.columns]))
-    for word in text.lower().split():
-        out = out.where(joined.contains(word))
+    if tokens(text, ADDRESS_STOP):
+        held = F.lit(False)
+        for c in df.columns:
+            held |= address_ok(text, c)
+        out = out.where(held)
     for c, part in (contains or {}).items():
         out = out.where(F.lower(F.col(c).cast("string")).contains(part.lower()))
     for c, bounds in (ranges or {}).items():

@@ -119,7 +119,7 @@ def relative_series(series: DataFrame, key: str, mode: str = "indexed") -> DataF
     at = s.where("deal_year = base_year").select(F.col(key).alias("_k"), F.col("y").alias("_b"))
     r = F.col("y") / F.col("_b")
     value = r * 100 if mode == "indexed" else (r - 1) * 100
-    return s.join(F.broadcast(at), F.col(key) == F.col("_k")).select(key, "deal_year", "base_year", F.col("y").alias("raw_y"), F.round(value, 3).alias("y"))
+    return s.join(at, F.col(key) == F.col("_k")).select(key, "deal_year", "base_year", F.col("y").alias("raw_y"), F.round(value, 3).alias("y"))
 
 
 def pack_series(summary: DataFrame, keys: list[str]) -> DataFrame:

@@ -68,7 +68,7 @@ def link_by_property(current: DataFrame, legacy: DataFrame, key: str = "unit_key
 def with_label(df: DataFrame, descriptions: DataFrame) -> DataFrame:
     """``gush_label``: the block's description, else its number."""
     d = descriptions.select("city", "gush", "gush_desc")
-    return df.join(F.broadcast(d), ["city", "gush"], "left").withColumn("gush_label", F.coalesce("gush_desc", F.col("gush").cast("long").cast("string"))).drop("gush_desc")
+    return df.join(d, ["city", "gush"], "left").withColumn("gush_label", F.coalesce("gush_desc", F.col("gush").cast("long").cast("string"))).drop("gush_desc")
 
 
 def cities_of(streets: DataFrame, gushes: list[float]) -> DataFrame:
@@ -144,23 +144,46 @@ def split_shared_gush(df: DataFrame) -> DataFrame:
     return out.withColumn("gush", F.when(F.col("_k").isNull(), F.col("gush")).otherwise(F.col("gush") * 10 + F.col("_k"))).drop("_k").select(*df.columns)
 
 
-def lookup_addresses(legacy: DataFrame, current: DataFrame, query: str, key: str = "unit_key") -> DataFrame:
+def lookup_addresses(legacy: DataFrame, current: DataFrame, query: str, key: str = "unit_key", floor: float | None = None, years: tuple[int, int] = (1998, 2026), most: int = 50) -> DataFrame:
     """Both sources' rows of the properties at an address, with how sure each link is.
 
-    Legacy rows come by address; current rows by their property keys. A current full sale on the
-    one same day with the same price is confirmed and takes the legacy row's place.
+    Legacy rows come by address and floor; current rows by their property keys, of which more than
+    ``most`` are an error. A current full sale is confirmed by the legacy row found on its day if
+    both are the only rows of their property and day among all rows of their source and their
+    prices agree; it takes that row's place. ``conflicts`` names what differs then, and properties
+    whose legacy rows name several addresses or floors.
     """
     found = legacy.where(address_ok(query)).where(F.col(key).isNotNull())
+    found = found if floor is None else found.where(num("floor") == floor)
     keys = found.select("city", key).distinct()
-    cur = current.join(keys, ["city", key], "left_semi")
-    on = ["city", key, "deal_date"]
-    a = unique_by(cur, on).where(num("sale_portion") == 1).select(*on, F.col("record_id").alias("cid"), F.col("price_millions").alias("cp"))
-    b = unique_by(found, on).select(*on, F.col("record_id").alias("lid"), F.col("price_millions").alias("lp"))
-    sure = a.join(b, on).where(F.abs(num("cp") - num("lp")) <= 0.001).select("cid", "lid")
-    out = cur.join(sure.select(F.col("cid").alias("record_id"), "lid"), "record_id", "left")
-    out = out.select("record_id", "city", key, "deal_date", "price_millions", F.when(F.col("lid").isNotNull(), "confirmed").otherwise("candidate").alias("status"), F.col("lid").alias("legacy_record_id"))
+    if keys.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} properties are at this address")
+    unit, on = ["city", key], ["city", key, "deal_date"]
+    # at most ``most`` keys
+    cur, old = (t.join(F.broadcast(keys), unit, "left_semi") for t in (current, legacy))
+    facts = ("price_millions", "area", "rooms", "build_year")
+    a = unique_by(cur, on).where(num("sale_portion") == 1).select(*on, F.col("record_id").alias("cid"), *[num(c).alias(f"n_{c}") for c in facts])
+    b = unique_by(old, on).join(found.select("record_id"), "record_id", "left_semi").select(*on, F.col("record_id").alias("lid"), *[num(c).alias(f"o_{c}") for c in facts])
+    sure = a.join(b, on).where(F.abs(F.col("n_price_millions") - F.col("o_price_millions")) <= PRICE_M)
+    differ = [F.when(F.coalesce(F.abs(F.col(f"n_{c}") - F.col(f"o_{c}")) > most_off, F.lit(True)), c) for c, most_off in (("area", 0.5), ("rooms", 0.001), ("build_year", 0.0))]
+    sure = sure.select(F.col("cid").alias("record_id"), "lid", F.array_compact(F.array(*differ)).alias("differ"))
+    text = F.coalesce(F.trim("full_address"), F.lit(""))
+    names = F.array_join(F.sort_array(F.collect_set(F.nullif(text, F.lit("")))), " / ")
+    floors = F.array_join(F.transform(F.sort_array(F.collect_set(F.when(num("floor") != UNKNOWN, num("floor")))), lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")), " / ")
+    refs = found.groupBy(*unit).agg(names.alias("unit_address"), floors.alias("unit_floor"))
+    same = found.groupBy(*on).agg(names.alias("day_address"), floors.alias("day_floor"))
+    mixed = old.groupBy(*unit).agg(((F.countDistinct(text) > 1) | (F.countDistinct("floor") > 1)).alias("mixed"))
+    out = cur.join(sure, "record_id", "left").join(F.broadcast(refs), unit).join(F.broadcast(mixed), unit).join(same, on, "left")
+    matched = F.col("lid").isNotNull()
+    pick = lambda c: F.when(matched, F.col(f"day_{c}")).otherwise(F.col(f"unit_{c}"))
+    conflicts = F.array_join(F.concat(F.coalesce("differ", F.array().cast("array<string>")), F.when(F.col("mixed"), F.array(F.lit("references"))).otherwise(F.array().cast("array<string>"))), ",")
+    none = F.when(matched, "none").otherwise("unchecked")
+    said = [F.coalesce(F.nullif(conflicts, F.lit("")), none).alias("conflicts")]
+    out = out.select("record_id", *on, "price_millions", F.when(matched, "confirmed").otherwise("candidate").alias("status"), F.col("lid").alias("legacy_record_id"), pick("address").alias("reference_address"), pick("floor").alias("reference_floor"), *said)
     rest = found.join(sure.select(F.col("lid").alias("record_id")), "record_id", "left_anti")
-    return out.unionByName(rest.select("record_id", "city", key, "deal_date", "price_millions", F.lit("legacy").alias("status"), F.lit(None).cast("string").alias("legacy_record_id")))
+    own = F.regexp_replace(num("floor").cast("string"), r"\.0$", "").alias("reference_floor")
+    rest = rest.select("record_id", *on, "price_millions", F.lit("legacy").alias("status"), F.lit(None).cast("string").alias("legacy_record_id"), text.alias("reference_address"), own, F.lit("share unknown").alias("conflicts"))
+    return out.unionByName(rest).where(F.year("deal_date").between(*years))
 
 
 def deal_history(current: DataFrame, legacy: DataFrame, key: str = "unit_key") -> DataFrame:

@@ -150,7 +150,7 @@ def c21(spark, sf_dir):
     return filters.keep_groups(d, d.groupBy("city", "deal_year").count().where("count > 20"), ["city", "deal_year"]).select(ID)
 
 
-@register("C22_search_rows", f"{WITH} select record_id, city, street, gush from deals where contains(lower(concat_ws(' ', record_id, city, street, cast(gush as varchar))), 'nation_1') and contains(lower(street), 'e') and gush between 3 and 30")
+@register("C22_search_rows", f"{WITH} select record_id, city, street, gush from deals where regexp_matches(city, '(^|[^0-9])1($|[^0-9])') and contains(lower(street), 'e') and gush between 3 and 30")
 def c22(spark, sf_dir):
     d = deals(spark, sf_dir).select(ID, "city", "street", "gush")
     return filters.search_rows(d, "Nation_1", {"street": "E"}, {"gush": (3, 30)}, [F.desc("gush"), ID])

@@ -10,7 +10,7 @@ from ..sources import tables
 from . import jobs
 from .basics import FULL, bounds_sql, global_sql
 from .fixtures import SNAPSHOT_YEAR, WITH, deals, legacy_deals, units
-from .links import CONFLICT, DESCR, LOOK, STRICT, U, old_units, second_raw
+from .links import CONFLICT, DESCR, LOOK, STRICT, U, first_raw, old_units, second_raw
 from .registry import register
 from .trends import GROWTH
 
@@ -55,13 +55,15 @@ def n6(spark, sf_dir):
     return jobs.scoped_export(d, shown, ("city", "deal_year")).select("Record", "City")
 
 
-@register("N07_import_first", f"{WITH}, o as (select city, gush, count(*) as n from (select distinct city, street, gush_code, deal_date, price_millions, area, rooms, floor, build_floors, apt_type, gush from legacy) group by all), p as (select *, count(*) over (partition by gush) as c, row_number() over (partition by gush order by city) as k from o) select city, case when c > 1 then gush * 10 + k else gush end as gush, n from p")
+SAID = "city, street, gush_code, deal_date, price_millions, area, rooms, floor, build_floors, apt_type"
+IMPORTED = "fresh as (select distinct record_id, city, street, gush_code, deal_date, cast(round(price_millions * 1e6) as bigint) / 1e6 as price_millions, cast(area as double) as area, rooms, cast(null as double) as floor, build_floors, apt_type, gush from deals)"
+
+
+@register("N07_import_first", f"{WITH}, {IMPORTED}, loose as (select {SAID}, min(gush) as gush from legacy group by all), here as (select city, gush from fresh union all select city, gush from loose l where not exists (select 1 from fresh f where {' and '.join(f'f.{c.strip()} is not distinct from l.{c.strip()}' for c in SAID.split(','))})), o as (select city, gush, count(*) as n from here group by all), p as (select *, count(*) over (partition by gush) as c, row_number() over (partition by gush order by city) as k from o) select city, case when c > 1 then gush * 10 + k else gush end as gush, sum(n)::bigint as n from p group by 1, 2")
 def n7(spark, sf_dir):
-    """Existing rows alone: no raw file of the first source comes with the tables."""
-    old = legacy_deals(spark, sf_dir)
-    texts = ["resource_id", "row_num", "city_name", "dealdatetime", "dealdate", "dealamount", "dealnature", "assetroomno", "floorno", "buildingfloors", "buildingyear", "yearbuilt", "dealnaturedescription", "street", "gush", "fulladdress", "displayaddress", "newprojectext"]
-    none = old.limit(0).select(*[F.lit(None).cast("string").alias(c) for c in texts])
-    return jobs.import_first(none, old)["deals"].groupBy("city", "gush").agg(F.count("*").alias("n"))
+    """All deals as raw texts beside existing rows; numbers of blocks in several cities get their place, and may meet."""
+    raw = first_raw(deals(spark, sf_dir).withColumn("source_key", F.col("record_id")))
+    return jobs.import_first(raw, legacy_deals(spark, sf_dir).withColumn("area", F.col("area").cast("double")))["deals"].groupBy("city", "gush").agg(F.count("*").alias("n"))
 
 
 @register("N08_import_second", f"{WITH} {STRICT} select d.record_id, g.street, concat_ws(';', case when g.full_address is null then 'missing_address' end, case when g.floor is null then 'missing_floor' end, case when d.area is null then 'missing_area' end, case when d.rooms is null then 'missing_rooms' end) as quality_flags from deals d left join good g using (record_id) where apt_type <> 'PROMO' and deal_date <= date '1999-12-31' and price_millions > 0")
@@ -90,6 +92,6 @@ def n11(spark, sf_dir):
 
 @register("N12_address_lookup", f"{WITH} {LOOK} select {U}, count(*) as n from (select {U} from cur union all select {U} from found where record_id not in (select lid from sure)) group by {U}")
 def n12(spark, sf_dir):
-    return jobs.address_job(old_units(spark, sf_dir), units(spark, sf_dir), "red 12")["lookup"].groupBy("city", "unit_key", "deal_date").agg(F.count("*").alias("n"))
+    return jobs.address_job(old_units(spark, sf_dir), units(spark, sf_dir), "red 12", years=(1990, 2026), most=10**6)["lookup"].groupBy("city", "unit_key", "deal_date").agg(F.count("*").alias("n"))
 
 

@@ -122,6 +122,6 @@ def repeat_sales(rows: DataFrame, conditions: dict, key: str = "unit_key") -> di
     return {"scopes": quality.repeat_sale_scopes(rows, conditions, key), "list": quality.repeat_sale_list(whole, key), "stable": quality.stable_profiles(whole, key), "consistent": quality.repeat_sales(quality.consistent_units(whole, key), key)}
 
 
-def address_job(legacy: DataFrame, current: DataFrame, query: str, key: str = "unit_key") -> dict[str, DataFrame]:
+def address_job(legacy: DataFrame, current: DataFrame, query: str, key: str = "unit_key", **how) -> dict[str, DataFrame]:
     history = linkage.deal_history(current, legacy, key)
-    return {"lookup": linkage.lookup_addresses(legacy, current, query, key), "history": history, "by_date": linkage.by_date(history, key), "pairs": linkage.pair_parallel(current, legacy, key)}
+    return {"lookup": linkage.lookup_addresses(legacy, current, query, key, **how), "history": history, "by_date": linkage.by_date(history, key), "pairs": linkage.pair_parallel(current, legacy, key)}

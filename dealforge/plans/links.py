@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import clean
@@ -36,6 +39,90 @@ def a3(spark, sf_dir):
     return tables.read_lookup(spark, f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
 
 
+def scratch(spark) -> str:
+    """A new folder in the one that the cluster shares; for a local master, elsewhere if none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(root or tempfile.mkdtemp(prefix='spark-shared-')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@register("A04_types", f"{WITH} select distinct apt_type from deals")
+def a4(spark, sf_dir):
+    path = scratch(spark)
+    deals(spark, sf_dir).select("apt_type").distinct().agg(F.to_json(F.sort_array(F.collect_list("apt_type")))).write.text(path)
+    return tables.read_types(spark, path)
+
+
+@register("A05_polygons", f"{WITH} select distinct gush, city as poly_city, cast(gush * 100 as bigint) + cast(substring(city, 8) as bigint) as feature_id from deals")
+def a5(spark, sf_dir):
+    path, fid = scratch(spark), F.col("gush").cast("long") * 100 + F.substr("city", F.lit(8)).cast("long")
+    blocks = deals(spark, sf_dir).select("gush", "city").distinct()
+    props = F.struct(F.col("gush").alias("GUSH_NUM"), F.col("city").alias("LOCALITY_N"), fid.alias("FID"))
+    one = F.struct(F.lit("Feature").alias("type"), props.alias("properties"), F.struct(F.lit("Point").alias("type"), F.array("gush", "gush").alias("coordinates")).alias("geometry"))
+    blocks.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(one).alias("features")))).write.text(path)
+    return tables.read_polygons(spark, path).select("gush", "poly_city", "feature_id")
+
+
+def raw_csv(d, path):
+    d.select("record_id", "city", "street", "roof", F.date_format("deal_date", "dd/MM/yyyy").alias("deal_date")).write.option("header", True).csv(path)
+
+
+@register("A07_raw_csv", f"{WITH} select record_id, city, street, roof, strftime(deal_date, '%d/%m/%Y') as deal_date, 'one' as resource_id from deals")
+def a7(spark, sf_dir):
+    path = scratch(spark)
+    raw_csv(deals(spark, sf_dir), path)
+    names = [r[0] for r in spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1)).collect()]  # one row per file
+    return tables.read_raw_csv(spark, [path], dict.fromkeys(names, "one")).drop("source_file")
+
+
+@register("A08_snapshot", f"{WITH} select record_id, city, 2 as source_version from deals where deal_year >= 1995")
+def a8(spark, sf_dir):
+    root, d = scratch(spark), deals(spark, sf_dir)
+    raw_csv(d.where("deal_year < 1995"), f"{root}/v1")
+    raw_csv(d.where("deal_year >= 1995"), f"{root}/v2")
+    got = tables.read_snapshot(spark, [{"version_number": 2, "files": ["v2"]}, {"version_number": 1, "files": ["v1"]}], root)
+    return got.select("record_id", "city", "source_version")
+
+
+@register("A09_check_files", f"{WITH} select v.problem, case when v.problem = 'missing' then 0 else count(*) end as more from deals, (values ('missing'), ('rows')) v(problem) group by 1 union all select 'checksum', 0")
+def a9(spark, sf_dir):
+    """An inventory with a file that is gone, one of another checksum, and one of as many rows too many as there are deals."""
+    path = scratch(spark)
+    raw_csv(deals(spark, sf_dir).repartition(3), path)
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    counts = spark.read.option("header", True).csv(path).groupBy(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1).alias("file")).agg(F.count("*").alias("rows"))
+    total, ends = counts.agg(F.sum("rows").alias("total")), files.agg(F.min("file").alias("lo"), F.max("file").alias("hi"))
+    known = files.join(counts, "file").crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(total))
+    known = known.select("file", F.when(F.col("file") == F.col("lo"), "x").otherwise(F.col("sha256")).alias("sha256"), F.when(F.col("file") == F.col("hi"), F.col("rows") + F.col("total")).otherwise(F.col("rows")).alias("rows"))
+    gone = spark.range(1).select(F.lit("gone.csv").alias("file"), F.lit("x").alias("sha256"), F.lit(0).cast("long").alias("rows"))
+    return tables.check_files(spark, path, known.unionByName(gone)).select("problem", F.when(F.col("problem") == "rows", F.col("rows") - F.col("got_rows")).otherwise(0).alias("more"))
+
+
+@register("A10_write_deals", f"{WITH} select record_id, city, price_millions from deals where city in ('NATION_2', 'NATION_9')")
+def a10(spark, sf_dir):
+    path = scratch(spark)
+    tables.write_deals(deals(spark, sf_dir), path)
+    return tables.read_deals(spark, path, ["NATION_9", "NATION_2"]).select("record_id", "city", "price_millions")
+
+
+@register("A12_publish", f"{WITH} select city, count(*) as deals, min(deal_date) as first from deals group by city")
+def a12(spark, sf_dir):
+    path, d = scratch(spark), deals(spark, sf_dir)
+    tables.publish(d, d.groupBy("city").agg(F.min("deal_date").alias("first")), path)
+    deals_there = tables.read_deals(spark, f"{path}/cities").groupBy("city").agg(F.count("*").alias("deals"))
+    return spark.read.parquet(f"{path}/coverage").join(deals_there, "city").select("city", "deals", "first")
+
+
+@register("A15_report", f"{WITH} select city, count(*) as n from deals group by city union all select city, count(*) from legacy group by city")
+def a15(spark, sf_dir):
+    path = scratch(spark)
+    for kind, d in (("json", deals(spark, sf_dir)), ("csv", legacy_deals(spark, sf_dir))):
+        tables.write_report(d.groupBy("city").agg(F.count("*").alias("n")), f"{path}/{kind}", kind)
+    schema = "city string, n long"
+    return spark.read.schema(schema).json(f"{path}/json").unionByName(spark.read.schema(schema).option("header", True).csv(f"{path}/csv"))
+
+
 @register("A06_index_series", f"{WITH} select year, index_value from bench")
 def a6(spark, sf_dir):
     return bench_index(spark, sf_dir).select(clean.num("year").cast("int").alias("year"), clean.num("index_value").alias("index_value")).dropna()
@@ -81,14 +168,17 @@ def a16(spark, sf_dir):
 
 @register("B16_transform_raw", f"{WITH} select source_key, city, gush, full_address, deal_date, deal_year, price_millions, rooms, build_floors, new_project from (select 'r:' || source_key as source_key, city, gush, full_address, deal_date, deal_year, cast(round(price_millions * 1e6) as bigint) / 1e6 as price_millions, rooms, build_floors, case when build_year >= deal_year then 'New Project' else '2nd hand' end as new_project from deals)")
 def b16(spark, sf_dir):
-    d = deals(spark, sf_dir)
+    return tables.transform_raw(first_raw(deals(spark, sf_dir))).select("source_key", "city", "gush", "full_address", "deal_date", "deal_year", "price_millions", "rooms", "build_floors", "new_project")
+
+
+def first_raw(d):
+    """Deals as the first source's raw texts."""
     s = lambda c: F.col(c).cast("string")
-    raw = d.select(
+    return d.select(
         F.lit("r").alias("resource_id"), F.col("source_key").alias("row_num"), F.col("city").alias("city_name"), F.lit(None).cast("string").alias("dealdatetime"), F.date_format("deal_date", "dd.MM.yyyy").alias("dealdate"),
         F.format_number(F.round(F.col("price_millions") * 1e6), 0).alias("dealamount"), s("area").alias("dealnature"), s("rooms").alias("assetroomno"), s("floor").alias("floorno"), s("build_floors").alias("buildingfloors"), s("build_year").alias("buildingyear"),
         F.lit(None).cast("string").alias("yearbuilt"), F.col("apt_type").alias("dealnaturedescription"), "street", F.col("gush_code").alias("gush"), F.col("full_address").alias("fulladdress"), F.lit("").alias("displayaddress"), F.lit("").alias("newprojectext"),
     )
-    return tables.transform_raw(raw).select("source_key", "city", "gush", "full_address", "deal_date", "deal_year", "price_millions", "rooms", "build_floors", "new_project")
 
 
 @register("B18_transform_raw2", f"{WITH} select record_id, {KEY} as gush_code, deal_date, round(price_millions, 9) as price_millions, area, case when rooms > 0 then rooms end as rooms, case when build_year > 0 then build_year end as build_year, sale_portion from deals")
@@ -176,12 +266,13 @@ def f9(spark, sf_dir):
     return linkage.split_shared_gush(deals(spark, sf_dir)).select("record_id", "gush")
 
 
-LOOK = f"{OLD_UNITS}, found as (select * from old where contains(lower(full_address), 'red') and regexp_matches(full_address, '(^|[^0-9])12($|[^0-9])')), ks as (select distinct city, unit_key from found), cur as (select units.* from units semi join ks using (city, unit_key)), a as (select {U}, min(record_id) as cid, min(price_millions) as cp, min(sale_portion) as sp from cur group by {U} having count(*) = 1), b as (select {U}, min(record_id) as lid, min(price_millions) as lp from found group by {U} having count(*) = 1), sure as (select cid, lid from a join b using ({U}) where sp = 1 and abs(cp - lp) <= 0.001)"
+LOOK = f"{OLD_UNITS}, found as (select * from old where contains(lower(full_address), 'red') and regexp_matches(full_address, '(^|[^0-9])12($|[^0-9])')), ks as (select distinct city, unit_key from found), cur as (select units.* from units semi join ks using (city, unit_key)), known as (select old.* from old semi join ks using (city, unit_key)), a as (select {U}, min(record_id) as cid from cur group by {U} having count(*) = 1), b as (select {U}, min(record_id) as lid from known group by {U} having count(*) = 1), sure as (select cid, lid, concat_ws(',', case when abs(n.area - o.area) <= 0.5 then null else 'area' end, case when abs(n.rooms - o.rooms) <= 0.001 then null else 'rooms' end, case when n.build_year = o.build_year then null else 'build_year' end) as d from a join b using ({U}) join units n on n.record_id = cid join found o on o.record_id = lid where n.sale_portion = 1 and abs(n.price_millions - o.price_millions) <= 0.001000001)"
+REFS = ", rk as (select city, unit_key, string_agg(distinct full_address, ' / ' order by full_address) as ka from found group by all), rd as (select city, unit_key, deal_date, string_agg(distinct full_address, ' / ' order by full_address) as da from found group by all), kf as (select city, unit_key, string_agg(cast(f as bigint), ' / ' order by f) as kfl from (select distinct city, unit_key, floor as f from found where floor <> 999) group by all), df as (select city, unit_key, deal_date, string_agg(cast(f as bigint), ' / ' order by f) as dfl from (select distinct city, unit_key, deal_date, floor as f from found where floor <> 999) group by all), mx as (select city, unit_key, count(distinct full_address) > 1 or count(distinct floor) > 1 as mixed from known group by all)"
 
 
-@register("F10_lookup_addresses", f"{WITH} {LOOK} select record_id, city, unit_key, deal_date, price_millions, case when lid is null then 'candidate' else 'confirmed' end as status, lid as legacy_record_id from cur left join sure on cid = record_id union all select record_id, city, unit_key, deal_date, price_millions, 'legacy', null from found where record_id not in (select lid from sure)")
+@register("F10_lookup_addresses", f"{WITH} {LOOK} {REFS} select record_id, city, unit_key, deal_date, price_millions, case when lid is null then 'candidate' else 'confirmed' end as status, lid as legacy_record_id, case when lid is null then ka else da end as reference_address, coalesce(case when lid is null then kfl else dfl end, '') as reference_floor, coalesce(nullif(concat_ws(',', nullif(d, ''), case when mixed then 'references' end), ''), case when lid is null then 'unchecked' else 'none' end) as conflicts from cur left join sure on cid = record_id left join rk using (city, unit_key) left join kf using (city, unit_key) left join mx using (city, unit_key) left join rd using ({U}) left join df using ({U}) union all select record_id, city, unit_key, deal_date, price_millions, 'legacy', null, full_address, cast(cast(floor as bigint) as varchar), 'share unknown' from found where record_id not in (select lid from sure)")
 def f10(spark, sf_dir):
-    return linkage.lookup_addresses(old_units(spark, sf_dir), units(spark, sf_dir), "red 12")
+    return linkage.lookup_addresses(old_units(spark, sf_dir), units(spark, sf_dir), "red 12", years=(1990, 2026), most=10**6)
 
 
 HIST = f"{OLD_UNITS}, both_ as (select record_id, {U}, price_millions, 'current' as source from units union all select record_id, {U}, price_millions, 'legacy' from old)"

@@ -159,18 +159,20 @@ def append_existing(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.unionByName(old.drop("source_key").withColumn("source_key", F.lit(None).cast("string")), allowMissingColumns=True)
 
 
-ROOF_TYPES, ROOF_WORD = ["דירת גג", "פנטהאוז"], "גג"
+#: Types of roof apartments and the word for a roof.
+ROOF_TYPES, ROOF_WORD = ["דירת גג", "דירת גג (פנטהאוז)", "מיני פנטהאוז"], "גג"
 
 
 def transform_raw(df: DataFrame, aliases: dict[str, str] | None = None, floors: dict[str, float] | None = None, phrases: dict[str, float] | None = None) -> DataFrame:
     """Raw texts of the first source as deals; rows with a city and a date stay."""
     floors = clean.floor_words() if floors is None else floors
+    phrases = clean.HIGH_FLOORS if phrases is None else phrases
     base = df.select(
         "*", clean.city_name("city_name", aliases or {}).alias("city"), F.coalesce(clean.parse_date(F.substring("dealdatetime", 1, 10), "yyyy-MM-dd"), clean.parse_date("dealdate", "dd.MM.yyyy")).alias("deal_date"),
         clean.parse_number("dealamount").alias("_amount"), clean.parse_number("dealnature").alias("area"), clean.parse_number("assetroomno").alias("rooms"), clean.floor_number("floorno", floors).alias("floor"),
         clean.parse_number("buildingfloors").alias("build_floors"), clean.parse_number("buildingyear").alias("build_year"), clean.parse_number("yearbuilt").alias("_built"), clean.clean_text("dealnaturedescription").alias("apt_type"),
     )
-    d = base.withColumns({"deal_year": F.year("deal_date").cast("double"), "_high": clean.high_floor("floorno", phrases or {}, "floor"), "_street": clean.clean_text("street")})
+    d = base.withColumns({"deal_year": F.year("deal_date").cast("double"), "_high": clean.high_floor("floorno", phrases, "floor"), "_street": clean.clean_text("street")})
     out = d.select(
         clean.source_key("resource_id", "row_num").alias("source_key"), "city", F.col("_street").alias("street"), clean.gush_of("gush").alias("gush"), clean.clean_text("gush").alias("gush_code"),
         F.coalesce(clean.clean_text("fulladdress"), clean.clean_text("displayaddress"), clean.address_of("_street", "city")).alias("full_address"), "deal_date", "deal_year", (F.col("_amount") / 1e6).alias("price_millions"),

@@ -37,6 +37,10 @@ def test_texts_and_keys(spark):
     got = df.select(clean.parse_number("n"), clean.parse_date(F.trim("d")), clean.cadastral_key("k"), clean.floor_number("f", clean.floor_words()), clean.tri_state("r"), clean.place_key("p")).first()
     assert tuple(got) == (1234.5, datetime.date(2020, 12, 31), "7-1-2", 3.0, True, "תלאביביפו")
     words = clean.floor_words()
+    assert len(words) == 133 and len(clean.HIGH_FLOORS) == 57
+    floors = rows(spark, [("קרקע + ראשונה", 4.0), ("שביעית שמינית", 8.0), ("שלישית", 9.0), (" ד' ", 5.0), ("שלושים ושבע", 1.0)], "f string, top double")
+    floors = floors.withColumns({"low": clean.floor_number("f", words)}).withColumn("high", clean.high_floor("f", clean.HIGH_FLOORS, "low"))
+    assert [tuple(r) for r in floors.select("low", "high", clean.roof_flag("f", "f", "low", "high", "top", tables.ROOF_TYPES, tables.ROOF_WORD)).collect()] == [(0.0, 1.0, False), (7.0, 8.0, True), (3.0, 3.0, False), (4.0, 4.0, False), (37.0, 37.0, False)]
     assert words["שניה"] == 2 and words["שתים עשרה"] == 12 and words["עשרים ושלוש"] == 23 and words["קרקע"] == 0
     bad = rows(spark, [("0-1-2",), ("1-2",), ("a-1-2",), (None,), ("1-2-0",)], "k string")
     assert {r[0] for r in bad.select(clean.cadastral_key("k")).collect()} == {None}
@@ -204,3 +208,20 @@ def test_sources_and_sinks(spark, tmp_path):
     assert tables.read_types(spark, str(tmp_path / "t.json")).count() == 2
     tables.write_report(df, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 2
+
+
+def test_lookup_is_sure_only_of_sales_that_are_alone_in_all_rows(spark):
+    """A legacy row of the same property and day at another address stands against confirmation."""
+    old = rows(spark, [("o1", "X", "k1", DAY, 2.0, 80.0, 3.0, 2000.0, "Red 12", 2.0), ("o2", "X", "k2", DAY, 3.0, 70.0, 3.0, 1990.0, "red 12", 1.0), ("o3", "X", "k2", DAY, 9.0, 70.0, 3.0, 1990.0, "Blue 5", 4.0), ("o4", "X", "k3", DAY, 1.0, 50.0, 2.0, None, "red 112", 1.0)], "record_id string, city string, unit_key string, deal_date date, price_millions double, area double, rooms double, build_year double, full_address string, floor double")
+    cur = rows(spark, [("n1", "X", "k1", DAY, 2.001, 81.0, 3.0, 2000.0, 1.0), ("n2", "X", "k2", DAY, 3.0, 70.0, 3.0, 1990.0, 1.0), ("n3", "X", "k3", DAY, 1.0, 50.0, 2.0, 1990.0, 1.0)], "record_id string, city string, unit_key string, deal_date date, price_millions double, area double, rooms double, build_year double, sale_portion double")
+    look = lambda **how: {r["record_id"]: (r["status"], r["legacy_record_id"], r["reference_address"], r["reference_floor"], r["conflicts"]) for r in linkage.lookup_addresses(old, cur, "רחוב red 12", years=(1900, 2100), **how).collect()}
+    assert look() == {"n1": ("confirmed", "o1", "Red 12", "2", "area"), "n2": ("candidate", None, "red 12", "1", "references"), "o2": ("legacy", None, "red 12", "1", "share unknown")}
+    assert set(look(floor=1.0)) == {"n2", "o2"}
+    with pytest.raises(ValueError):
+        look(most=1)
+
+
+def test_search_wants_all_words_in_one_column(spark):
+    df = rows(spark, [(1, "red 12", "x"), (2, "red", "12"), (3, "red 121", "x"), (4, None, "12, Red")], "id int, a string, b string")
+    assert sorted(r[0] for r in filters.search_rows(df, "Red 12").collect()) == [1, 4]
+    assert filters.search_rows(df, "").count() == 4
