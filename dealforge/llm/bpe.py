@@ -7,7 +7,8 @@ Each match of the vocabulary's split pattern is encoded on its own, so a worker
 the pieces that it has met. The pattern's letter and number classes are stable only up to a Unicode
 version; a text with characters outside long-settled ranges goes through the library whole.
 
-Cases: a null text counts as empty and has no ids; repeated rows stay; a column that has the name
+Cases: a null text counts as empty and has no ids; an empty table gives an empty result; a text is
+encoded whole whatever its length; repeated rows stay; a column that has the name
 of a new one is replaced; decoding null gives empty bytes; ids outside the vocabulary raise.
 """
 
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches, texts
 
-#: Pieces that a worker remembers before it starts anew.
-MEMO = 200_000
+#: Pieces that a worker remembers, and their characters, before it starts anew.
+MEMO, MEMO_CHARS = 100_000, 2_000_000
 #: The split pattern with Unicode's White_Space spelled out.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -54,6 +55,7 @@ class Coder:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo: dict[str, bytes] = {}
+        self.held = 0
         back = {c: b for b, c in byte_characters().items()}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -74,9 +76,10 @@ class Coder:
             pieces = PIECE.findall(text)
             missing = [p for p in set(pieces) if p not in self.memo]
             if missing:
-                if len(self.memo) > MEMO:
+                if len(self.memo) > MEMO or self.held > MEMO_CHARS:
                     self.memo.clear()
-                    missing = list(set(pieces))
+                    self.held, missing = 0, list(set(pieces))
+                self.held += sum(map(len, missing))
                 self.memo.update(zip(missing, self._packed(missing), strict=True))
             out.append(b"".join(map(self.memo.__getitem__, pieces)))
         return out

@@ -11,7 +11,9 @@ above ``KNOWN_SHARE`` (at most ``1 / KNOWN_SHARE`` of them) are broadcast; the c
 meet the texts that hold them in packed blocks dealt out by hash. Unit bigrams are bounded by the
 units' number squared, ``1 / UNIT_SHARE`` words and ``LENGTHS * 256`` shapes.
 
-Cases: a null or empty text is an end alone; a null id takes part in scoring and is held out;
+Cases: a null or empty text is an end alone; texts are read whole whatever their length; units of
+equal weight start in the order of their numbers, so reruns agree; columns besides id and text are
+not carried, whatever their names; a null id takes part in scoring and is held out;
 repeated rows are scored each and train each; empty tables, or nothing to train on, give scores by
 smoothing alone.
 """

@@ -70,12 +70,12 @@ select g.doc_id, g.size, g.ss as source_size, g.target, cast((whole + case when
 CHAT = """
 with t as (select conv_id as conv, turn, min({'r': coalesce(role, ''), 't': coalesce(text, '')}) as said from conversations where conv_id is not null and turn is not null group by all),
 m as (select a.conv >> 1 as k, min(turn) as lo, max(turn) as hi from t a join t b using (turn) where a.conv & 1 = 0 and b.conv = a.conv + 1 and a.said.r = 'assistant' and b.said.r = 'assistant' group by all),
-p as (select k * 2 + i as conv, k * 2 + 1 - i as other, case when k % 2 = 0 then lo else hi end as at from m, (values (0), (1)) v(i)),
+p as (select k * 2 + i as conv, k * 2 + 1 - i as other, case when k % 2 = 0 then lo else hi end as cut_ from m, (values (0), (1)) v(i)),
 c as (select t.conv, turn, said from t join p using (conv)),
-r as (select t.conv, turn, said from t join p using (conv) where turn < at union all select p.conv, turn, said from p join t on t.conv = other where turn >= at),
+r as (select t.conv, turn, said from t join p using (conv) where turn < cut_ union all select p.conv, turn, said from p join t on t.conv = other where turn >= cut_),
 f as (select coalesce(c.conv, r.conv) as conv, coalesce(c.turn, r.turn) as turn, c.said as a, r.said as b from c full join r on c.conv = r.conv and c.turn = r.turn),
-s as (select conv, min(turn) as at from f where a is distinct from b group by conv),
-x as (select f.conv, turn, 'prompt' as part, a as said from f join s using (conv) where turn < at union all select f.conv, turn, 'chosen', a from f join s using (conv) where turn >= at and a is not null union all select f.conv, turn, 'rejected', b from f join s using (conv) where turn >= at and b is not null)
+s as (select conv, min(turn) as cut_ from f where a is distinct from b group by conv),
+x as (select f.conv, turn, 'prompt' as part, a as said from f join s using (conv) where turn < cut_ union all select f.conv, turn, 'chosen', a from f join s using (conv) where turn >= cut_ and a is not null union all select f.conv, turn, 'rejected', b from f join s using (conv) where turn >= cut_ and b is not null)
 select conv as pair_id, part, turn, said.r as role, '<|' || said.r || '|>' || chr(10) || said.t || '<|end|>' || chr(10) as text, part <> 'prompt' and said.r = 'assistant' as train from x
 """
 

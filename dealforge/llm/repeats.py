@@ -19,7 +19,9 @@ whose name occurs twice do.
 
 Two strings count as equal if 64-bit hashes of both the strings and, in blocks, their samples agree.
 
-Cases: a null text is empty and loses nothing, nor do texts shorter than ``LENGTH``; repeated rows
+Cases: texts are read whole whatever their length; columns besides id and text are not carried,
+whatever their names; ties do not matter, as every equal string counts; a null text is empty and
+loses nothing, nor do texts shorter than ``LENGTH``; repeated rows
 are copies of each other; a null id is carried through; empty tables give no rows.
 """
 
