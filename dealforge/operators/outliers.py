@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.clean import num, price_metric
+from .quantiles import quantiles
 
 BY_YEAR_K, GLOBAL_K, LEAST_ROWS, WIDEST = 2.5, 1.5, 10, 5
 
@@ -44,7 +45,7 @@ def trim_by_year(df: DataFrame, col: str = "price_millions", k: float = BY_YEAR_
 
 def trim_global(df: DataFrame, col: str = "price_millions", k: float = GLOBAL_K, keep_null: bool = False) -> DataFrame:
     """Rows within the bounds of the whole table; rows without a value go unless ``keep_null``."""
-    q = df.agg(F.percentile(num(col), F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = quantiles(df.select(num(col).alias("v")), [], "v", [0.25, 0.75])
     span = (F.col("q")[1] - F.col("q")[0]) * k
     b = q.select((F.col("q")[0] - span).alias("_low"), (F.col("q")[1] + span).alias("_high"))
     inside = num(col).between(F.col("_low"), F.col("_high"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.clean import cadastral_key, num, price_metric, tri_state
 from ..functions.schema import UNKNOWN
+from .quantiles import quantiles
 
 KINDS = ("price", "per_m2", "per_room")
 
@@ -23,11 +24,15 @@ def summarize(df: DataFrame, keys: list[str], stat: str = "median") -> DataFrame
 
 def selection_summary(df: DataFrame, kind: str = "price") -> DataFrame:
     rooms = F.when(num("rooms") != UNKNOWN, num("rooms"))
-    return df.agg(
-        F.count("*").alias("n_deals"), F.median(price_metric(kind)).alias("median_price"), F.median(num("area")).alias("median_area"), F.median(rooms).alias("median_rooms"),
+    measured = {"median_price": price_metric(kind), "median_area": num("area"), "median_rooms": rooms}
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("m"), v.cast("double").alias("v")) for n, v in measured.items()])))
+    mids = quantiles(long, ["m"], "v", [0.5]).agg(*[F.max(F.when(F.col("m") == n, F.col("q")[0])).alias(n) for n in measured])
+    rest = df.agg(
+        F.count("*").alias("n_deals"),
         F.min("deal_year").alias("first_year"), F.max("deal_year").alias("last_year"), F.min("deal_date").alias("first_date"), F.max("deal_date").alias("last_date"),
         F.countDistinct("city").alias("cities"), F.countDistinct("street").alias("streets"), F.countDistinct("gush").alias("gushes"),
     )
+    return rest.crossJoin(F.broadcast(mids)).select("n_deals", *measured, *rest.columns[1:])
 
 
 def yearly_values(df: DataFrame, kind: str = "price", stat: str = "median") -> DataFrame:
@@ -69,10 +74,10 @@ def histogram(df: DataFrame, value: Column, most: int = 30) -> DataFrame:
 
 def population(df: DataFrame, kind: str = "price") -> DataFrame:
     v = price_metric(kind)
-    return df.agg(
-        F.count("*").alias("matching_deals"), F.count(v).alias("valid_price_deals"), F.count_if(v.isNull()).alias("missing_price_deals"), F.count_if(~_dated()).alias("undated_deals"),
-        *_quartiles(v),
-    )
+    q = quantiles(df.select(v.alias("v")), [], "v", [0.25, 0.5, 0.75])
+    q = q.select(F.col("rows").alias("matching_deals"), F.col("n").alias("valid_price_deals"), (F.col("rows") - F.col("n")).alias("missing_price_deals"), *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "median", "p75"))])
+    out = df.agg(F.count_if(~_dated()).alias("undated_deals")).crossJoin(F.broadcast(q))
+    return out.select("matching_deals", "valid_price_deals", "missing_price_deals", "undated_deals", "p25", "median", "p75")
 
 
 def _range_columns() -> dict[str, tuple[Column, Column]]:
