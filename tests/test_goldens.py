@@ -141,7 +141,11 @@ def test_nice_breaks(spark):
     assert segments.nice_breaks(df, "area", 5, 8) == [60, 70, 80, 90, 100, 110]
     far = df.unionByName(rows(spark, [(2900.0,)], "area double"))
     breaks = segments.nice_breaks(far, "area", 5, 8)
-    assert breaks[:6] == [60, 70, 80, 90, 100, 110] and breaks[-1] >= 2900
+    assert breaks == [60, 80, 100, 120, 2500, 3000]
+    assert segments.nice_breaks(rows(spark, [(float(x),) for x in range(11)], "area double"), "area", 5, 8) == [0, 2.5, 5, 7.5, 10, 12.5]
+    assert segments.nice_breaks(rows(spark, [(7.0,)] * 3, "area double"), "area", 5, 8) == [7, 8]
+    few = rows(spark, [(float(x),) for x in (1, 2, 3, 900)], "area double")
+    assert segments.nice_breaks(few, "area", 3, 8) == [0, 250, 500, 750, 1000]
 
 
 CUR = "record_id string, city string, gush_code string, unit_key string, deal_date date, price_millions double, area double, rooms double, build_year double, sale_portion double"
