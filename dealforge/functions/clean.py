@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from .schema import AREA_HIGH, AREA_LOW, AREA_PER_ROOM, ROOMS_HIGH, UNKNOWN
 
@@ -249,9 +251,23 @@ def high_floor(text: Col, phrases: dict[str, float], floor: Col) -> Column:
     return F.coalesce(_looked_up(_floor_text(text), phrases), _c(floor))
 
 
+#: Points of Hebrew and quotes, which an address search leaves out.
+UNSAID = "[\u0591-\u05bd\u05bf-\u05c7'\"׳״‘’“”]"
+
+
+@F.pandas_udf(StringType())
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFKC")
+
+
 def cased_address(c: Col) -> Column:
-    """An address for token search: lower case, without points, quotes and diacritics of Hebrew."""
-    return F.lower(F.regexp_replace(_c(c).cast("string"), "[֑-ׇ'\"׳״`]", ""))
+    """An address for token search: NFKC, lower case, without points of Hebrew and quotes.
+
+    Only texts beyond ASCII and Hebrew letters, which NFKC leaves as they are, go to Python.
+    """
+    text = _c(c).cast("string")
+    other = F.when(text.rlike(r"[^\x00-\x7f\u05d0-\u05ea]"), text)
+    return F.regexp_replace(F.lower(F.coalesce(_nfkc(other), text)), UNSAID, "")
 
 
 #: Words that say nothing in an address.
@@ -265,5 +281,5 @@ def tokens(query: str, stop: tuple[str, ...] = (), most: int = 160) -> list[str]
 
     if len(query) > most:
         raise ValueError(f"a query has at most {most} characters")
-    plain = re.sub("[֑-ׇ'\"׳״`]", "", unicodedata.normalize("NFKC", query).lower())
+    plain = re.sub(UNSAID, "", unicodedata.normalize("NFKC", query).lower())
     return [t for t in re.findall(r"[^\W_]+", plain) if t not in stop]

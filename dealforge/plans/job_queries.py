@@ -55,6 +55,63 @@ def n6(spark, sf_dir):
     return jobs.scoped_export(d, shown, ("city", "deal_year")).select("Record", "City")
 
 
+AREAS = "gush = 7 and city in ('NATION_1', 'NATION_2', 'NATION_3')"
+CITIES = FilterSpec(cities=("NATION_3", "NATION_7"))
+
+
+def exports(spark, sf_dir, spec, view):
+    d = deals(spark, sf_dir)
+    return jobs.scoped_exports(d, tables.build_descriptions(d), d.where(AREAS).select("city", "gush").distinct(), spec, SNAPSHOT_YEAR, views=(view,), picks=(3, 3, 3), min_deals=1, keys=("city", "gush"))
+
+
+RAW_SQL = "select record_id, city as \"City\", gush as \"Gush\", deal_year as \"Deal Year\", price_millions as \"Price Millions\", case lower(roof) when 'true' then 'Yes' when 'no' then 'No' else '' end as \"Roof\""
+SUMS = "deal_year as \"Deal Year\", count(*) as \"Deals\", median(price_millions) as \"Selected Value\""
+TWO = f", f2 as (select * from deals where city in ('NATION_3', 'NATION_7') and sale_portion = 1), c2 as ({global_sql('f2', 'price_millions')})"
+AREA_ROWS = f", f7 as (select * from deals where {AREAS} and sale_portion = 1), c7 as ({global_sql('f7', 'price_millions')})"
+PICKED = f"""{TWO}, t2 as ({global_sql('c2', 'area')}), s2 as (select city, gush, deal_year, count(*) as n, median(price_millions) as y from t2 where deal_year is not null group by all),
+p2 as (select min(deal_year) as a, max(deal_year) as z from s2 where deal_year < {SNAPSHOT_YEAR}),
+g2 as (select city, gush, a, z, max(case when deal_year = a then y end) as ya, max(case when deal_year = z then y end) as yz, sum(n)::bigint as total from s2, p2 where deal_year between a and z group by all),
+r2 as (select *, round_even((pow(yz / ya, 1 / (z - a)) - 1) * 100, 3) as rate from g2 where ya > 0 and yz > 0),
+k2 as (select *, row_number() over (order by rate desc, city, gush) as rank, count(*) over () as all_ from r2),
+pick2 as (select * from k2 where rank <= 3 or rank > all_ - 3 or (rank > 3 + (all_ - 9) // 2 and rank <= 6 + (all_ - 9) // 2))"""
+RAW_COLS = ["record_id", "City", "Gush", "Deal Year", "Price Millions", "Roof"]
+
+
+@register("N06_export_analysis", f"{WITH}, c as (select * from deals where city = 'NATION_3' and sale_portion = 1) {bounds_sql('c')} {RAW_SQL} from c left join bounds on deal_year = year where price_millions is null or year is null or price_millions between low and high")
+def n6_analysis(spark, sf_dir):
+    return exports(spark, sf_dir, CITY, "analysis")["analysis"].select(*RAW_COLS)
+
+
+@register("N06_export_compare_raw", f"{WITH} {AREA_ROWS} {RAW_SQL} from c7")
+def n6_compare_raw(spark, sf_dir):
+    return exports(spark, sf_dir, FilterSpec(), "compare")["compare_raw"].select(*RAW_COLS)
+
+
+@register("N06_export_compare_summary", f"{WITH} {DESCR} {AREA_ROWS}, s as (select city, gush, {SUMS} from c7 where deal_year is not null group by city, gush, deal_year) select s.city as \"City\", s.gush as \"Gush\", gush_desc as \"Gush Label\", \"Deal Year\", \"Deals\", \"Selected Value\" from s left join descr using (city, gush)")
+def n6_compare_summary(spark, sf_dir):
+    return exports(spark, sf_dir, FilterSpec(), "compare")["compare_summary"].select("City", "Gush", "Gush Label", "Deal Year", "Deals", "Selected Value")
+
+
+@register("N06_export_cities_raw", f"{WITH} {TWO} {RAW_SQL} from c2 where deal_year is not null")
+def n6_cities_raw(spark, sf_dir):
+    return exports(spark, sf_dir, CITIES, "cities")["cities_raw"].select(*RAW_COLS)
+
+
+@register("N06_export_cities_summary", f"{WITH} {TWO} select city as \"City\", {SUMS} from c2 where deal_year is not null group by city, deal_year")
+def n6_cities_summary(spark, sf_dir):
+    return exports(spark, sf_dir, CITIES, "cities")["cities_summary"].select("City", "Deal Year", "Deals", "Selected Value")
+
+
+@register("N06_export_gushes_raw", f"{WITH} {PICKED} {RAW_SQL} from t2 join pick2 using (city, gush) where deal_year between a and z")
+def n6_gushes_raw(spark, sf_dir):
+    return exports(spark, sf_dir, CITIES, "gushes")["gushes_raw"].select(*RAW_COLS)
+
+
+@register("N06_export_gushes_summary", f"{WITH} {PICKED} select city as \"City\", gush as \"Gush\", rank as \"Rank\", rate as \"Annualized Change % (CAGR)\", total as \"Total Deals\" from pick2")
+def n6_gushes_summary(spark, sf_dir):
+    return exports(spark, sf_dir, CITIES, "gushes")["gushes_summary"].select("City", "Gush", "Rank", "Annualized Change % (CAGR)", "Total Deals")
+
+
 SAID = "city, street, gush_code, deal_date, price_millions, area, rooms, floor, build_floors, apt_type"
 IMPORTED = "fresh as (select distinct record_id, city, street, gush_code, deal_date, cast(round(price_millions * 1e6) as bigint) / 1e6 as price_millions, cast(area as double) as area, rooms, cast(null as double) as floor, build_floors, apt_type, gush from deals)"
 

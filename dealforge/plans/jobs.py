@@ -65,7 +65,7 @@ def gush_performance(deals: DataFrame, spec: FilterSpec, snapshot_year: int, kin
     series = _metric_series(rows, list(keys), kind, stat)
     period = growth.comparison_period(series, snapshot_year, spec.years or (None, None))
     ranked = growth.growth(series, period, min_deals, keys)
-    return {"series": series, "period": period, "ranking": ranked, "picks": growth.pick_performers(ranked, *picks), "yoy": growth.yoy(series, list(keys))}
+    return {"series": series, "period": period, "ranking": ranked, "picks": growth.pick_performers(ranked, *picks), "yoy": growth.yoy(series, list(keys)), "raw": rows}
 
 
 def filter_options(deals: DataFrame, spec: FilterSpec) -> dict[str, DataFrame]:
@@ -80,6 +80,43 @@ def scoped_export(rows: DataFrame, shown: DataFrame | None = None, keys: tuple[s
     return tables.export_columns(kept.withColumn("roof", F.when(clean.tri_state("roof"), "Yes").when(~clean.tri_state("roof"), "No").otherwise("")))
 
 
+def _raw_export(rows: DataFrame) -> DataFrame:
+    """Deals with their prices per m2 and room under a download's headers; all other columns follow."""
+    roof = clean.tri_state("roof")
+    out = rows.withColumns({"price_per_m2": clean.price_metric("per_m2"), "price_per_room": clean.price_metric("per_room"), "roof": F.when(roof, "Yes").when(~roof, "No").otherwise("")})
+    return tables.export_columns(out, tables.RAW_HEADERS)
+
+
+def _summary_export(rows: DataFrame, keys: list[str], kind: str, stat: str) -> DataFrame:
+    got = summary.summarize(rows.where("deal_year is not null"), [*keys, "deal_year"], stat)
+    value = F.col("n_deals").cast("double") if kind == "n_deals" else F.col(f"{kind}_y")
+    return got.select(*keys, "deal_year", "n_deals", F.col("price_y").alias("price_millions"), F.col("per_m2_y").alias("price_per_m2"), F.col("per_room_y").alias("price_per_room"), value.alias("y"))
+
+
+def scoped_exports(deals: DataFrame, descriptions: DataFrame, areas: DataFrame, spec: FilterSpec, snapshot_year: int, kind: str = "price", stat: str = "median", views: tuple[str, ...] = ("analysis", "compare", "cities", "gushes"), **choice) -> dict[str, DataFrame]:
+    """The downloads of the asked views: the deals behind each and what it plots, each with its own trimming.
+
+    Deals of the view of cities are those of plotted cities and years, deals of the view of blocks
+    those of the chosen blocks within the compared years. ``choice`` goes to ``gush_performance``.
+    """
+    raws, plotted = {}, {}
+    if "analysis" in views:
+        raws["analysis"] = outliers.trim(filters.apply_filters(deals.where(spec.location().column()), spec.rest()), "deals", kind)
+    if "compare" in views:
+        raws["compare_raw"] = area_comparison(deals, descriptions, areas, spec, kind, stat)["raw"]
+        plotted["compare_summary"] = linkage.with_label(_summary_export(raws["compare_raw"], ["city", "gush"], kind, stat), descriptions)
+    if "cities" in views:
+        cities = city_comparison(deals, spec, kind, stat)
+        raws["cities_raw"] = filters.keep_groups(cities["raw"], cities["series"], ["city", "deal_year"])
+        plotted["cities_summary"] = _summary_export(raws["cities_raw"], ["city"], kind, stat)
+    if "gushes" in views:
+        blocks, keys = gush_performance(deals, spec, snapshot_year, kind, stat, **choice), list(choice.get("keys", ("city", "gush")))
+        plotted["gushes_summary"] = blocks["picks"]
+        inside = blocks["raw"].join(blocks["picks"].select(*keys, "first_year", "last_year"), keys).where(F.col("deal_year").between(F.col("first_year"), F.col("last_year")))
+        raws["gushes_raw"] = inside.drop("first_year", "last_year")
+    return {n: _raw_export(d) for n, d in raws.items()} | {n: tables.export_columns(d, tables.SUMMARY_HEADERS) for n, d in plotted.items()}
+
+
 def import_first(raw: DataFrame, existing: DataFrame | None = None, aliases: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """Raw texts of the first source to deals and lookups; existing rows lose to new ones that say the same.
 

@@ -138,6 +138,20 @@ EXPORT = {
 }
 
 
+#: Headers of downloaded deals and of downloaded summaries, in order.
+RAW_HEADERS = {
+    "city": "City", "street": "Street", "gush": "Gush", "gush_code": "Gush Code", "full_address": "Full Address", "deal_date": "Date", "deal_year": "Deal Year",
+    "price_millions": "Price Millions", "price_per_m2": "Price Per M2", "price_per_room": "Price Per Room", "area": "Area", "rooms": "Rooms", "floor": "Floor", "roof": "Roof",
+    "apt_type": "Apartment Type", "new_project": "New Project", "build_year": "Build Year", "building_age": "Building Age", "build_floors": "Building Floors", "story": "Story",
+}
+SUMMARY_HEADERS = {
+    "city": "City", "gush": "Gush", "gush_label": "Gush Label", "deal_year": "Deal Year", "n_deals": "Deals", "price_millions": "Price Millions", "price_per_m2": "Price Per M2",
+    "price_per_room": "Price Per Room", "y": "Selected Value", "performance_group": "Performance Group", "rank": "Rank", "position_in_group": "Position In Group",
+    "price_change": "Price Change %", "annualized_change": "Annualized Change % (CAGR)", "first_deals": "First Year Deals", "last_deals": "Last Year Deals", "first_year": "First Year",
+    "last_year": "Last Year", "first_y": "First Selected Value", "last_y": "Last Selected Value", "median_deals": "Median Deals Per Year", "total_deals": "Total Deals",
+}
+
+
 def export_columns(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     """The export's columns first under their headers, then all others under their own names."""
     names = names or EXPORT

@@ -62,6 +62,9 @@ def test_address_tokens(spark):
     df = rows(spark, [("Herzl 12, Town",), ("Herzl 120, Town",), (None,)], "full_address string")
     assert df.where(filters.address_ok("town 12")).count() == 1
     assert df.where(filters.address_ok(" , ")).count() == 0
+    wide = rows(spark, [("Ｈｅｒｚｌ １２, Town",), ("ﬁeld ½ 7",), ("רח׳ ה\u05b6רצל 12",), ("a\u05be12",), (None,)], "full_address string")
+    count = lambda q: wide.where(filters.address_ok(q)).count()
+    assert [count("herzl 12"), count("field 7"), count("הרצל 12"), count("“herzl” 12"), count("12"), count("רחוב")] == [1, 1, 1, 1, 3, 0]
     with pytest.raises(ValueError):
         filters.address_ok("x" * 161)
 
