@@ -1,6 +1,6 @@
 """Composed jobs: each takes tables and choices and returns its named DataFrames.
 
-They are lazy, but for the mix-adjusted index, which fits a model and is made only if asked for.
+They are lazy, but for the quartiles of a global trimming and for the mix-adjusted index, which is made only if asked for.
 """
 
 from __future__ import annotations
