@@ -1,15 +1,16 @@
 """Brown class-based n-grams: exchange clustering, then smoothed class transitions and emissions.
 
-Tokens are a text's words, A-Z lower-cased, and one end. Words that make up ``UNIT_SHARE`` of the
+Tokens are a text's words, A-Z lower-cased, and one end. Words that make up ``KNOWN_SHARE`` of the
 training tokens are units of their own; all others form units by length and last byte. Exchange
-clustering moves units between classes as long as the likelihood of class bigrams rises. A token's
-probability is that of its class after the last token's class, times the unit's within the class,
-times the word's within the unit.
+clustering moves units between classes as long as the likelihood of class bigrams rises: first
+those of at least ``UNIT_SHARE`` and the shapes, in sweeps over their bigrams; then each other word
+once, in Spark, by the counts of its neighbours' classes. A token's probability is that of its class
+after the last token's class, times the unit's within the class, times, in a shape, the word's.
 
-Counts cover all training texts and are held in tables keyed by 64-bit word hashes. Counts of words
-above ``KNOWN_SHARE`` (at most ``1 / KNOWN_SHARE`` of them) are broadcast; the counts of rarer words
-meet the texts that hold them in packed blocks dealt out by hash. Unit bigrams are bounded by the
-units' number squared, ``1 / UNIT_SHARE`` words and ``LENGTHS * 256`` shapes.
+Counts cover all training texts and are held in tables keyed by 64-bit word hashes. Counts and
+classes of units (at most ``1 / KNOWN_SHARE`` words) are broadcast; the counts of rarer words meet
+the texts that hold them in packed blocks dealt out by hash. Bigrams that reach the driver are
+bounded by ``1 / UNIT_SHARE`` words and ``SHAPES``, squared; neighbours' classes stay in Spark.
 
 Cases: a null or empty text is an end alone; texts are read whole whatever their length; units of
 equal weight start in the order of their numbers, so reruns agree; columns besides id and text are
@@ -29,7 +30,7 @@ from .common import give_back, mix64, pieces, saved, small_batches, texts
 from .wordhash import word_hashes
 
 UNIT_SHARE = 1e-4
-#: At most ``UNIT_SHARE``, so that every unit's count is known everywhere.
+#: At most ``UNIT_SHARE``.
 KNOWN_SHARE = 5e-7
 CLASSES = 48
 SWEEPS = 8
@@ -37,6 +38,7 @@ ADD = 0.1
 #: Pseudo-count of the class unigram behind a class transition.
 BACK = 5.0
 LENGTHS = 16
+SHAPES = LENGTHS * 256
 END = np.uint64(0xE17D0C5)  # the end's own hash
 END_SHAPE = 0
 #: Tokens that a task counts at once.
@@ -85,13 +87,13 @@ class Units:
 
     def __init__(self, own: np.ndarray):
         self.own = np.sort(own.astype(np.uint64))
-        self.count = len(own) + LENGTHS * 256
+        self.count = SHAPES + len(own)
 
     def of(self, h: np.ndarray, shape: np.ndarray) -> np.ndarray:
         if not len(self.own):
             return shape.astype(np.int64)
         at = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
-        return np.where(self.own[at] == h, LENGTHS * 256 + at, shape)
+        return np.where(self.own[at] == h, SHAPES + at, shape)
 
 
 def unit_bigrams(train: DataFrame, units: Units) -> DataFrame:
@@ -123,6 +125,34 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
+def gains(table: np.ndarray, right: np.ndarray, left: np.ndarray, own: float) -> np.ndarray:
+    """What the log likelihood of ``table`` gains if a unit joins each of the classes.
+
+    ``table`` lacks the unit, ``right`` and ``left`` count the classes after and before it, ``own``
+    the unit after itself.
+    """
+    diag = np.diag(table)
+    gain = (_xlogx(table + right) - _xlogx(table)).sum(1) + (_xlogx(table + left[:, None]) - _xlogx(table)).sum(0)
+    gain += _xlogx(diag + right + left + own) - _xlogx(diag + right) - _xlogx(diag + left) + _xlogx(diag)
+    # whatever class the unit joins, its neighbours' rows and columns hold the bigrams with it
+    rows, cols = table.sum(1) + left, table.sum(0) + right
+    return gain - (_xlogx(rows + right.sum() + own) - _xlogx(rows) + _xlogx(cols + left.sum() + own) - _xlogx(cols))
+
+
+def _move(table: np.ndarray, cls: int, right: np.ndarray, left: np.ndarray, own: float, sign: int) -> None:
+    """Add a unit's bigrams to a class, or take them from it."""
+    table[cls] += sign * right
+    table[:, cls] += sign * left
+    table[cls, cls] += sign * own
+
+
+def best_class(table: np.ndarray, old: int, right: np.ndarray, left: np.ndarray, own: float) -> int:
+    """The class that gains most; ``table`` lacks the unit, which stays in ``old`` on a tie."""
+    gain = gains(table, right, left, own)
+    new = int(gain.argmax())
+    return old if gain[new] <= gain[old] + 1e-9 else new
+
+
 def exchange(first: np.ndarray, second: np.ndarray, n: np.ndarray, classes: int, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
     """Class of each unit and the class bigram counts, by exchange clustering.
 
@@ -150,53 +180,122 @@ def exchange(first: np.ndarray, second: np.ndarray, n: np.ndarray, classes: int,
             if not (own or right.any() or left.any()):
                 continue
             old = cls[u]
-            table[old] -= right
-            table[:, old] -= left
-            table[old, old] -= own
-            diag = np.diag(table)
-            gain = (_xlogx(table + right) - _xlogx(table)).sum(1) + (_xlogx(table + left[:, None]) - _xlogx(table)).sum(0)
-            gain += _xlogx(diag + right + left + own) - _xlogx(diag + right) - _xlogx(diag + left) + _xlogx(diag)
-            # whatever class the unit joins, its neighbours' rows and columns hold the bigrams with it
-            rows, cols = table.sum(1) + left, table.sum(0) + right
-            gain -= _xlogx(rows + right.sum() + own) - _xlogx(rows) + _xlogx(cols + left.sum() + own) - _xlogx(cols)
-            new = int(gain.argmax())
-            if gain[new] <= gain[old] + 1e-9:
-                new = old
-            cls[u] = new
-            table[new] += right
-            table[:, new] += left
-            table[new, new] += own
+            _move(table, old, right, left, own, -1)
+            new = cls[u] = best_class(table, old, right, left, own)
+            _move(table, new, right, left, own, 1)
             moved += new != old
         if not moved:
             break
     return cls, table
 
 
+def cluster(units: Units, pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each unit and the class bigrams, from ``unit_bigrams``; unseen units share the last class."""
+    cls = np.full(units.count, CLASSES - 1)
+    table = np.zeros((CLASSES, CLASSES))
+    if len(pairs):
+        used = np.unique(np.concatenate([pairs // units.count, pairs % units.count]))
+        first, second = np.searchsorted(used, pairs // units.count), np.searchsorted(used, pairs % units.count)
+        cls[used], table = exchange(first, second, n.astype(float), CLASSES)
+    return cls, table
+
+
+def place(train: DataFrame, units: Units, cls: np.ndarray, loose: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """``cls`` after each unit in ``loose`` joined the class that gains most, the others staying.
+
+    A task counts the classes beside each loose unit; the counts of a unit meet in one part.
+    ``table`` holds the class bigrams under ``cls``.
+    """
+    spark = train.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * max(16, n_parts)
+    slots = CLASSES + 1  # the last for the unit itself
+    number = np.where(loose, np.cumsum(loose) - 1, -1).astype(np.int32)
+    shared = spark.sparkContext.broadcast((units, cls.astype(np.int16), number, cls[loose].astype(np.int16), table))
+
+    def counted(keys):
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        full, cut = _pack(key // (2 * slots) % parts, parts, key.astype(np.int32), n.astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array(c, pa.binary()) for c in cut]], names=["part", "keys", "ns"])
+
+    def beside(batches):
+        units, cls, number, _, _ = shared.value
+        keys, held = [], 0
+        for b in batches:
+            for t in texts(b, "text"):
+                u = units.of(*tokens(t))
+                before = np.concatenate([u[-1:], u[:-1]])
+                for side, (me, other) in enumerate(((before, u), (u, before))):
+                    at = np.flatnonzero(number[me] >= 0)
+                    me, other = me[at], other[at]
+                    keys.append((number[me].astype(np.int64) * 2 + side) * slots + np.where(me == other, CLASSES, cls[other]))
+                    held += len(at)
+                if held > CHUNK:
+                    yield counted(keys)
+                    keys, held = [], 0
+        if held:
+            yield counted(keys)
+        give_back()
+
+    def choose(batches):
+        _, _, _, old, table = shared.value
+        got = [(np.frombuffer(k, np.int32), np.frombuffer(n, np.int32)) for b in batches for k, n in zip(b.column("keys").to_pylist(), b.column("ns").to_pylist(), strict=True)]
+        if not got:
+            return
+        key, n = _sums(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        unit, start = np.unique(key // (2 * slots), return_index=True)
+        new = np.empty(len(unit), np.int16)
+        for i, (a, z) in enumerate(zip(start, np.append(start[1:], len(key)), strict=True)):
+            sides = np.bincount(key[a:z] % (2 * slots), n[a:z], 2 * slots)
+            right, own, left = sides[:CLASSES], sides[CLASSES], sides[slots : slots + CLASSES]
+            rest = table.copy()
+            _move(rest, old[unit[i]], right, left, own, -1)
+            new[i] = best_class(rest, old[unit[i]], right, left, own)
+        for i in range(0, len(unit), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(unit[i : i + 100_000].astype(np.int64)), pa.array(new[i : i + 100_000])], names=["number", "cls"])
+
+    counts = small_batches(train).select("text").mapInArrow(beside, "part int, keys binary, ns binary")
+    got = counts.repartition(n_parts, "part").mapInArrow(choose, "number bigint, cls smallint").toPandas()
+    out = cls.copy()
+    out[np.flatnonzero(loose)[got["number"].to_numpy(np.int64)]] = got["cls"].to_numpy(np.int64)
+    return out
+
+
+def class_bigrams(train: DataFrame, units: Units, cls: np.ndarray) -> np.ndarray:
+    """Counts of adjacent classes over all texts of ``train``."""
+    shared = train.sparkSession.sparkContext.broadcast((units, cls.astype(np.int16)))
+
+    def run(batches):
+        units, cls = shared.value
+        n = np.zeros(CLASSES * CLASSES, np.int64)
+        for b in batches:
+            for t in texts(b, "text"):
+                c = cls[units.of(*tokens(t))].astype(np.int64)
+                n += np.bincount(np.concatenate([c[-1:], c[:-1]]) * CLASSES + c, minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["pair", "n"])
+        give_back()
+
+    got = small_batches(train).select("text").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    return np.bincount(got["pair"].to_numpy(np.int64), got["n"].to_numpy(float), CLASSES * CLASSES).reshape(CLASSES, CLASSES)
+
+
 class Model:
-    """What scoring needs on every executor; its size is bounded by the shares above."""
-
-    def __init__(self, units: Units, pairs: np.ndarray, n: np.ndarray, per_unit: np.ndarray, known: tuple[np.ndarray, np.ndarray], total: int, distinct: int):
-        self.units, self.total, self.distinct = units, total, distinct
-        by = np.argsort(known[0])
-        self.known_h, self.known_n = known[0][by], known[1][by]
-        classes = CLASSES
-        self.cls = np.full(units.count, classes - 1, np.int32)
-        table = np.zeros((classes, classes))
-        weight = np.zeros(units.count)
-        if len(pairs):
-            used = np.unique(np.concatenate([pairs // units.count, pairs % units.count]))
-            first, second = np.searchsorted(used, pairs // units.count), np.searchsorted(used, pairs % units.count)
-            cls, table = exchange(first, second, n.astype(float), classes)
-            self.cls[used] = cls
-            weight[used] = np.bincount(second, n, len(used))
+    """What scoring needs on every executor; its size is bounded by the shares above.
+
+    ``known`` are the counts of ``units.own``, ``per_shape`` the tokens and distinct words of each
+    shape that have no unit of their own.
+    """
+
+    def __init__(self, units: Units, cls: np.ndarray, table: np.ndarray, known: np.ndarray, per_shape: np.ndarray, total: int, distinct: int):
+        self.units, self.cls, self.known, self.total, self.distinct = units, cls.astype(np.int16), known, total, distinct
         size = table.sum(0)
-        back = (size + 1) / (size.sum() + classes)
+        back = (size + 1) / (size.sum() + CLASSES)
         self.move = np.log10((table + BACK * back) / (table.sum(1, keepdims=True) + BACK))
-        # units that training never saw are members of the last class, so a class's units sum to one
-        members = np.bincount(self.cls, minlength=classes)
-        self.emit = np.log10((weight + ADD) / (size + ADD * members)[self.cls])
-        #: Tokens and distinct words of each shape that have no unit of their own.
-        self.shape_n, self.shape_v = per_unit[:, 0], per_unit[:, 1]
+        # units that training never saw are members too, so a class's units sum to one
+        members = np.bincount(cls, minlength=CLASSES)
+        self.emit = np.log10((np.concatenate([per_shape[:, 0], known]) + ADD) / (size + ADD * members)[cls])
+        self.shape_n, self.shape_v = per_shape[:, 0], per_shape[:, 1]
 
     def base(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + ADD) / (self.total + ADD * (self.distinct + 1)))
@@ -209,14 +308,23 @@ class Model:
 def fit(docs: DataFrame, counts: DataFrame) -> Model:
     """Train on the rows of ``docs`` (column ``text``) whose word counts are ``counts``."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    own = counts.where(F.col("n") >= UNIT_SHARE * total).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
-    units = Units(own)
-    known = counts.where(F.col("n") >= KNOWN_SHARE * total).select("h", "n").toPandas()
-    rare = counts.where(F.col("n") < UNIT_SHARE * total).groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
-    per_unit = np.zeros((LENGTHS * 256, 2))
-    per_unit[rare["shape"].to_numpy(np.int64)] = rare[["n", "v"]].to_numpy(float)
-    pairs = unit_bigrams(docs, units).toPandas()
-    return Model(units, pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64), per_unit, (known["h"].to_numpy(np.int64).view(np.uint64), known["n"].to_numpy(np.int64)), int(total), int(distinct))
+    known = counts.where(F.col("n") >= KNOWN_SHARE * total).toPandas()
+    h, shape, n = known["h"].to_numpy(np.int64).view(np.uint64), known["shape"].to_numpy(np.int64), known["n"].to_numpy(np.int64)
+    by = np.argsort(h)
+    h, shape, n = h[by], shape[by], n[by]
+    rare = counts.where(F.col("n") < KNOWN_SHARE * total).groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
+    per_shape = np.zeros((SHAPES, 2))
+    per_shape[rare["shape"].to_numpy(np.int64)] = rare[["n", "v"]].to_numpy(float)
+    common = n >= UNIT_SHARE * total
+    core, units = Units(h[common]), Units(h)
+    pairs = unit_bigrams(docs, core).toPandas()
+    cls, table = cluster(core, pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64))
+    cls = np.concatenate([cls[:SHAPES], cls[core.of(h, shape)]])
+    loose = np.concatenate([np.zeros(SHAPES, bool), ~common])
+    if loose.any():
+        cls = place(docs, units, cls, loose, table)
+        table = class_bigrams(docs, units, cls)
+    return Model(units, cls, table, n, per_shape, int(total), int(distinct))
 
 
 def _pack(part: np.ndarray, parts: int, *cols: np.ndarray):
@@ -254,11 +362,8 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_i
                 u = m.units.of(h, shape)
                 c = m.cls[u]
                 s = m.move[np.concatenate([c[-1:], c[:-1]]), c].sum() + m.emit[u].sum()
-                at = np.minimum(np.searchsorted(m.known_h, h), max(0, len(m.known_h) - 1))
-                hit = m.known_h[at] == h if len(m.known_h) else np.zeros(len(h), bool)
-                n = m.known_n[at[hit]]
-                loose = hit & (u < LENGTHS * 256)
-                s += m.within(m.known_n[at[loose]], shape[loose]).sum()
+                hit = u >= SHAPES
+                n = m.known[u[hit] - SHAPES]
                 base.append(m.base(n).sum())
                 got.append(s)
                 known_n.append(len(n))

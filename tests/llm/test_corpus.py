@@ -114,20 +114,92 @@ def test_brown_scores(docs):
         assert r["score"] < 0
 
 
-def test_classes_and_their_units_sum_to_one():
-    rng = np.random.default_rng(3)
-    units = brown.Units(rng.integers(1, 1 << 60, 30).astype(np.uint64))
-    pairs = np.unique(rng.integers(units.count - 34, units.count, 300) * units.count + rng.integers(units.count - 34, units.count, 300))
-    m = brown.Model(units, pairs, rng.integers(1, 9, len(pairs)), np.ones((brown.LENGTHS * 256, 2)), (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 100, 10)
+def train_of(docs):
+    train = docs.where(~brown.held_out(F.col("doc_id")))
+    return train, brown.word_counts(train)
+
+
+def test_classes_and_their_units_sum_to_one(docs):
+    m = brown.fit(*train_of(docs))
     assert np.allclose((10**m.move).sum(1), 1)
-    assert np.allclose(np.bincount(m.cls, 10**m.emit)[np.unique(m.cls)], 1)
+    assert np.allclose(np.bincount(m.cls, 10.0**m.emit)[np.unique(m.cls)], 1)
+    assert m.units.count == len(m.cls) == brown.SHAPES + m.distinct  # every trained word has a class
+    assert len(np.unique(m.cls[brown.SHAPES :])) > 20
+
+
+@pytest.mark.parametrize(("unit", "known"), [(1e-4, 5e-7), (0.02, 5e-7), (0.02, 0.005)])
+def test_brown_scores_by_hand(docs, monkeypatch, unit, known):
+    """Scores from counts of whole words, given only the class of each unit; rare words meet their counts."""
+    monkeypatch.setattr(brown, "UNIT_SHARE", unit)
+    monkeypatch.setattr(brown, "KNOWN_SHARE", known)
+    m = brown.fit(*train_of(docs))
+    toks = {r[0]: [w.encode() for w in words_of(lower(r[1] or ""))] + [None] for r in ROWS}
+    train = [t for i, t in toks.items() if zlib.crc32(str(i).encode()) % 10]
+    c = collections.Counter(w for t in train for w in t)
+    total = sum(c.values())
+    shape = lambda w: min(len(w), 15) * 256 + w[-1] if w is not None else 0
+    own = {w for w in c if c[w] >= known * total}
+    unit_of = lambda w: w if w in own else shape(w)
+    number = lambda w: int(m.units.of(*(x[:1] for x in brown.tokens(w.decode() if w is not None else "")))[0])
+    cls = lambda w: int(m.cls[number(w) if w in own else shape(w)])
+    members = collections.Counter(cls(w) for w in own) + collections.Counter(m.cls[: brown.SHAPES].tolist())
+    seen = collections.Counter(unit_of(w) for t in train for w in t)
+    pair = collections.Counter((cls(a), cls(b)) for t in train for a, b in zip(t[-1:] + t[:-1], t, strict=True))
+    row, size = collections.Counter(), collections.Counter()
+    for (a, b), n in pair.items():
+        row[a] += n
+        size[b] += n
+    rare_n, rare_v = collections.Counter(), collections.Counter()
+    for w in c.keys() - own:
+        rare_n[shape(w)] += c[w]
+        rare_v[shape(w)] += 1
+
+    def log_p(a, w):
+        a, b, s = cls(a), cls(w), shape(w)
+        p = (pair[a, b] + 5 * (size[b] + 1) / (total + 48)) / (row[a] + 5)
+        p *= (seen[unit_of(w)] + 0.1) / (size[b] + 0.1 * members[b])
+        return math.log10(p if w in own else p * (c[w] + 0.1) / (rare_n[s] + 0.1 * (rare_v[s] + 1)))
+
+    want = {i: sum(log_p(a, w) for a, w in zip(t[-1:] + t[:-1], t, strict=True)) for i, t in toks.items()}
+    n, v = total, len(c)
+    for r in brown.score_corpus(docs).collect():
+        t = toks[r["doc_id"]]
+        assert math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9)
+        assert r["n_known"] == sum(c[w] > 0 for w in t)
+        assert math.isclose(r["base_score"], sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9)
 
 
-def test_rare_counts_meet_their_texts(docs, monkeypatch):
-    monkeypatch.setattr(brown, "UNIT_SHARE", 0.02)  # words known by broadcast are at least the units
-    whole = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in brown.score_corpus(docs).collect()}
-    monkeypatch.setattr(brown, "KNOWN_SHARE", 0.01)
-    assert {r["doc_id"]: (r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in brown.score_corpus(docs).collect()} == whole
+def test_each_word_joins_the_likeliest_class(docs, monkeypatch):
+    monkeypatch.setattr(brown, "CLASSES", 4)
+    train, counts = train_of(docs)
+    rows = counts.toPandas().sort_values("n")
+    units = brown.Units(rows["h"].to_numpy(np.int64).view(np.uint64))
+    start = np.arange(units.count) % 4
+    seqs = [units.of(*brown.tokens(r["text"] or "")) for r in train.collect()]
+
+    def table_of(cls):
+        t = np.zeros((4, 4))
+        for s in seqs:
+            np.add.at(t, (cls[np.roll(s, 1)], cls[s]), 1)
+        return t
+
+    def likelihood(cls):
+        f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+        t = table_of(cls)
+        return f(t) - f(t.sum(0)) - f(t.sum(1))
+
+    loose = np.zeros(units.count, bool)
+    loose[units.of(rows["h"].to_numpy(np.int64).view(np.uint64), np.zeros(len(rows), np.int64))[:: len(rows) // 25]] = True
+    got = brown.place(train, units, start, loose, table_of(start))
+    assert (got[~loose] == start[~loose]).all() and (got != start).any()
+    for u in np.flatnonzero(loose):
+        tried = []
+        for c in range(4):
+            cls = start.copy()
+            cls[u] = c
+            tried.append(likelihood(cls))
+        assert tried[got[u]] > max(tried) - 1e-6
+    assert (brown.class_bigrams(train, units, got) == table_of(got)).all()
 
 
 def test_exchange_parts_two_alternating_sets():
