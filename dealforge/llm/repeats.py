@@ -11,7 +11,7 @@ of the corpus would pass through each round of sorting; with content only string
 whose name occurs twice do.
 
 1. Equal texts become one; copies of at least ``LENGTH`` bytes go whole.
-2. Sampled strings get a hash as name; names are sorted in parts and adjacent ones compared.
+2. Sampled strings get a hash as name; names that occur twice or more go back to their texts.
 3. Around samples whose name recurs, the strings of ``LENGTH`` bytes that the sample governs go, as
    one block of bytes, to the part of their name. A name with more than ``HOT`` samples has its
    strings dealt out one by one by their own hash instead, so no part gets a whole hot group.
@@ -37,8 +37,9 @@ from .wordhash import POWERS
 LENGTH = 400
 GRAM = 32
 HOT = 256
-#: Names, or texts with repeats, that may be broadcast; more are joined by a shuffle.
-BROADCAST_NAMES = 4_000_000
+#: Share of all samples from which a name is looked up apart.
+HOT_SHARE = 1e-4
+#: Texts with repeats that may be broadcast; more are joined by a shuffle.
 BROADCAST_TEXTS = 200_000
 CHUNK = 1 << 17
 
@@ -114,24 +115,20 @@ def _parts(df: DataFrame) -> tuple[int, int]:
 
 def recurring(names: DataFrame) -> DataFrame:
     """``(name, n)`` of those among the arrays ``names`` that occur twice or more."""
-    n_parts, parts = _parts(names)
+    return names.select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
 
-    def pack(batches):
-        for b in batches:
-            flat = b.column("names").flatten().to_numpy(zero_copy_only=False)
-            full, (cut,) = _cut((mix64(flat.view(np.uint64)) % np.uint64(parts)).astype(np.int64), parts, flat)
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(cut, pa.binary())], names=["part", "names"])
 
-    def adjacent(batches):
-        got = [np.frombuffer(x, np.int64) for b in batches for x in b.column("names").to_pylist()]
-        if got:
-            u, n = np.unique(np.concatenate(got), return_counts=True)
-            u, n = u[n > 1], n[n > 1]
-            for i in range(0, len(u), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(u[i : i + 100_000]), pa.array(n[i : i + 100_000])], names=["name", "n"])
+def shared_names(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """``(tid, shared)``: the recurring names of each text that has some, with their counts.
 
-    packed = names.select("names").mapInArrow(pack, "part int, names binary")
-    return packed.repartition(n_parts, "part").mapInArrow(adjacent, "name bigint, n bigint")
+    Names of at least ``HOT_SHARE`` of all samples, at most ``1 / HOT_SHARE`` of them, are broadcast;
+    the others meet their texts by a shuffle.
+    """
+    samples = classes.agg(F.sum(F.size("names"))).first()[0] or 0
+    often = F.col("n") >= max(2, HOT_SHARE * samples)
+    names = classes.select("tid", F.explode("names").alias("name")).join(F.broadcast(shared.where(often)), "name", "left")
+    rest = names.where("n is null").drop("n").join(shared.where(~often), "name")
+    return names.where("n is not null").unionByName(rest).groupBy("tid").agg(F.collect_set(F.struct("name", "n")).alias("shared"))
 
 
 #: A packed row holds either blocks or single strings. Blocks: the sample's name, text, place of
@@ -139,8 +136,8 @@ def recurring(names: DataFrame) -> DataFrame:
 BLOCKS = "part int, names binary, tids binary, firsts binary, sizes binary, bytes binary"
 
 
-def _spread(parts: int, table, length: int, gram: int, hot: int):
-    """Blocks and strings of texts around recurring names; ``table`` is broadcast or null."""
+def _spread(parts: int, length: int, gram: int, hot: int):
+    """Blocks and strings of texts around their recurring names (column ``shared``)."""
 
     def run(batches):
         for b in pieces(batches):
@@ -149,15 +146,10 @@ def _spread(parts: int, table, length: int, gram: int, hot: int):
                 raw = _bytes(text)
                 if len(raw) < length:
                     continue
-                if table is not None:
-                    names, counts = table.value
-                else:
-                    got = b.column("shared")[i].as_py() or []
-                    names, counts = np.array([x["name"] for x in got], np.int64), np.array([x["n"] for x in got], np.int64)
-                    by = np.argsort(names)
-                    names, counts = names[by], counts[by]
-                if not len(names):
-                    continue
+                got = b.column("shared")[i].as_py()
+                names, counts = np.array([x["name"] for x in got], np.int64), np.array([x["n"] for x in got], np.int64)
+                by = np.argsort(names)
+                names, counts = names[by], counts[by]
                 place, name, first = sampled(raw, length, gram)
                 name = name.view(np.int64)
                 at = np.minimum(np.searchsorted(names, name), len(names) - 1)
@@ -266,14 +258,8 @@ def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     few = copies.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
     lone = docs.join(F.broadcast(copies) if few else copies, F.col("tid") == F.col("ctid"), "left")
     lone = lone.where(F.col("ctid").isNull() | F.col("id").eqNullSafe(F.col("first"))).select("tid", "text")
-    if shared.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
-        got = shared.toPandas().sort_values("name")
-        table = df.sparkSession.sparkContext.broadcast((got["name"].to_numpy(np.int64), np.minimum(got["n"].to_numpy(np.int64), np.iinfo(np.int32).max).astype(np.int32)))
-    else:
-        table = None
-        own = classes.select("tid", F.explode("names").alias("name")).join(shared, "name").groupBy("tid").agg(F.collect_set(F.struct("name", "n")).alias("shared"))
-        lone = lone.join(own, "tid")
-    spread = lone.mapInArrow(_spread(parts, table, length, gram, hot), BLOCKS).repartition(n_parts, "part")
+    lone = lone.join(shared_names(classes, shared), "tid")
+    spread = lone.mapInArrow(_spread(parts, length, gram, hot), BLOCKS).repartition(n_parts, "part")
     ranges = spread.mapInArrow(_settle(length), "tid bigint, start bigint, end bigint")
     ranges = ranges.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     ranges = ranges.join(copies.select(F.col("ctid").alias("tid"), F.lit(True).alias("whole")), "tid", "full")

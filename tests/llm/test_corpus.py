@@ -76,7 +76,7 @@ def without_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"BROADCAST_NAMES": 0, "BROADCAST_TEXTS": 0}])
+@pytest.mark.parametrize("limits", [{}, {"HOT_SHARE": 0.0}, {"HOT_SHARE": 2.0, "BROADCAST_TEXTS": 0}])
 @pytest.mark.parametrize(("length", "gram", "hot"), [(400, 32, 256), (60, 8, 256), (60, 8, 1)])
 def test_repeats(docs, monkeypatch, length, gram, hot, limits):
     for k, v in limits.items():
