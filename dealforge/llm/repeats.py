@@ -39,7 +39,7 @@ GRAM = 32
 HOT = 256
 #: Share of all samples from which a name is looked up apart.
 HOT_SHARE = 1e-4
-#: Texts with repeats and their ranges that may be broadcast; more are joined by a shuffle.
+#: Texts with copies that may be broadcast, two numbers each; more are joined by a shuffle.
 BROADCAST_TEXTS = 200_000
 CHUNK = 1 << 17
 
@@ -274,8 +274,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, n_bytes, n_removed, n_spans, kept)`` for each row; ``kept`` holds the bytes that stay."""
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("tid", text_key())
     found = saved(repeated_ranges(df, id_col, text_col, **how), "repeats-ranges")
-    few = found.agg(F.coalesce(F.sum(F.lit(1) + F.coalesce(F.array_size("ranges"), F.lit(0))), F.lit(0))).first()[0] <= BROADCAST_TEXTS
-    rows = docs.join(F.broadcast(found) if few else found, "tid", "left").select("id", "text", "whole", "ranges")
+    rows = docs.join(found.hint("merge"), "tid", "left")  # ranges have no bound, so never broadcast
+    rows = rows.select("id", "text", "whole", "ranges")
 
     def cut(b):
         n_bytes, n_removed, n_spans, kept = [], [], [], []
