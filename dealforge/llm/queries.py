@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, brown, chat, embeddings, jaccard, language, mixing, oracles, pii, quality, repeats
+from . import bpe, brown, chat, embeddings, jaccard, language, merkle, mixing, oracles, pii, quality, repair, repeats, sharding, structure_oracles
 from .common import read, saved
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = dict(oracles.ORACLES)
+ORACLES: dict[str, str] = oracles.ORACLES | structure_oracles.ORACLES
 
 
 def query(f):
@@ -84,3 +84,23 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     return chat.preference_rows(*chat.crossed(turns))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repair.repair(repair.damage(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose id's crc32 is even are checked without the newlines of their text."""
+    ident = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    now = F.when(ident % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.audit(read(spark, sf_dir, "documents", *merkle.FIELDS), {"text": now}).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op13_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign(read(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
+    return out.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
