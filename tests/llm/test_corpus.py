@@ -450,6 +450,17 @@ def shingle_components(texts):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_words_of_one_pattern_differ(spark):
+    """The Thue-Morse word and its complement, equal under any polynomial modulo 2 ** 64, are two words."""
+    a, b = ("".join(pair[bin(i).count("1") % 2] for i in range(1024)) for pair in ("ab", "ba"))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{a} x"), (4, a.upper())], "doc_id long, text string")
+    assert {r["id"]: r["component"] for r in jaccard.link_components(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 1}
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows = [(held, b)] + [(i, f"{a} word word") for i in range(100) if zlib.crc32(str(i).encode()) % 10]
+    scored = {r["doc_id"]: r["n_known"] for r in brown.score_corpus(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert scored[held] == 1  # the end alone
+
+
 @pytest.mark.parametrize("block", [None, 200])
 def test_jaccard(docs, none, monkeypatch, block):
     if block:
