@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.clean import cadastral_key, clean_text, num, price_ils, quality_flags, text_key
 from ..functions.filters import address_ok
 from ..functions.schema import UNKNOWN
+from ..sources.stage import staged
+from .quantiles import join_keys
 
 PRICE_M, AREA, ROOMS, PRICE_ILS = 0.001000001, 0.5, 0.001, 1000.0
 
@@ -144,69 +146,69 @@ def split_shared_gush(df: DataFrame) -> DataFrame:
     return out.withColumn("gush", F.when(F.col("_k").isNull(), F.col("gush")).otherwise(F.col("gush") * 10 + F.col("_k"))).drop("_k").select(*df.columns)
 
 
-def lookup_addresses(legacy: DataFrame, current: DataFrame, query: str, key: str = "unit_key", floor: float | None = None, years: tuple[int, int] = (1998, 2026), most: int = 50) -> DataFrame:
-    """Both sources' rows of the properties at an address, with how sure each link is.
+def _bands(df: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """For each day's price band, one tolerance wide, what it holds and what its neighbours hold next to it.
 
-    Legacy rows come by address and floor; current rows by their property keys, of which more than
-    ``most`` are an error. A current full sale is confirmed by the legacy row found on its day if
-    both are the only rows of their property and day among all rows of their source and their
-    prices agree; it takes that row's place. ``conflicts`` names what differs then, and properties
-    whose legacy rows name several addresses or floors.
+    ``(*keys, band, own, below, above)``: at most two (price, id) each, the least ones, the highest of
+    the band below and the least of the band above. Two tell none, one and more apart, and their rows
+    are limited before the shuffle, so a hot day is no hot task.
     """
-    found = legacy.where(address_ok(query)).where(F.col(key).isNotNull())
-    found = found if floor is None else found.where(num("floor") == floor)
-    keys = found.select("city", key).distinct()
-    if keys.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} properties are at this address")
-    unit, on = ["city", key], ["city", key, "deal_date"]
-    # at most ``most`` keys
-    cur, old = (t.join(F.broadcast(keys), unit, "left_semi") for t in (current, legacy))
-    facts = ("price_millions", "area", "rooms", "build_year")
-    a = unique_by(cur, on).where(num("sale_portion") == 1).select(*on, F.col("record_id").alias("cid"), *[num(c).alias(f"n_{c}") for c in facts])
-    b = unique_by(old, on).join(found.select("record_id"), "record_id", "left_semi").select(*on, F.col("record_id").alias("lid"), *[num(c).alias(f"o_{c}") for c in facts])
-    sure = a.join(b, on).where(F.abs(F.col("n_price_millions") - F.col("o_price_millions")) <= PRICE_M)
-    differ = [F.when(F.coalesce(F.abs(F.col(f"n_{c}") - F.col(f"o_{c}")) > most_off, F.lit(True)), c) for c, most_off in (("area", 0.5), ("rooms", 0.001), ("build_year", 0.0))]
-    sure = sure.select(F.col("cid").alias("record_id"), "lid", F.array_compact(F.array(*differ)).alias("differ"))
-    text = F.coalesce(F.trim("full_address"), F.lit(""))
-    names = F.array_join(F.sort_array(F.collect_set(F.nullif(text, F.lit("")))), " / ")
-    floors = F.array_join(F.transform(F.sort_array(F.collect_set(F.when(num("floor") != UNKNOWN, num("floor")))), lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")), " / ")
-    refs = found.groupBy(*unit).agg(names.alias("unit_address"), floors.alias("unit_floor"))
-    same = found.groupBy(*on).agg(names.alias("day_address"), floors.alias("day_floor"))
-    mixed = old.groupBy(*unit).agg(((F.countDistinct(text) > 1) | (F.countDistinct("floor") > 1)).alias("mixed"))
-    out = cur.join(sure, "record_id", "left").join(F.broadcast(refs), unit).join(F.broadcast(mixed), unit).join(same, on, "left")
-    matched = F.col("lid").isNotNull()
-    pick = lambda c: F.when(matched, F.col(f"day_{c}")).otherwise(F.col(f"unit_{c}"))
-    conflicts = F.array_join(F.concat(F.coalesce("differ", F.array().cast("array<string>")), F.when(F.col("mixed"), F.array(F.lit("references"))).otherwise(F.array().cast("array<string>"))), ",")
-    none = F.when(matched, "none").otherwise("unchecked")
-    said = [F.coalesce(F.nullif(conflicts, F.lit("")), none).alias("conflicts")]
-    out = out.select("record_id", *on, "price_millions", F.when(matched, "confirmed").otherwise("candidate").alias("status"), F.col("lid").alias("legacy_record_id"), pick("address").alias("reference_address"), pick("floor").alias("reference_floor"), *said)
-    rest = found.join(sure.select(F.col("lid").alias("record_id")), "record_id", "left_anti")
-    own = F.regexp_replace(num("floor").cast("string"), r"\.0$", "").alias("reference_floor")
-    rest = rest.select("record_id", *on, "price_millions", F.lit("legacy").alias("status"), F.lit(None).cast("string").alias("legacy_record_id"), text.alias("reference_address"), own, F.lit("share unknown").alias("conflicts"))
-    return out.unionByName(rest).where(F.year("deal_date").between(*years))
+    at = F.floor(F.col("price") / tolerance).cast("long")
+    rows = df.where(F.col("price").isNotNull()).select(*keys, at.alias("band"), "price", "id")
+
+    def two(order, name):
+        w = W.partitionBy(*keys, "band").orderBy(*order)
+        few = rows.withColumn("_r", F.row_number().over(w)).where("_r <= 2")
+        return few.groupBy(*keys, "band").agg(F.collect_list(F.struct("price", "id")).alias(name))
+
+    low, high = two(["price", "id"], "found"), two([F.desc("price"), F.desc("id")], "found")
+    shifted = lambda d, by, name: d.select(*keys, (F.col("band") + by).alias("band"), F.lit(name).alias("side"), "found")
+    sides = shifted(low, 0, "own").unionByName(shifted(high, 1, "below")).unionByName(shifted(low, -1, "above"))
+    return sides.groupBy(*keys, "band").agg(*[F.first(F.when(F.col("side") == n, F.col("found")), ignorenulls=True).alias(n) for n in ("own", "below", "above")])
+
+
+def partners(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """``left`` (*keys, price, id) with ``partners``: rows of ``right`` with equal keys and a price within the tolerance.
+
+    Two stands for two or more; ``partner`` is the id where there is one. Each row meets one band of
+    the other side, whatever the number of rows there. Rows without a key or price have none.
+    """
+    bands = _bands(right, keys, tolerance)
+    out = left.withColumn("band", F.floor(F.col("price") / tolerance).cast("long")).join(bands, [*keys, "band"], "left")
+    none = F.array().cast("array<struct<price: double, id: string>>")
+    near = lambda c: F.filter(F.coalesce(c, none), lambda x: F.abs(x["price"] - F.col("price")) <= tolerance)
+    found = F.concat(F.coalesce("own", none), near("below"), near("above"))
+    return out.withColumn("_found", found).withColumns({"partners": F.least(F.size("_found"), F.lit(2)), "partner": F.when(F.size("_found") == 1, F.col("_found")[0]["id"])}).drop("_found", "band", "own", "below", "above")
 
 
 def deal_history(current: DataFrame, legacy: DataFrame, key: str = "unit_key") -> DataFrame:
-    """All records of each property from both sources, and what else there is on the same day."""
-    cols = ["record_id", "city", key, "deal_date", "price_millions", "source"]
-    both = current.withColumn("source", F.lit("current")).select(*cols).unionByName(legacy.withColumn("source", F.lit("legacy")).select(*cols)).where(F.col(key).isNotNull())
-    ils = price_ils(F.lit(None).cast("double"), "price_millions")
-    w, day = W.partitionBy("city", key), W.partitionBy("city", key, "deal_date")
-    dates = both.groupBy("city", key).agg(F.countDistinct("deal_date").alias("dates"))
-    # prices of the other source within the tolerance, on the same day
-    other = both.select("city", key, "deal_date", F.col("source").alias("_s"), ils.alias("_p"))
-    near = both.select("record_id", "source", "city", key, "deal_date", ils.alias("p")).join(other, ["city", key, "deal_date"]).where((F.col("source") != F.col("_s")) & (F.abs(F.col("p") - F.col("_p")) <= PRICE_ILS)).select("record_id", "source").distinct().withColumn("parallel_source", F.lit(True))
-    out = both.withColumns({"records": F.count("*").over(w), "same_date": F.count("*").over(day) > 1}).join(dates, ["city", key]).join(near, ["record_id", "source"], "left")
-    return out.withColumn("parallel_source", F.coalesce("parallel_source", F.lit(False)))
+    """All records of each property from both sources, and what else there is on the same day.
+
+    ``parallel_source`` tells whether the other source has a price within the tolerance on that day.
+    """
+    cols = ["record_id", "city", key, "deal_date", "price_millions"]
+    named = lambda df, name: df.where(F.col(key).isNotNull()).select(*cols, F.lit(name).alias("source"))
+    both = staged(named(current, "current").unionByName(named(legacy, "legacy")))
+    day = ["city", key, "deal_date"]
+    days = both.groupBy(*day).agg(F.count("*").alias("on_day"))
+    units = days.groupBy("city", key).agg(F.sum("on_day").alias("records"), F.count("deal_date").alias("dates"))
+    priced = both.where("deal_date is not null").select(*day, "record_id", "source", price_ils(F.lit(None).cast("double"), "price_millions").alias("price"), F.col("record_id").alias("id"))
+    side = lambda s: priced.where(F.col("source") == s)
+    near = [partners(side(a), side(b), day, PRICE_ILS) for a, b in (("current", "legacy"), ("legacy", "current"))]
+    near = near[0].unionByName(near[1]).where("partners > 0").select("record_id", "source", F.lit(True).alias("parallel_source")).distinct()
+    out = join_keys(join_keys(both, days, day), units, ["city", key]).join(near, ["record_id", "source"], "left")
+    return out.withColumns({"same_date": F.col("on_day") > 1, "parallel_source": F.coalesce("parallel_source", F.lit(False))}).drop("on_day")
 
 
 def pair_parallel(current: DataFrame, legacy: DataFrame, key: str = "unit_key") -> DataFrame:
     """Pairs of a current full sale and a legacy row that have only each other on a day and price."""
-    c = current.where(num("sale_portion") == 1).select("city", key, "deal_date", F.col("record_id").alias("current_id"), "price_millions")
-    o = legacy.select("city", key, "deal_date", F.col("record_id").alias("legacy_id"), F.col("price_millions").alias("legacy_price"))
-    near = c.join(o, ["city", key, "deal_date"]).where(F.abs(F.col("price_millions") - F.col("legacy_price")) * 1e6 <= PRICE_ILS)
-    one = near.withColumns({"a": F.count("*").over(W.partitionBy("current_id")), "b": F.count("*").over(W.partitionBy("legacy_id"))})
-    return one.where("a = 1 and b = 1").drop("a", "b")
+    on = ["city", key, "deal_date"]
+    narrow = lambda df: staged(df.select(*on, num("price_millions").alias("price"), F.col("record_id").alias("id")).where(F.col(key).isNotNull() & F.col("deal_date").isNotNull()))
+    c, o = narrow(current.where(num("sale_portion") == 1)), narrow(legacy)
+    one = lambda a, b: partners(a, b, on, PRICE_ILS / 1e6).where("partner is not null")
+    a = one(c, o).select(*on, F.col("id").alias("current_id"), F.col("partner").alias("legacy_id"), F.col("price").alias("price_millions"))
+    b = one(o, c).select(F.col("id").alias("legacy_id"), F.col("partner").alias("current_id"), F.col("price").alias("legacy_price"))
+    return a.join(b, ["current_id", "legacy_id"]).select(*on, "current_id", "price_millions", "legacy_id", "legacy_price")
 
 
 def resolve_areas(descriptions: DataFrame, streets: DataFrame, ids: list[float] = (), labels: list[str] = (), city_streets: list[tuple[str, str]] = (), most: int = 15) -> DataFrame:
@@ -223,6 +225,9 @@ def resolve_areas(descriptions: DataFrame, streets: DataFrame, ids: list[float]
 
 
 def by_date(history: DataFrame, key: str = "unit_key") -> DataFrame:
-    """A history grouped by day, the newest first."""
-    g = history.groupBy("city", key, "deal_date").agg(F.count("*").alias("records"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
+    """A history's days, the newest first, each with its records in order of source and id."""
+    said = F.struct("source", "record_id", "price_millions", "parallel_source")
+    g = history.groupBy("city", key, "deal_date").agg(F.sort_array(F.collect_list(said)).alias("list"))
+    # the records of one property and day
+    g = g.select("city", key, "deal_date", F.size("list").cast("long").alias("records"), F.array_join(F.array_distinct("list.source"), ",").alias("sources"), F.col("list"))
     return g.orderBy("city", key, F.desc("deal_date"))

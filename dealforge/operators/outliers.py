@@ -10,10 +10,6 @@ from .quantiles import quantiles
 BY_YEAR_K, GLOBAL_K, LEAST_ROWS, WIDEST = 2.5, 1.5, 10, 5
 
 
-def _quartiles(c: str):
-    return F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-
-
 def year_bounds(df: DataFrame, col: str = "price_millions", k: float = BY_YEAR_K, least: int = LEAST_ROWS, widest: int = WIDEST) -> DataFrame:
     """``(year, width, rows, low, high)``: bounds of each year from the narrowest window around it.
 
@@ -28,9 +24,8 @@ def year_bounds(df: DataFrame, col: str = "price_millions", k: float = BY_YEAR_K
     wide = near.groupBy("y").agg(*within)
     width = F.coalesce(*[F.when(F.col(f"n{w}") >= least, w) for w in range(widest + 1)], F.lit(widest))
     wide = wide.select(F.col("y").alias("year"), width.alias("width"))
-    spread = rows.where("v is not null").withColumn("off", F.explode(F.sequence(F.lit(-widest), F.lit(widest))))
-    spread = spread.select((F.col("y") + F.col("off")).alias("year"), F.abs("off").alias("d"), "v").join(F.broadcast(wide), "year").where("d <= width")
-    q = spread.groupBy("year", "width").agg(_quartiles("v").alias("q"), F.count("*").alias("rows"))
+    windows = wide.select("year", "width", F.explode(F.sequence(F.col("year") - F.col("width"), F.col("year") + F.col("width"))).alias("y"))
+    q = quantiles(rows.where("v is not null"), ["y"], "v", [0.25, 0.75], windows)
     span = (F.col("q")[1] - F.col("q")[0]) * k
     return q.select("year", "width", "rows", (F.col("q")[0] - span).alias("low"), (F.col("q")[1] + span).alias("high"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.clean import cadastral_key, num, price_metric, tri_state
 from ..functions.schema import UNKNOWN
-from .quantiles import quantiles
+from .quantiles import medians, quantiles
 
 KINDS = ("price", "per_m2", "per_room")
 
@@ -19,14 +19,15 @@ def middle(stat: str):
 
 def summarize(df: DataFrame, keys: list[str], stat: str = "median") -> DataFrame:
     """Deals and the middle of price, price per m2 and per room of each group."""
+    if stat == "median":
+        return medians(df, keys, {f"{k}_y": price_metric(k) for k in KINDS}).withColumnRenamed("rows", "n_deals")
     return df.groupBy(*keys).agg(F.count("*").alias("n_deals"), *[middle(stat)(price_metric(k)).alias(f"{k}_y") for k in KINDS])
 
 
 def selection_summary(df: DataFrame, kind: str = "price") -> DataFrame:
     rooms = F.when(num("rooms") != UNKNOWN, num("rooms"))
     measured = {"median_price": price_metric(kind), "median_area": num("area"), "median_rooms": rooms}
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("m"), v.cast("double").alias("v")) for n, v in measured.items()])))
-    mids = quantiles(long, ["m"], "v", [0.5]).agg(*[F.max(F.when(F.col("m") == n, F.col("q")[0])).alias(n) for n in measured])
+    mids = medians(df, [], measured).drop("rows")
     rest = df.agg(
         F.count("*").alias("n_deals"),
         F.min("deal_year").alias("first_year"), F.max("deal_year").alias("last_year"), F.min("deal_date").alias("first_date"), F.max("deal_date").alias("last_date"),
@@ -36,7 +37,10 @@ def selection_summary(df: DataFrame, kind: str = "price") -> DataFrame:
 
 
 def yearly_values(df: DataFrame, kind: str = "price", stat: str = "median") -> DataFrame:
-    return df.where("deal_year is not null").groupBy("deal_year").agg(F.count("*").alias("n_deals"), middle(stat)(price_metric(kind)).alias("y"))
+    dated = df.where("deal_year is not null")
+    if stat == "median":
+        return medians(dated, ["deal_year"], {"y": price_metric(kind)}).withColumnRenamed("rows", "n_deals")
+    return dated.groupBy("deal_year").agg(F.count("*").alias("n_deals"), middle(stat)(price_metric(kind)).alias("y"))
 
 
 def _dated() -> Column:
@@ -44,15 +48,12 @@ def _dated() -> Column:
     return F.coalesce(y.between(1900, 2100) & (y % 1 == 0), F.lit(False))
 
 
-def _quartiles(v: Column, prefix: str = "") -> list[Column]:
-    return [F.percentile(v, F.lit(q)).alias(f"{prefix}{n}") for q, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))]
-
-
 def annual_profile(df: DataFrame, kind: str = "price", least: int = 10) -> DataFrame:
     """Every year from the first to the last that has deals, with quartiles of the valid prices."""
     rows = df.where(_dated()).select(F.col("deal_year").cast("int").alias("year"), price_metric(kind).alias("v"))
     years = rows.agg(F.min("year").alias("a"), F.max("year").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("year"))
-    got = rows.groupBy("year").agg(F.count("*").alias("deals"), F.count("v").alias("valid_prices"), *_quartiles(F.col("v")))
+    got = quantiles(rows, ["year"], "v", [0.25, 0.5, 0.75])
+    got = got.select("year", F.col("rows").alias("deals"), F.col("n").alias("valid_prices"), *[F.col("q")[i].alias(c) for i, c in enumerate(("p25", "median", "p75"))])
     out = years.join(got, "year", "left").na.fill(0, ["deals", "valid_prices"])
     return out.withColumn("low_sample", F.col("valid_prices") < least)
 

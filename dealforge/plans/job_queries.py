@@ -10,7 +10,7 @@ from ..sources import tables
 from . import jobs
 from .basics import FULL, bounds_sql, global_sql
 from .fixtures import SNAPSHOT_YEAR, WITH, deals, legacy_deals, units
-from .links import CONFLICT, DESCR, LOOK, STRICT, U, first_raw, old_units, second_raw
+from .links import CONFLICT, DESCR, STRICT, first_raw, old_units, second_raw
 from .registry import register
 from .trends import GROWTH
 
@@ -145,10 +145,3 @@ def n10(spark, sf_dir):
 @register("N11_repeat_sales", f"{WITH}, w as (select * from units where apt_type = 'STANDARD' and price_millions > 0 and sale_portion = 1) select unit_key, max(d) as dates from (select unit_key, area, rooms, count(distinct deal_date) as d from w where area > 0 and rooms > 0 and unit_key not in ({CONFLICT.replace('units', 'w')}) group by all) group by 1")
 def n11(spark, sf_dir):
     return jobs.repeat_sales(units(spark, sf_dir), quality.scopes(F.col("apt_type") != "PROMO", F.col("apt_type") == "STANDARD"))["stable"]
-
-
-@register("N12_address_lookup", f"{WITH} {LOOK} select {U}, count(*) as n from (select {U} from cur union all select {U} from found where record_id not in (select lid from sure)) group by {U}")
-def n12(spark, sf_dir):
-    return jobs.address_job(old_units(spark, sf_dir), units(spark, sf_dir), "red 12", years=(1990, 2026), most=10**6)["lookup"].groupBy("city", "unit_key", "deal_date").agg(F.count("*").alias("n"))
-
-

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import clean, filters
 from ..functions.filters import FilterSpec
-from ..operators import growth, linkage, outliers, quality, segments, summary
+from ..operators import addresses, growth, linkage, outliers, quality, segments, summary
 from ..sources import tables
 
 
@@ -161,4 +161,4 @@ def repeat_sales(rows: DataFrame, conditions: dict, key: str = "unit_key") -> di
 
 def address_job(legacy: DataFrame, current: DataFrame, query: str, key: str = "unit_key", **how) -> dict[str, DataFrame]:
     history = linkage.deal_history(current, legacy, key)
-    return {"lookup": linkage.lookup_addresses(legacy, current, query, key, **how), "history": history, "by_date": linkage.by_date(history, key), "pairs": linkage.pair_parallel(current, legacy, key)}
+    return {"lookup": addresses.lookup_address(legacy, current, query, key, **how), "history": history, "by_date": linkage.by_date(history, key), "pairs": linkage.pair_parallel(current, legacy, key)}

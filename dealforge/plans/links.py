@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import clean
 from ..operators import linkage, quality
 from ..sources import tables
+from ..sources.stage import scratch
 from .basics import KEY
 from .fixtures import WITH, bench_index, deals, gush_streets, legacy_deals, units
 from .registry import register
@@ -39,14 +37,6 @@ def a3(spark, sf_dir):
     return tables.read_lookup(spark, f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
 
 
-def scratch(spark) -> str:
-    """A new folder in the one that the cluster shares; for a local master, elsewhere if none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(root or tempfile.mkdtemp(prefix='spark-shared-')).rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @register("A04_types", f"{WITH} select distinct apt_type from deals")
 def a4(spark, sf_dir):
     path = scratch(spark)
@@ -266,15 +256,6 @@ def f9(spark, sf_dir):
     return linkage.split_shared_gush(deals(spark, sf_dir)).select("record_id", "gush")
 
 
-LOOK = f"{OLD_UNITS}, found as (select * from old where contains(lower(full_address), 'red') and regexp_matches(full_address, '(^|[^0-9])12($|[^0-9])')), ks as (select distinct city, unit_key from found), cur as (select units.* from units semi join ks using (city, unit_key)), known as (select old.* from old semi join ks using (city, unit_key)), a as (select {U}, min(record_id) as cid from cur group by {U} having count(*) = 1), b as (select {U}, min(record_id) as lid from known group by {U} having count(*) = 1), sure as (select cid, lid, concat_ws(',', case when abs(n.area - o.area) <= 0.5 then null else 'area' end, case when abs(n.rooms - o.rooms) <= 0.001 then null else 'rooms' end, case when n.build_year = o.build_year then null else 'build_year' end) as d from a join b using ({U}) join units n on n.record_id = cid join found o on o.record_id = lid where n.sale_portion = 1 and abs(n.price_millions - o.price_millions) <= 0.001000001)"
-REFS = ", rk as (select city, unit_key, string_agg(distinct full_address, ' / ' order by full_address) as ka from found group by all), rd as (select city, unit_key, deal_date, string_agg(distinct full_address, ' / ' order by full_address) as da from found group by all), kf as (select city, unit_key, string_agg(cast(f as bigint), ' / ' order by f) as kfl from (select distinct city, unit_key, floor as f from found where floor <> 999) group by all), df as (select city, unit_key, deal_date, string_agg(cast(f as bigint), ' / ' order by f) as dfl from (select distinct city, unit_key, deal_date, floor as f from found where floor <> 999) group by all), mx as (select city, unit_key, count(distinct full_address) > 1 or count(distinct floor) > 1 as mixed from known group by all)"
-
-
-@register("F10_lookup_addresses", f"{WITH} {LOOK} {REFS} select record_id, city, unit_key, deal_date, price_millions, case when lid is null then 'candidate' else 'confirmed' end as status, lid as legacy_record_id, case when lid is null then ka else da end as reference_address, coalesce(case when lid is null then kfl else dfl end, '') as reference_floor, coalesce(nullif(concat_ws(',', nullif(d, ''), case when mixed then 'references' end), ''), case when lid is null then 'unchecked' else 'none' end) as conflicts from cur left join sure on cid = record_id left join rk using (city, unit_key) left join kf using (city, unit_key) left join mx using (city, unit_key) left join rd using ({U}) left join df using ({U}) union all select record_id, city, unit_key, deal_date, price_millions, 'legacy', null, full_address, cast(cast(floor as bigint) as varchar), 'share unknown' from found where record_id not in (select lid from sure)")
-def f10(spark, sf_dir):
-    return linkage.lookup_addresses(old_units(spark, sf_dir), units(spark, sf_dir), "red 12", years=(1990, 2026), most=10**6)
-
-
 HIST = f"{OLD_UNITS}, both_ as (select record_id, {U}, price_millions, 'current' as source from units union all select record_id, {U}, price_millions, 'legacy' from old)"
 
 
@@ -294,9 +275,11 @@ def f13(spark, sf_dir):
     return linkage.resolve_areas(d, gush_streets(spark, sf_dir), ids=[7.0])
 
 
-@register("F14_by_date", f"{WITH} {HIST} select {U}, count(*) as records, string_agg(distinct source, ',' order by source) as sources from both_ group by {U}")
+@register("F14_by_date", f"{WITH} {HIST}, nr as (select distinct x.record_id, x.source from both_ x join both_ y using ({U}) where x.source <> y.source and abs(x.price_millions * 1e6 - y.price_millions * 1e6) <= 1000) select {U}, count(*) as records, string_agg(distinct b.source, ',' order by b.source) as sources, string_agg(b.source || ':' || b.record_id || ':' || case when nr.record_id is null then 'alone' else 'parallel' end, ';' order by b.source, b.record_id) as list from both_ b left join nr on nr.record_id = b.record_id and nr.source = b.source group by {U}")
 def f14(spark, sf_dir):
-    return linkage.by_date(linkage.deal_history(units(spark, sf_dir), old_units(spark, sf_dir)))
+    days = linkage.by_date(linkage.deal_history(units(spark, sf_dir), old_units(spark, sf_dir)))
+    said = F.transform("list", lambda x: F.concat_ws(":", x["source"], x["record_id"], F.when(x["parallel_source"], "parallel").otherwise("alone")))
+    return days.withColumn("list", F.array_join(said, ";"))
 
 
 COLS = ["city", "street", "gush", "area", "rooms", "floor", "roof", "build_year", "sale_portion"]

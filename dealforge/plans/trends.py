@@ -133,6 +133,39 @@ def e11(spark, sf_dir):
     return segments.hedonic_index(deals(spark, sf_dir))
 
 
+#: Rows of one band each, so that only years and log area are left: the slope is pooled within years.
+ONE_BAND = "area >= 75 and area < 100"
+
+
+def _within(name: str, rows: str) -> str:
+    """CTEs of a fit of t on x and years in each city: years' means, slopes and residuals."""
+    return f"""{name}_m as (select city, year, count(*) as n, avg(x) as mx, avg(t) as mt from {rows} group by all),
+{name}_b as (select city, sum((x - mx) * (t - mt)) / sum((x - mx) * (x - mx)) as b, sum((x - mx) * (x - mx)) as sxx from {rows} join {name}_m using (city, year) group by city),
+{name}_r as (select city, year, x, t, t - mt - b * (x - mx) as r from {rows} join {name}_m using (city, year) join {name}_b using (city))"""
+
+
+INDEX_BY_CITY = f"""{WITH}, u as (select city, cast(deal_year as int) as year, ln(area) as x, ln(price_millions) as t, price_millions * 1000 / area as pm from deals where {ONE_BAND} and price_millions > 0 and deal_year between 1900 and 2100 and deal_year % 1 = 0),
+yc as (select city, year, median(pm) as raw, count(*) as n from u group by all having count(*) >= 5), ok as (select city from yc group by 1 having count(*) >= 2 and sum(n) >= 30),
+v as (select u.* from u semi join yc using (city, year) semi join ok using (city)), {_within("f", "v")},
+md as (select city, median(r) as m from f_r group by 1), sp as (select city, 1.4826 * median(abs(r - m)) as s from f_r join md using (city) group by 1),
+nr as (select f_r.*, s <= 0 or abs(r) <= 4 * s as near from f_r join sp using (city)), en as (select city, count(*) filter (near) >= 30 as enough, count(*) as n_all from nr group by 1),
+k as (select city, year, x, t from nr join en using (city) where near or not enough), {_within("g", "k")},
+st as (select city, count(*) as n, sum(r * r) as rss, var_pop(t) * count(*) as tss, count(distinct year) as ny from g_r group by 1),
+fy as (select city, min(year) as y0 from yc semi join ok using (city) group by 1),
+z as (select fy.city, g_m.n as n0, mx as x0, mt as t0, raw as raw0, y0 from fy join g_m on g_m.city = fy.city and year = y0 join yc on yc.city = fy.city and yc.year = y0),
+e as (select m.city, m.year, m.n, (m.mt - b * m.mx) - (t0 - b * x0) as c, sqrt(rss / (st.n - st.ny - 1) * (1 / m.n + 1 / n0 + (m.mx - x0) * (m.mx - x0) / sxx)) as se, year = y0 as base, 100 * raw / raw0 as raw, n_all - st.n as excluded, 1 - rss / tss as r2
+  from g_m m join g_b using (city) join st using (city) join z using (city) join yc using (city, year) join en using (city))
+select city, year, n as observations, round(case when base then 100 else 100 * exp(c) end, 1) as adjusted, case when not base then round(100 * exp(c - 1.96 * se), 1) end as adjusted_low, case when not base then round(100 * exp(c + 1.96 * se), 1) end as adjusted_high, round(raw, 1) as raw, excluded, round(r2, 3) as r_squared from e"""
+
+
+@register("E11_index_by_city", INDEX_BY_CITY)
+def e11_by_city(spark, sf_dir):
+    """The index of each city over rows of one band, where it has a closed form."""
+    unknown = F.lit(None).cast("double")
+    rows = deals(spark, sf_dir).where(ONE_BAND).withColumns({"rooms": unknown, "floor": unknown, "building_age": unknown, "apt_type": F.lit("flat")})
+    return segments.hedonic_index(rows, ["city"])
+
+
 @register("G_windows", f"{WITH} select record_id, row_number() over (partition by city order by deal_date desc, record_id) as place, lag(price_millions) over (partition by city, gush order by deal_date, record_id) as previous_price, count(*) over (partition by city, gush_code) as same_key, sum(gush) over (partition by city order by deal_date, record_id rows unbounded preceding) as running from deals")
 def g_windows(spark, sf_dir):
     from pyspark.sql import Window as W

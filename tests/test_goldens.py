@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dealforge.functions import clean, filters
 from dealforge.functions.filters import FilterSpec
-from dealforge.operators import growth, linkage, outliers, quality, segments, summary
+from dealforge.operators import addresses, growth, linkage, outliers, quality, quantiles, segments, summary
 from dealforge.sources import tables
 
 DAY = datetime.date(2020, 5, 1)
@@ -217,15 +217,104 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "report")).count() == 2
 
 
+LOOK_OLD = "record_id string, city string, unit_key string, deal_date date, price_millions double, area double, rooms double, build_year double, full_address string, floor double"
+LOOK_NEW = "record_id string, city string, unit_key string, deal_date date, price_millions double, area double, rooms double, build_year double, sale_portion double"
+
+
 def test_lookup_is_sure_only_of_sales_that_are_alone_in_all_rows(spark):
-    """A legacy row of the same property and day at another address stands against confirmation."""
-    old = rows(spark, [("o1", "X", "k1", DAY, 2.0, 80.0, 3.0, 2000.0, "Red 12", 2.0), ("o2", "X", "k2", DAY, 3.0, 70.0, 3.0, 1990.0, "red 12", 1.0), ("o3", "X", "k2", DAY, 9.0, 70.0, 3.0, 1990.0, "Blue 5", 4.0), ("o4", "X", "k3", DAY, 1.0, 50.0, 2.0, None, "red 112", 1.0)], "record_id string, city string, unit_key string, deal_date date, price_millions double, area double, rooms double, build_year double, full_address string, floor double")
-    cur = rows(spark, [("n1", "X", "k1", DAY, 2.001, 81.0, 3.0, 2000.0, 1.0), ("n2", "X", "k2", DAY, 3.0, 70.0, 3.0, 1990.0, 1.0), ("n3", "X", "k3", DAY, 1.0, 50.0, 2.0, 1990.0, 1.0)], "record_id string, city string, unit_key string, deal_date date, price_millions double, area double, rooms double, build_year double, sale_portion double")
-    look = lambda **how: {r["record_id"]: (r["status"], r["legacy_record_id"], r["reference_address"], r["reference_floor"], r["conflicts"]) for r in linkage.lookup_addresses(old, cur, "רחוב red 12", years=(1900, 2100), **how).collect()}
-    assert look() == {"n1": ("confirmed", "o1", "Red 12", "2", "area"), "n2": ("candidate", None, "red 12", "1", "references"), "o2": ("legacy", None, "red 12", "1", "share unknown")}
-    assert set(look(floor=1.0)) == {"n2", "o2"}
-    with pytest.raises(ValueError):
-        look(most=1)
+    """A legacy row of the same property and day at another address stands against confirmation; one without a key is listed."""
+    old = rows(spark, [("o1", "X", "k1", DAY, 2.0, 80.0, 3.0, 2000.0, "Red 12", 2.0), ("o2", "X", "k2", DAY, 3.0, 70.0, 3.0, 1990.0, "red 12", 1.0), ("o3", "X", "k2", DAY, 9.0, 70.0, 3.0, 1990.0, "Blue 5", 4.0), ("o4", "X", "k3", DAY, 1.0, 50.0, 2.0, None, "red 112", 1.0), ("o5", "X", None, DAY, 4.0, 50.0, 2.0, None, "12 old red", 7.0)], LOOK_OLD)
+    cur = rows(spark, [("n1", "X", "k1", DAY, 2.001, 81.0, 3.0, 2000.0, 1.0), ("n2", "X", "k2", DAY, 3.0, 70.0, 3.0, 1990.0, 1.0), ("n3", "X", "k3", DAY, 1.0, 50.0, 2.0, 1990.0, 1.0)], LOOK_NEW)
+    look = lambda **how: {r["record_id"]: (r["status"], r["legacy_record_id"], r["reference_address"], r["reference_floor"], r["conflicts"]) for r in addresses.lookup_address(old, cur, "רחוב red 12", years=(1900, 2100), **how).collect()}
+    loose = {"o5": ("legacy", None, "12 old red", "7", "share unknown")}
+    assert look() == {"n1": ("confirmed", "o1", "Red 12", "2", "area"), "n2": ("candidate", None, "red 12", "1", "references"), "o2": ("legacy", None, "red 12", "1", "share unknown")} | loose
+    assert set(look(floor=1.0)) == {"n2", "o2"} and set(look(floor=7.0)) == {"o5"}
+    assert look(most=1) == {None: ("refused", None, None, None, "too many properties")}
+
+
+def test_lookup_of_one_house_over_two_sources(spark):
+    """One pair of a day is one row; the house with a longer number stays out; what stands against a pair undoes it."""
+    d = datetime.date
+    old = rows(spark, [("l1", "T", "1-2-3", d(2023, 1, 1), 5.4, 105.8, 5.0, 1990.0, "בויאר אברהם 12", 5.0), ("l2", "T", "1-2-4", d(2015, 1, 1), 2.0, 80.0, 3.0, 1990.0, "בויאר אברהם 12", 5.0), ("l3", "T", "1-2-5", d(2016, 1, 1), 2.0, 80.0, 3.0, 1990.0, "בויאר אברהם 120", 5.0)], LOOK_OLD)
+    new = [("a", "T", "1-2-3", d(2023, 1, 1), 5.4, 98.0, 4.0, 1994.0, 1.0), ("b", "T", "1-2-3", d(2020, 1, 1), 3.85, 98.0, 5.0, 1987.0, 1.0)]
+    look = lambda cur, **how: sorted((r["deal_date"].year, r["status"], r["record_id"], r["legacy_area"], r["conflicts"]) for r in addresses.lookup_address(old, rows(spark, cur, LOOK_NEW), "בויאר 12", **({"floor": 5.0, "years": (2014, 2026)} | how)).collect())
+    assert look(new) == [(2015, "legacy", "l2", None, "share unknown"), (2020, "candidate", "b", None, "unchecked"), (2023, "confirmed", "a", 105.8, "area,rooms,build_year")]
+    assert len(look([*new, ("c", *new[0][1:])])) == 5
+    assert len(look([(*new[0][:-1], 0.5), new[1]])) == 4
+    assert look(new, floor=4.0) == []
+    assert len(look([])) == 2
+
+
+def test_many_lookups_equal_one_by_one(spark):
+    rnd = random.Random(4)
+    streets = ["red", "green", "dark red", "ז׳בוטינסקי", "Å street", "a-b 3/4"]
+    old = rows(spark, [(f"o{i}", rnd.choice("XY"), rnd.choice([None, *(f"k{k}" for k in range(30))]), DAY + datetime.timedelta(rnd.randint(0, 3)), float(rnd.randint(1, 3)), 50.0, 2.0, None, rnd.choice([None, f"{rnd.choice(streets)} {rnd.randint(1, 13)}, {rnd.choice('XY')}"]), rnd.choice([1.0, 2.0, 999.0, None])) for i in range(300)], LOOK_OLD)
+    cur = rows(spark, [(f"n{i}", rnd.choice("XY"), f"k{rnd.randint(0, 30)}", DAY + datetime.timedelta(rnd.randint(0, 3)), float(rnd.randint(1, 3)), 50.0, 2.0, None, rnd.choice([1.0, 0.5])) for i in range(300)], LOOK_NEW)
+    asked = [(f"q{i}", c, a, f) for i, (c, a, f) in enumerate((c, a, f) for c in "XYZ" for a in ("red 1", "1", "RED 12", "זבוטינסקי 3", "3 4", "å 2", "d 1", "רחוב", "x", "", None) for f in (None, 1.0))]
+    many = addresses.lookup_addresses(old, cur, rows(spark, asked, "query_id string, city string, address string, floor double"), most=20)
+    got = {}
+    for r in many.collect():
+        got.setdefault(r["query_id"], set()).add(tuple(r)[1:])
+    for q, c, a, f in rnd.sample(asked, 6):
+        one = addresses.lookup_address(old, cur, a or "", city=c, floor=f, most=20)
+        assert {tuple(r)[1:] for r in one.collect()} == got.get(q, set()), (c, a, f)
+    texts = {q: filters.address_ok(a, "full_address") for q, c, a, f in asked if a and f is None and c == "X" and len(a) > 1 and filters.tokens(a, clean.ADDRESS_STOP)}
+    addr = old.select("city", "full_address").where("city = 'X' and full_address is not null").distinct().persist()
+    met = {(r[0], r[2]) for r in addresses.match_addresses(addr, addresses.read_queries(rows(spark, asked, "query_id string, city string, address string, floor double")).where("refused is null")).collect()}
+    for q, test in texts.items():
+        assert {r[1] for r in addr.where(test).collect()} == {a for k, a in met if k == q}, q
+
+
+def test_partners_within_a_tolerance(spark):
+    """Bands find what comparing all pairs of a day finds, on a day with many equal prices too."""
+    rnd = random.Random(9)
+    make = lambda n, tag: [(rnd.choice(["u", "v", "w"]), rnd.choice([1000.0 * rnd.randint(1, 40), rnd.uniform(0, 40_000), -500.0, None]), f"{tag}{i}") for i in range(n)] + [("hot", 5000.0, f"{tag}h{i}") for i in range(20 if tag == "a" else 1)]
+    a, b = make(60, "a"), make(60, "b")
+    got = {r["id"]: (r["partners"], r["partner"]) for r in linkage.partners(rows(spark, a, "unit string, price double, id string"), rows(spark, b, "unit string, price double, id string"), ["unit"], 1000.0).collect()}
+    for unit, price, i in a:
+        near = [j for u, p, j in b if u == unit and p is not None and price is not None and abs(p - price) <= 1000]
+        assert got[i] == (min(2, len(near)), near[0] if len(near) == 1 else None), (unit, price)
+
+
+def test_quantiles_of_groups_and_windows(spark):
+    rnd = random.Random(6)
+    data = [(rnd.choice(["a", "b", None]), rnd.choice([1, 2, 3, None]), rnd.choice([None, rnd.uniform(-5, 5), float(rnd.randint(-3, 3)), 10.0 ** rnd.randint(-9, 9)])) for _ in range(800)] + [("none", 9, None)]
+    df = rows(spark, data, "g string, y int, v double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {(r["g"], r["y"]): (r["rows"], r["n"], r["q"]) for r in quantiles.quantiles(df, ["g", "y"], "v", probs).collect()}
+    want = df.groupBy("g", "y").agg(F.count("*").alias("rows"), F.count("v").alias("n"), F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).collect()
+    assert set(got) == {(r["g"], r["y"]) for r in want}
+    for r in want:
+        n, k, q = got[r["g"], r["y"]]
+        assert (n, k) == (r["rows"], r["n"])
+        assert q == [None] * 5 if r["q"] is None else q == pytest.approx(r["q"], rel=1e-12), r
+    spread = rows(spark, [(y, w) for w in (1, 2, 3) for y in range(w - 1, w + 2)], "y int, w int")
+    got = {r["w"]: (r["n"], r["q"]) for r in quantiles.quantiles(df.where("v is not null"), ["y"], "v", [0.25, 0.75], spread).collect()}
+    for w in (1, 2, 3):
+        values = df.where(F.col("y").between(w - 1, w + 1) & F.col("v").isNotNull())
+        r = values.agg(F.count("*"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)))).first()
+        assert got[w][0] == r[0] and got[w][1] == pytest.approx(r[1], rel=1e-12)
+    assert [tuple(r) for r in quantiles.quantiles(df.limit(0), [], "v", [0.5]).collect()] == [(0, 0, [None])]
+    assert quantiles.quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+
+
+def test_index_by_group_equals_each_group_alone(spark):
+    rnd = random.Random(3)
+    data = []
+    for city, step in (("A", 1.05), ("B", 0.97), (None, 1.2)):
+        for year in (2019, 2020, 2021):
+            for _ in range(60):
+                area = rnd.choice([40.0, 60.0, 85.0, 120.0])
+                price = step ** (year - 2019) * 0.03 * area**0.8 * math.exp(rnd.gauss(0, 0.05)) * (30 if rnd.random() < 0.02 else 1)
+                data.append((city, float(year), price, area, rnd.choice([2.0, 3.0, 999.0]), rnd.choice([1.0, 4.0, None]), rnd.choice([1.0, 30.0]), rnd.choice("abcdefgh") + (city or "")))
+    data += [("few", 2020.0, 1.0, 50.0, 2.0, 1.0, 1.0, "a")] * 10
+    df = rows(spark, data, "city string, deal_year double, price_millions double, area double, rooms double, floor double, building_age double, apt_type string").persist()
+    got = segments.hedonic_index(df, ["city"]).collect()
+    assert {r["city"] for r in got} == {"A", "B", None}
+    for city in ("A", None):
+        alone = segments.hedonic_index(df.where(F.col("city").eqNullSafe(F.lit(city)))).collect()
+        assert sorted(tuple(r)[1:] for r in got if r["city"] == city) == sorted(map(tuple, alone))
+    assert all(r["excluded"] > 0 for r in got)
 
 
 def test_search_wants_all_words_in_one_column(spark):
