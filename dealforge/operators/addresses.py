@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.clean import ADDRESS_STOP, cased_address, num, price_ils
 from ..functions.schema import UNKNOWN
 from ..sources.stage import staged
+from .postings import asked_entries, candidates, part_entries
 
-GRAM = 3
 #: Characters of a query, years and floors it may name, properties it may find.
 LEAST_CHARS, MOST_CHARS, YEARS, FLOORS, MOST_UNITS = 2, 160, (1900, 2100), (-10, 200), 50
 #: Years of a query that names none, and what a confirmed pair may differ by.
@@ -31,22 +31,15 @@ def _is_number(t: Column) -> Column:
     return F.regexp_like(t, F.lit(rf"^{NUMBER}$"))
 
 
-def _grams(word: Column, sizes: tuple[int, ...]) -> Column:
-    """All parts of a word of these lengths."""
-    of = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: (i >= 1) & (i <= F.length(word) - n + 1)), lambda i: F.substring(word, i, F.lit(n)))
-    return F.concat(*[of(n) for n in sizes])
-
-
-def index_keys(cased: Column) -> Column:
+def index_entries(cased: Column) -> Column:
     """The entries of an address: ``#`` and each whole number, and each part of a word of up to three characters."""
     numbers = F.transform(F.regexp_extract_all(cased, F.lit(NUMBER), F.lit(0)), lambda t: F.concat(F.lit("#"), t))
-    parts = F.flatten(F.transform(F.regexp_extract_all(cased, F.lit(RUN), F.lit(0)), lambda t: _grams(t, tuple(range(1, GRAM + 1)))))
-    return F.array_distinct(F.concat(numbers, parts))
+    return F.array_distinct(F.concat(numbers, F.flatten(F.transform(F.regexp_extract_all(cased, F.lit(RUN), F.lit(0)), part_entries))))
 
 
-def token_keys(t: Column) -> Column:
-    """The entries that every address with this token has; short words stand under themselves."""
-    return F.when(_is_number(t), F.array(F.concat(F.lit("#"), t))).when(F.length(t) <= GRAM, F.array(t)).otherwise(_grams(t, (GRAM,)))
+def token_entries(t: Column) -> Column:
+    """The entries that every address with this token has."""
+    return F.when(_is_number(t), F.array(F.concat(F.lit("#"), t))).otherwise(asked_entries(t))
 
 
 def holds(cased: Column, tokens: Column) -> Column:
@@ -55,19 +48,15 @@ def holds(cased: Column, tokens: Column) -> Column:
     return (F.size(tokens) > 0) & F.forall(tokens, lambda t: F.when(_is_number(t), F.array_contains(numbers, t)).otherwise(F.contains(cased, t)))
 
 
-def match_addresses(addresses: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query_id, city, full_address)``: the addresses of its city that each query finds.
+def match_addresses(addresses: DataFrame, queries: DataFrame, text: str = "full_address", keys: tuple[str, ...] = ("city",)) -> DataFrame:
+    """``(query_id, *keys, text)``: the addresses that each query finds among those with its keys.
 
-    ``addresses`` has distinct (city, full_address); ``queries`` (query_id, city, tokens).
+    ``addresses`` has the keys and the text, each pair once; ``queries`` (query_id, *keys, tokens).
     """
-    asked = staged(queries.select("query_id", "city", "tokens", F.explode(F.array_distinct(F.flatten(F.transform("tokens", token_keys)))).alias("entry")))
-    known = addresses.withColumn("cased", F.coalesce(cased_address("full_address"), F.lit("")))
-    postings = known.select("city", "full_address", "cased", F.explode(index_keys(F.col("cased"))).alias("entry"))
-    postings = staged(postings.join(asked.select("city", "entry").distinct(), ["city", "entry"], "left_semi"))
-    many = postings.groupBy("city", "entry").agg(F.count("*").alias("n"))
-    rarest = asked.join(many, ["city", "entry"], "left").groupBy("query_id").agg(F.min_by(F.struct("city", "tokens", "entry"), F.struct(F.coalesce("n", F.lit(0)), F.col("entry"))).alias("q"))
-    probe = rarest.select("query_id", "q.*")
-    return probe.join(postings, ["city", "entry"]).where(holds(F.col("cased"), F.col("tokens"))).select("query_id", "city", "full_address")
+    asked = queries.select("query_id", *keys, "tokens", F.array_distinct(F.flatten(F.transform("tokens", token_entries))).alias("entries"))
+    known = addresses.withColumn("cased", F.coalesce(cased_address(text), F.lit("")))
+    met = candidates(known.select(*keys, text, "cased", index_entries(F.col("cased")).alias("entries")), asked, list(keys))
+    return met.where(holds(F.col("cased"), F.col("tokens"))).select("query_id", *keys, text)
 
 
 def read_queries(queries: DataFrame) -> DataFrame:

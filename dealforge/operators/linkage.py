@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.clean import cadastral_key, clean_text, num, price_ils, quality_flags, text_key
-from ..functions.filters import address_ok
+from ..functions.clean import cadastral_key, cased_address, clean_text, num, price_ils, quality_flags, text_key
 from ..functions.schema import UNKNOWN
 from ..sources.stage import staged
+from . import addresses
+from .postings import find_parts
 from .quantiles import join_keys
 
 PRICE_M, AREA, ROOMS, PRICE_ILS = 0.001000001, 0.5, 0.001, 1000.0
@@ -89,26 +90,38 @@ def gushes_of(streets: DataFrame, city: str, names: list[str] | None = None) ->
 def search_gush(queries: DataFrame, descriptions: DataFrame, streets: DataFrame, limit: int = 25) -> DataFrame:
     """Blocks for each query: by number, label, city or street; a prefix before any other place.
 
-    ``queries`` has a ``query`` per row and is a stated, small set.
+    Queries meet distinct texts through their rarest part (``postings``), then the blocks of these.
     """
-    q = F.broadcast(queries.select("query", text_key("query").alias("_q")).where("_q <> ''"))
+    q = queries.select("query", text_key("query").alias("q")).where("q <> ''").distinct()
     number = F.col("gush").cast("long").cast("string")
-    d = descriptions.withColumn("_text", F.array(number, text_key("gush_desc"), text_key("city"), text_key("street")))
-    hit = lambda test: F.exists("_text", test)
-    own = d.crossJoin(q).where(hit(lambda t: t.contains(F.col("_q")))).select("query", "city", "gush", F.when(hit(lambda t: t.startswith(F.col("_q"))), 0).otherwise(1).alias("rank"))
-    st = streets.crossJoin(q).where(text_key("street").contains(F.col("_q"))).select("query", "city", "gush", F.when(text_key("street").startswith(F.col("_q")), 0).otherwise(2).alias("rank"))
-    st = st.join(descriptions.select("city", "gush"), ["city", "gush"], "left_semi").select("query", "city", "gush", "rank")
-    best = own.unionByName(st).groupBy("query", "city", "gush").agg(F.min("rank").alias("rank"))
+    own = descriptions.select("city", "gush", F.explode(F.array(number, text_key("gush_desc"), text_key("city"), text_key("street"))).alias("text"), F.lit(1).alias("other"))
+    st = streets.select("city", "gush", text_key("street").alias("text"), F.lit(2).alias("other")).join(descriptions.select("city", "gush"), ["city", "gush"], "left_semi")
+    places = staged(own.unionByName(st).where("text is not null").distinct())
+    hits = find_parts(places, q.withColumnRenamed("query", "query_id"))
+    rank = F.when(F.startswith("text", F.col("q")), 0).otherwise(F.col("other"))
+    best = hits.join(places, "text").groupBy(F.col("query_id").alias("query"), "city", "gush").agg(F.min(rank).alias("rank"))
     w = W.partitionBy("query").orderBy("rank", "city", "gush")
     return with_label(best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit), descriptions)
 
 
+def search_streets(queries: DataFrame, streets: DataFrame, descriptions: DataFrame, limit: int = 25) -> DataFrame:
+    """For each query the streets that hold all of its tokens, each with its blocks and their labels.
+
+    ``queries`` has a ``query`` per row; streets that start with it come first, then by city and name.
+    """
+    q = queries.select("query").distinct().select(F.col("query").alias("query_id"), addresses.query_tokens(F.coalesce(cased_address("query"), F.lit(""))).alias("tokens"))
+    met = addresses.match_addresses(streets.select("street").where("street is not null").distinct(), q, "street", ())
+    found = with_label(met.join(streets, "street"), descriptions)
+    first = F.when(F.startswith(text_key("street"), text_key("query")), 0).otherwise(1)
+    rows = found.withColumnRenamed("query_id", "query").groupBy("query", "city", "street").agg(F.sort_array(F.collect_set("gush")).alias("gush_ids"), F.sort_array(F.collect_set("gush_label")).alias("labels"), F.min(first).alias("rank"))
+    w = W.partitionBy("query").orderBy("rank", "city", "street")
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+
+
 def search_street(streets: DataFrame, query: str, descriptions: DataFrame, limit: int = 25) -> DataFrame:
-    """Streets that hold every token of the query, each with its blocks and their labels."""
-    found = with_label(streets.where(address_ok(query, "street")), descriptions)
-    first = F.when(text_key("street").startswith(query.strip().lower()), 0).otherwise(1)
-    rows = found.groupBy("city", "street").agg(F.sort_array(F.collect_set("gush")).alias("gush_ids"), F.sort_array(F.collect_set("gush_label")).alias("labels"), F.min(first).alias("rank"))
-    return rows.orderBy("rank", "city", "street").limit(limit)
+    """``search_streets`` of one query, in order."""
+    one = streets.sparkSession.createDataFrame([(query,)], "query string")
+    return search_streets(one, streets, descriptions, limit).orderBy("place").drop("query", "place")
 
 
 def attach_polygons(descriptions: DataFrame, polygons: DataFrame, city: str, chosen: list[float], counts: DataFrame) -> DataFrame:

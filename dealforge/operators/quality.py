@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.clean import num
+from ..sources.stage import staged
+from .flags import count_flags
 from .linkage import unique_by
 
 
@@ -71,7 +73,30 @@ def append_extras(snapshot: DataFrame, append: DataFrame, loose: list[str], weak
     near = snapshot.select(*loose).distinct().withColumn("_loose", F.lit(True))
     day = snapshot.select(*weak).distinct().withColumn("_weak", F.lit(True))
     out = extra.join(near, loose, "left").join(day, weak, "left")
-    return out.withColumn("nearness", F.when(F.col("_loose"), "same_but_place").when(F.col("_weak"), "same_property_day").otherwise("none")).select(*cols, "nearness")
+    kind = F.when(F.col("_loose"), "same_but_place").when(F.col("_weak"), "same_property_day").otherwise("none")
+    return out.select(*cols, kind.alias("nearness"), F.coalesce("_weak", F.lit(False)).alias("property_day"))
+
+
+def append_report(snapshot: DataFrame, append: DataFrame, place: str, name: str, loose: list[str], weak: list[str], day: str = "deal_date", samples: int = 20) -> dict[str, DataFrame]:
+    """What an append export has beyond a snapshot: counts, places, years, samples of each kind, and repeated contents.
+
+    Both tables are canonical. ``place`` is the code of a place, which may be missing, ``name`` its
+    name. Samples are the rows of least digest, so they do not depend on order; the ranks of a group
+    are cut in each task before the shuffle.
+    """
+    cols = snapshot.columns
+    extras = staged(append_extras(snapshot, append, loose, weak))
+    digest = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols]), 256)
+    rank = F.row_number().over(W.partitionBy("nearness").orderBy("digest", *cols))
+    match = F.col("nearness") == "same_but_place"
+    flags = {"matching_without_place": match, "unmatched_without_place": ~match, "missing_place": F.coalesce(F.trim(place), F.lit("")) == "", "known_property_day": F.col("property_day"), "new_property_day": ~F.col("property_day")}
+    unique = append.groupBy(*cols).agg(F.count("*").alias("n"))
+    no_place = append.groupBy(*loose).agg(F.count("*").alias("n"))
+    repeats = lambda g, of: g.agg(F.lit(of).alias("content"), F.count("*").alias("unique"), F.coalesce(F.sum("n") - F.count("*"), F.lit(0)).alias("excess"))
+    return {
+        "counts": count_flags(extras, flags), "places": extras.groupBy(place, name).agg(F.count("*").alias("extra_rows")), "years": extras.groupBy(F.year(F.col(day).cast("date")).alias("year")).agg(F.count("*").alias("extra_rows")),
+        "samples": extras.withColumn("digest", digest).withColumn("rank", rank).where(F.col("rank") <= samples).drop("property_day"), "repeats": repeats(unique, "all").unionByName(repeats(no_place, "without_place")),
+    }
 
 
 def repeat_sales(df: DataFrame, key: str = "unit_key") -> DataFrame:
@@ -133,14 +158,19 @@ def consistent_units(df: DataFrame, key: str = "unit_key") -> DataFrame:
 
 
 def reconcile_prices(current: DataFrame, legacy: DataFrame, key: str = "unit_key", by: str = "city") -> DataFrame:
-    """Per place and share class: one-to-one matches whose amounts agree within steps."""
+    """Per place and share class: one-to-one matches whose amounts, and declared ones if there are, agree within steps."""
     on = [by, key, "deal_date"]
+    declared = "declared_amount" in current.columns
     a = unique_by(legacy, on).select(*on, (num("price_millions") * 1e6).alias("old"))
-    b = unique_by(current, on).select(*on, (num("price_millions") * 1e6).alias("new"), num("sale_portion").alias("p"))
+    b = unique_by(current, on).select(*on, (num("price_millions") * 1e6).alias("new"), num("sale_portion").alias("p"), (num("declared_amount") if declared else F.lit(None).cast("double")).alias("declared"))
     m = a.join(b, on).withColumn("portion_group", F.when(F.col("p") == 1, "whole").when((F.col("p") > 0) & (F.col("p") < 1), "partial").when(F.col("p") == 0, "zero")).where("portion_group is not null")
-    gap = F.abs(F.col("old") - F.col("new"))
-    scaled = F.abs(F.col("old") - F.try_divide(F.col("new"), F.when(F.col("p") > 0, F.col("p"))))
-    return m.groupBy(by, "portion_group").agg(F.count("*").alias("candidates"), *[F.count_if(gap <= t).alias(f"within_{t}") for t in (1, 500, 1000)], F.count_if(scaled <= 1000).alias("by_portion_within_1000"))
+
+    def grid(c: str, prefix: str) -> list[Column]:
+        gap = F.abs(F.col("old") - F.col(c))
+        scaled = F.abs(F.col("old") - F.try_divide(F.col(c), F.when(F.col("p") > 0, F.col("p"))))
+        return [*[F.count_if(gap <= t).alias(f"{prefix}within_{t}") for t in (1, 500, 1000)], F.count_if(scaled <= 1000).alias(f"{prefix}by_portion_within_1000")]
+
+    return m.groupBy(by, "portion_group").agg(F.count("*").alias("candidates"), *grid("new", ""), *(grid("declared", "declared_") if declared else []))
 
 
 def compare_sources(current: DataFrame, legacy: DataFrame, recent: int, key: str = "unit_key", by: str = "city") -> DataFrame:
@@ -163,7 +193,8 @@ def link_waterfall(legacy: DataFrame, current: DataFrame, linked: DataFrame, key
     ``linked`` has the ``legacy_record_id`` of linked rows; ``key`` is null for an invalid one.
     """
     on = ["city", key, "deal_date"]
-    new = current.where(F.col(key).isNotNull()).groupBy(*on).agg(F.count("*").alias("_new"), F.max("sale_portion").alias("_p"))
+    facts = [F.max(num(c)).alias(f"_n_{c}") for c in ("price_millions", "area", "rooms", "build_year")]  # of the only row, where it is one
+    new = current.where(F.col(key).isNotNull()).groupBy(*on).agg(F.count("*").alias("_new"), F.max("sale_portion").alias("_p"), *facts)
     old = legacy.where(F.col(key).isNotNull()).groupBy(*on).agg(F.count("*").alias("_old"))
     m = legacy.join(new, on, "left").join(old, on, "left").join(linked.select(F.col("legacy_record_id").alias("record_id")).distinct().withColumn("_done", F.lit(True)), "record_id", "left")
     reason = (
@@ -173,6 +204,15 @@ def link_waterfall(legacy: DataFrame, current: DataFrame, linked: DataFrame, key
     return m.withColumn("reason", reason)
 
 
+def attribute_failures(waterfall: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Of ``link_waterfall``'s rows whose attributes disagree: how many fail in each; a row may fail in several."""
+    pair = lambda c: (num(c), F.col(f"_n_{c}"))
+    (p0, p1), (a0, a1), (r0, r1), (y0, y1) = (pair(c) for c in ("price_millions", "area", "rooms", "build_year"))
+    off = lambda x, y: x.isNull() | y.isNull() | (x <= 0) | (y <= 0)
+    failed = {"price": F.abs(p0 - p1) * 1e6 > 1000.001, "area": off(a0, a1) | (F.abs(a0 - a1) > 0.5), "rooms": off(r0, r1) | (F.abs(r0 - r1) >= 0.001), "year": (y0 > 0) & (y1 > 0) & (y0 != y1)}
+    return count_flags(waterfall.where(F.col("reason") == "attributes_disagree"), failed, by)
+
+
 def compare_snapshots(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
     """Rows of each group in both snapshots and the difference."""
     a, b = old.groupBy(*by).agg(F.count("*").alias("old_rows")), new.groupBy(*by).agg(F.count("*").alias("new_rows"))
@@ -185,3 +225,34 @@ def repeat_candidates(old: DataFrame, new: DataFrame, key: list[str]) -> DataFra
     for k in key:
         new, old = new.where(F.col(k).isNotNull()), old.where(F.col(k).isNotNull())
     return new.join(old.select(*key).distinct(), key, "left_semi").join(old.select(*key, "deal_date").distinct(), [*key, "deal_date"], "left_anti")
+
+
+#: Keys of a property from strict to loose, by columns of a deal; ``parcel`` is its code without the last part.
+DEFINITIONS = {
+    "strict": ["city", "gush_code", "full_address", "area", "rooms", "floor", "apt_type", "build_year"], "unit_like": ["city", "gush_code", "area", "rooms", "floor", "apt_type", "build_year"], "address_like": ["city", "gush_code", "full_address"],
+    "parcel_street": ["city", "parcel", "street"], "parcel_address": ["city", "parcel", "full_address"], "parcel_unit_like": ["city", "parcel", "area", "rooms", "floor", "apt_type", "build_year"],
+}
+
+
+def with_parcel(df: DataFrame) -> DataFrame:
+    return df.withColumn("parcel", F.regexp_extract("gush_code", r"^([^-]+-[^-]+)-[^-]+$", 1)).withColumn("parcel", F.nullif("parcel", F.lit("")))
+
+
+def repeat_candidate_summary(old: DataFrame, new: DataFrame, definitions: dict[str, list[str]] = DEFINITIONS) -> DataFrame:
+    """``(definition, candidate_rows, cities)`` of ``repeat_candidates`` under each definition."""
+    old, new, out = with_parcel(old), with_parcel(new), None
+    for name, key in definitions.items():
+        one = repeat_candidates(old, new, key).agg(F.lit(name).alias("definition"), F.count("*").alias("candidate_rows"), F.countDistinct("city").alias("cities"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def multi_date_groups(df: DataFrame, definitions: dict[str, list[str]] = DEFINITIONS) -> DataFrame:
+    """``(definition, groups, cities, sale_days)``: properties sold on several days within one source; keys without nulls."""
+    df, out = with_parcel(df), None
+    for name, key in definitions.items():
+        known = df.dropna(subset=[*key, "deal_date"])
+        days = known.select(*key, "deal_date").distinct().groupBy(*key).agg(F.count("*").alias("days")).where("days > 1")
+        one = days.agg(F.lit(name).alias("definition"), F.count("*").alias("groups"), F.countDistinct("city").alias("cities"), F.coalesce(F.sum("days"), F.lit(0)).alias("sale_days"))
+        out = one if out is None else out.unionByName(one)
+    return out

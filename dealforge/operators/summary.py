@@ -134,14 +134,21 @@ def smart_rooms(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def coverage(df: DataFrame, by: list[str]) -> DataFrame:
-    """What is known of each group's rows."""
+    """What is known of each group's rows; of scraping, enrichment and linkage where the table tells."""
     p = num("sale_portion")
+    more = []
+    if "scraped_at" in df.columns:
+        more += [F.min("scraped_at").alias("scraped_from"), F.max("scraped_at").alias("scraped_to")]
+    if "legacy_match" in df.columns:
+        more.append(F.count_if(F.col("legacy_match") == "strict_transaction").alias("enriched_transactions"))
+    if "location_basis" in df.columns:
+        more.append(F.count_if(F.col("location_basis") == "property_reference").alias("linked_locations"))
     blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
     return df.groupBy(*by).agg(
         F.count("*").alias("rows"), F.min("deal_date").alias("first_date"), F.max("deal_date").alias("last_date"),
         F.count_if(p == 1).alias("full_sales"), F.count_if((p > 0) & (p < 1)).alias("partial_sales"), F.count_if(p.isNull() | (p <= 0) | (p > 1)).alias("unknown_share"),
         F.count_if(blank("full_address")).alias("missing_address"), F.count_if(num("floor").isNull() | (num("floor") == UNKNOWN)).alias("missing_floor"),
-        F.count_if(num("area").isNull()).alias("missing_area"), F.count_if(num("rooms").isNull()).alias("missing_rooms"), F.count_if(cadastral_key("gush_code").isNull()).alias("missing_key"),
+        F.count_if(num("area").isNull()).alias("missing_area"), F.count_if(num("rooms").isNull()).alias("missing_rooms"), F.count_if(cadastral_key("gush_code").isNull()).alias("missing_key"), *more,
     )
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import clean, filters
 from ..functions.filters import FilterSpec
-from ..operators import addresses, growth, linkage, outliers, quality, segments, summary
-from ..sources import tables
+from ..operators import addresses, flags, growth, linkage, outliers, quality, segments, summary
+from ..sources import files, tables
+from ..sources.stage import staged
 
 
 def deals_analysis(deals: DataFrame, spec: FilterSpec, kind: str = "price", sample: int = 2000, seed: int = 1, index: DataFrame | None = None, colour: str = "rooms", adjusted: bool = False) -> dict[str, DataFrame]:
@@ -42,13 +43,14 @@ def _metric_series(rows: DataFrame, keys: list[str], kind: str, stat: str) -> Da
     return summary.summarize(rows.where("deal_year is not null"), [*keys, "deal_year"], stat).select(*keys, "deal_year", "n_deals", F.col(f"{kind}_y").alias("y"))
 
 
-def area_comparison(deals: DataFrame, descriptions: DataFrame, areas: DataFrame, spec: FilterSpec, kind: str = "price", stat: str = "median") -> dict[str, DataFrame]:
-    """Series of chosen blocks beside each other, with the line of their cities."""
+def area_comparison(deals: DataFrame, descriptions: DataFrame, areas: DataFrame, spec: FilterSpec, kind: str = "price", stat: str = "median", index: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Series of chosen blocks beside each other, with the line of their cities and an index laid over them."""
     chosen = deals.join(F.broadcast(areas.select("city", "gush").distinct()), ["city", "gush"], "left_semi")
     rows = outliers.trim(filters.apply_filters(chosen, spec.rest()), "areas", kind)
     series = linkage.with_label(_metric_series(rows, ["city", "gush"], kind, stat), descriptions)
     cities = outliers.trim(filters.apply_filters(deals.join(F.broadcast(areas.select("city").distinct()), "city", "left_semi"), spec.rest()), "areas", kind)
-    return {"series": series, "packed": growth.pack_series(series, ["city", "gush", "gush_label"]), "raw": rows, "city_line": _metric_series(cities, ["city"], kind, stat)}
+    out = {"series": series, "packed": growth.pack_series(series, ["city", "gush", "gush_label"]), "raw": rows, "city_line": _metric_series(cities, ["city"], kind, stat)}
+    return out | ({"index_overlay": growth.index_overlay(_metric_series(rows, [], kind, stat), index)} if index is not None else {})
 
 
 def city_comparison(deals: DataFrame, spec: FilterSpec, kind: str = "price", stat: str = "median", min_deals: int = 0, skip_years: tuple[int, ...] = (), mode: str = "absolute") -> dict[str, DataFrame]:
@@ -59,13 +61,26 @@ def city_comparison(deals: DataFrame, spec: FilterSpec, kind: str = "price", sta
     return {"series": growth.relative_series(series, "city", mode), "ranking": ranking, "cards": growth.city_cards(ranking, len(spec.cities)), "raw": rows}
 
 
-def gush_performance(deals: DataFrame, spec: FilterSpec, snapshot_year: int, kind: str = "price", stat: str = "median", min_deals: int = 5, picks: tuple[int, int, int] = (5, 5, 5), keys: tuple[str, ...] = ("city", "gush")) -> dict[str, DataFrame]:
-    """Growth of blocks between the endpoints of the comparison period."""
+def gush_performance(deals: DataFrame, spec: FilterSpec, snapshot_year: int, kind: str = "price", stat: str = "median", min_deals: int = 5, picks: tuple[int, int, int] = (5, 5, 5), keys: tuple[str, ...] = ("city", "gush"), descriptions: DataFrame | None = None, index: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Growth of blocks between the endpoints of the comparison period.
+
+    With ``descriptions`` picks have labels and their series are packed; with ``index`` that index is
+    laid over the yearly values. Lines and overlays keep to the years compared.
+    """
     rows = outliers.trim(filters.apply_filters(deals, spec), "gushes", kind)
     series = _metric_series(rows, list(keys), kind, stat)
     period = growth.comparison_period(series, snapshot_year, spec.years or (None, None))
     ranked = growth.growth(series, period, min_deals, keys)
-    return {"series": series, "period": period, "ranking": ranked, "picks": growth.pick_performers(ranked, *picks), "yoy": growth.yoy(series, list(keys)), "raw": rows}
+    picked = growth.pick_performers(ranked, *picks)
+    years = period.select(F.col("first_year").alias("_a"), F.col("last_year").alias("_z"))
+    within = lambda df: df.join(F.broadcast(years), F.col("deal_year").between(F.col("_a"), F.col("_z"))).drop("_a", "_z")
+    inside = within(rows)
+    out = {"series": series, "period": period, "ranking": ranked, "picks": picked, "yoy": growth.yoy(series, list(keys)), "raw": rows, "city_line": _metric_series(inside, ["city"], kind, stat)}
+    if descriptions is not None:
+        out["picks"] = linkage.with_label(picked, descriptions)
+        shown = within(series).join(picked.select(*keys, "performance_group", "rank"), list(keys))
+        out["packed"] = growth.pack_series(linkage.with_label(shown, descriptions), [*keys, "gush_label", "performance_group", "rank"])
+    return out | ({"index_overlay": growth.index_overlay(_metric_series(inside, [], kind, stat), index)} if index is not None else {})
 
 
 def filter_options(deals: DataFrame, spec: FilterSpec) -> dict[str, DataFrame]:
@@ -124,7 +139,7 @@ def import_first(raw: DataFrame, existing: DataFrame | None = None, aliases: dic
     """
     new = tables.transform_raw(raw, aliases).withColumn("seq", F.coalesce(F.regexp_extract("source_key", r"([0-9]+)$", 1).try_cast("long"), F.lit(0)))
     both = new if existing is None else tables.append_existing(new, existing.withColumn("seq", F.lit(-1)))
-    deals = linkage.split_shared_gush(linkage.dedupe(both)).drop("seq")
+    deals = staged(linkage.split_shared_gush(linkage.dedupe(both)).drop("seq"))
     return {"deals": deals, "descriptions": tables.build_descriptions(deals), "streets": tables.build_streets(deals), "types": tables.build_types(deals), "coverage": summary.coverage(deals.withColumn("sale_portion", F.lit(None).cast("double")), ["city"])}
 
 
@@ -135,23 +150,58 @@ def import_second(raw: DataFrame, legacy: DataFrame, cutoff: str, types: list[st
     """
     d = linkage.strict_enrich(tables.transform_raw2(raw), legacy)
     d = filters.import_valid(d, cutoff, types)
-    d = d.withColumn("quality_flags", clean.quality_flags(missing_address="full_address", missing_floor="floor", missing_area="area", missing_rooms="rooms"))
+    d = staged(d.withColumn("quality_flags", clean.quality_flags(missing_address="full_address", missing_floor="floor", missing_area="area", missing_rooms="rooms")))
     return {"deals": d, "coverage": summary.coverage(d, ["city"]), "descriptions": tables.build_descriptions(d), "streets": tables.build_streets(d)}
 
 
+def run_import_first(spark, paths: list[str], resources: dict[str, str], out: str, existing: DataFrame | None = None, aliases: dict[str, str] | None = None) -> None:
+    """Read raw CSV files of the first source, transform them and publish deals, lookups and coverage, or nothing."""
+    _publish(import_first(tables.read_raw_csv(spark, paths, resources), existing, aliases), out)
+
+
+def run_import_second(spark, versions: list[dict], root: str, inventory: DataFrame, legacy: DataFrame, cutoff: str, types: list[str], out: str) -> None:
+    """Check the files of the second source's latest version, transform, enrich and publish them, or nothing.
+
+    Files that are missing, differ from the inventory or name several settlements refuse the import.
+    """
+    latest = max(versions, key=lambda v: v["version_number"])
+    wrong = [r for name in latest["files"] for r in tables.check_files(spark, f"{root}/{name}", inventory.where(F.col("folder") == name).drop("folder")).take(5)]
+    if wrong:
+        raise files.Refused("; ".join(f"{r['file']}: {r['problem']}" for r in wrong))
+    raw = tables.read_snapshot(spark, versions, root)
+    if mixed := tables.one_settlement_per_file(raw).take(5):
+        raise files.Refused("; ".join(f"{r['source_file']}: {r['settlements']} settlements" for r in mixed))
+    _publish(import_second(raw, legacy, cutoff, types), out)
+
+
+def _publish(made: dict[str, DataFrame], out: str) -> None:
+    rest = {n: d for n, d in made.items() if n not in ("deals", "coverage")}
+    tables.publish(made["deals"], made["coverage"], out, **rest)
+
+
 def link_locations(current: DataFrame, legacy: DataFrame, key: str = "unit_key") -> dict[str, DataFrame]:
     linked = linkage.link_by_property(current, legacy, key)
     basis = linked.groupBy("city", "location_basis").agg(F.count("*").alias("rows"))
     return {"deals": linked, "basis": basis, "coverage": summary.coverage(linked, ["city"]), "descriptions": tables.build_descriptions(linked)}
 
 
-def snapshot_quality(current: DataFrame, legacy: DataFrame, key: str, recent: int) -> dict[str, DataFrame]:
+def snapshot_quality(current: DataFrame, legacy: DataFrame, key: str, recent: int, cutoff: str = "2026-09-19") -> dict[str, DataFrame]:
+    """Profile of a snapshot, what it has beside an older source, and how far the two can be linked."""
     numbers = ["gush", "area", "rooms", "floor", "build_year", "sale_portion"]
-    return {
+    out = {
         "profile": quality.profile(current, ["city", "street", "roof", *numbers], numbers), "anomalies": quality.anomalies(current), "counts": quality.value_counts(current, [["city"], ["deal_year"], ["city", "deal_year"], ["apt_type"]]),
         "duplicates": quality.duplicate_counts(current, ["city", "gush_code", "deal_date", "price_millions"]), "prices": quality.reconcile_prices(current, legacy, key), "sources": quality.compare_sources(current, legacy, recent, key),
-        "snapshots": quality.compare_snapshots(legacy, current, ["city", "deal_year"]),
+        "snapshots": quality.compare_snapshots(legacy, current, ["city", "deal_year"]), "measures": flags.compare_flags(legacy, current, flags.deal_flags(COVERED, cutoff)),
+        "contents": quality.compare_sets(current, legacy, ["city", "gush_code", "deal_date", "price_millions", "area"]), "candidates": quality.repeat_candidate_summary(legacy, current), "repeats": quality.multi_date_groups(current),
     }
+    form = lambda df: quality.canonical(df, ["price_millions", "area"], ["deal_date"], ["gush_code", "city", "street"])
+    extras = quality.append_report(form(legacy), form(current), "city", "street", ["price_millions", "area", "deal_date", "gush_code", "street"], ["gush_code", "deal_date"])
+    linked = linkage.strict_enrich(current, legacy).where("legacy_record_id is not null")
+    waterfall = quality.link_waterfall(legacy, current, linked, key)
+    return out | {f"append_{n}": d for n, d in extras.items()} | {"waterfall": waterfall.groupBy("reason").agg(F.count("*").alias("n")), "failures": quality.attribute_failures(waterfall)}
+
+
+COVERED = ["city", "street", "gush", "gush_code", "full_address", "deal_date", "deal_year", "price_millions", "area", "rooms", "floor", "roof", "apt_type", "build_year", "building_age", "build_floors"]
 
 
 def repeat_sales(rows: DataFrame, conditions: dict, key: str = "unit_key") -> dict[str, DataFrame]:
@@ -159,6 +209,12 @@ def repeat_sales(rows: DataFrame, conditions: dict, key: str = "unit_key") -> di
     return {"scopes": quality.repeat_sale_scopes(rows, conditions, key), "list": quality.repeat_sale_list(whole, key), "stable": quality.stable_profiles(whole, key), "consistent": quality.repeat_sales(quality.consistent_units(whole, key), key)}
 
 
-def address_job(legacy: DataFrame, current: DataFrame, query: str, key: str = "unit_key", **how) -> dict[str, DataFrame]:
+def address_job(legacy: DataFrame, current: DataFrame, query: str, key: str = "unit_key", places: tuple[DataFrame, DataFrame] | None = None, city: str | None = None, chosen: tuple[float, ...] = (), **how) -> dict[str, DataFrame]:
+    """Lookup of an address, histories and pairs; with ``places`` (descriptions, polygons) and a city the map of its blocks."""
     history = linkage.deal_history(current, legacy, key)
-    return {"lookup": addresses.lookup_address(legacy, current, query, key, **how), "history": history, "by_date": linkage.by_date(history, key), "pairs": linkage.pair_parallel(current, legacy, key)}
+    shown = {}
+    if places is not None and city is not None:
+        counts = current.where(F.col("city") == city).groupBy("gush").agg(F.count("*").alias("deals"))
+        shown["map"] = linkage.attach_polygons(places[0], places[1], city, list(chosen), counts)
+    how = how | ({"city": city} if city else {})
+    return shown | {"lookup": addresses.lookup_address(legacy, current, query, key, **how), "history": history, "by_date": linkage.by_date(history, key), "pairs": linkage.pair_parallel(current, legacy, key)}

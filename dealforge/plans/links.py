@@ -22,7 +22,7 @@ def old_units(spark, sf_dir):
     return legacy_deals(spark, sf_dir).where(~F.col("gush_code").endswith("-0")).withColumn("unit_key", key)
 
 
-@register("A01_read_deals", "select l_orderkey, l_linenumber, l_quantity from lineitem where l_returnflag = 'R'")
+@register("A03_lookup_rows", "select l_orderkey, l_linenumber, l_quantity from lineitem where l_returnflag = 'R'")
 def a1(spark, sf_dir):
     return tables.read_lookup(spark, f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_quantity")
 
@@ -66,15 +66,6 @@ def a7(spark, sf_dir):
     return tables.read_raw_csv(spark, [path], dict.fromkeys(names, "one")).drop("source_file")
 
 
-@register("A08_snapshot", f"{WITH} select record_id, city, 2 as source_version from deals where deal_year >= 1995")
-def a8(spark, sf_dir):
-    root, d = scratch(spark), deals(spark, sf_dir)
-    raw_csv(d.where("deal_year < 1995"), f"{root}/v1")
-    raw_csv(d.where("deal_year >= 1995"), f"{root}/v2")
-    got = tables.read_snapshot(spark, [{"version_number": 2, "files": ["v2"]}, {"version_number": 1, "files": ["v1"]}], root)
-    return got.select("record_id", "city", "source_version")
-
-
 @register("A09_check_files", f"{WITH} select v.problem, case when v.problem = 'missing' then 0 else count(*) end as more from deals, (values ('missing'), ('rows')) v(problem) group by 1 union all select 'checksum', 0")
 def a9(spark, sf_dir):
     """An inventory with a file that is gone, one of another checksum, and one of as many rows too many as there are deals."""
@@ -118,12 +109,6 @@ def a6(spark, sf_dir):
     return bench_index(spark, sf_dir).select(clean.num("year").cast("int").alias("year"), clean.num("index_value").alias("index_value")).dropna()
 
 
-@register("A11_roundtrip", f"{WITH} select city, count(*) as before_rows, count(*) as after_rows, 0 as lost, 0 as extra, true as same from deals group by city")
-def a11(spark, sf_dir):
-    d = deals(spark, sf_dir)
-    return tables.check_roundtrip(d, d.repartition(3, "gush")).select("city", "before_rows", "after_rows", "lost", "extra", "same")
-
-
 DESCR = ", ds as (select city, gush, street, count(*) as n from deals group by all), dr as (select *, row_number() over (partition by city, gush order by n desc, street) as r, count(*) over (partition by city, gush) - 1 as k from ds), descr as (select city, gush, street, n, city || ' ' || cast(cast(gush as int) as varchar) || ' (' || street || case when k > 0 then ' and ' || cast(k as varchar) || ' other streets' else '' end || ')' as gush_desc from dr where r = 1)"
 
 
@@ -146,11 +131,6 @@ def a13_types(spark, sf_dir):
     return tables.build_types(deals(spark, sf_dir))
 
 
-@register("A14_export", f"{WITH} select record_id as \"Record\", city as \"City\", price_millions as \"Price (millions)\", rooms as \"Rooms\", sale_portion from deals")
-def a14(spark, sf_dir):
-    return tables.export_columns(deals(spark, sf_dir).select("sale_portion", "rooms", "record_id", "price_millions", "city"))
-
-
 @register("A16_append_existing", f"{WITH} select record_id, source_key, sale_portion from deals union all select record_id, null, null from legacy")
 def a16(spark, sf_dir):
     return tables.append_existing(deals(spark, sf_dir), legacy_deals(spark, sf_dir)).select("record_id", "source_key", "sale_portion")
@@ -319,7 +299,7 @@ def e18(spark, sf_dir):
 @register("E19_append_extras", f"{WITH}, s as (select price_millions, area, strftime(deal_date, '%Y-%m-%d') as deal_date, gush_code, city from legacy), a as (select price_millions, area, strftime(deal_date, '%Y-%m-%d') as deal_date, gush_code, city from deals), x as (select a.* from a where not exists (select 1 from s where s.price_millions is not distinct from a.price_millions and s.area is not distinct from a.area and s.deal_date = a.deal_date and s.gush_code = a.gush_code and s.city = a.city)), l as (select distinct price_millions, area, deal_date, gush_code, 1 as l from s), w as (select distinct gush_code, deal_date, 1 as w from s) select x.*, case when l.l = 1 then 'same_but_place' when w.w = 1 then 'same_property_day' else 'none' end as nearness from x left join l using (price_millions, area, deal_date, gush_code) left join w using (gush_code, deal_date)")
 def e19(spark, sf_dir):
     form = lambda df: quality.canonical(df, ["price_millions", "area"], ["deal_date"], ["gush_code", "city"])
-    return quality.append_extras(form(legacy_deals(spark, sf_dir)), form(deals(spark, sf_dir)), ["price_millions", "area", "deal_date", "gush_code"], ["gush_code", "deal_date"])
+    return quality.append_extras(form(legacy_deals(spark, sf_dir)), form(deals(spark, sf_dir)), ["price_millions", "area", "deal_date", "gush_code"], ["gush_code", "deal_date"]).drop("property_day")
 
 
 def _repeat_sql(source: str, extra: str = "") -> str:

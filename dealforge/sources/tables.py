@@ -6,22 +6,25 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import clean
 from ..functions.schema import DEALS
+from . import files
 
 
 def read_deals(spark: SparkSession, path: str, cities: list[str] | None = None) -> DataFrame:
     """Deals partitioned by city; only the asked cities are opened.
 
-    ``record_id`` is the row's source id, or ``legacy:<city>:<hash>`` of what the row says.
+    ``record_id`` is the row's source id, or ``legacy:<city>:<row>`` by its place among the city's rows.
     """
     df = spark.read.parquet(path)
     if cities:
         df = df.where(F.col("city").isin(sorted(set(cities))))
+    own = F.col("source_id") if "source_id" in df.columns else F.lit(None).cast("string")
+    if "record_id" not in df.columns:
+        df = files.with_row_numbers(df, "city")
+        df = df.withColumn("record_id", F.coalesce(own, F.concat_ws(":", F.lit("legacy"), "city", F.col("_row").cast("string")))).drop("_row")
     for f in DEALS:
         if f.name not in df.columns:
             df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
-    said = F.concat(F.lit("legacy:"), F.col("city"), F.lit(":"), F.hex(F.xxhash64(*[f.name for f in DEALS])))
-    own = F.col("source_id") if "source_id" in df.columns else F.lit(None).cast("string")
-    return df if "record_id" in df.columns else df.withColumn("record_id", F.coalesce(own, said))
+    return df
 
 
 def read_lookup(spark: SparkSession, path: str) -> DataFrame:
@@ -60,25 +63,15 @@ def read_raw_csv(spark: SparkSession, paths: list[str], resources: dict[str, str
 
 
 def read_snapshot(spark: SparkSession, versions: list[dict], root: str) -> DataFrame:
-    """The rows of the highest version's files, with version, file and line.
-
-    Lines are numbered by the order of a file's bytes: a file's rows are sorted within the file.
-    """
+    """The rows of the highest version's files, with version, file and line; the header is line 1."""
     latest = max(versions, key=lambda v: v["version_number"])
-    df = read_raw_csv(spark, [f"{root}/{name}" for name in latest["files"]])
-    df = df.withColumns({"_at": F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()), "source_version": F.lit(latest["version_number"])})
-    line = F.row_number().over(W.partitionBy("source_file").orderBy("_at")) + 1
-    df = df.withColumn("source_row", line).drop("_at")
-    return df.withColumn("source_id", F.concat_ws(":", "source_file", F.col("source_row").cast("string")))
-
-
-def check_files(spark: SparkSession, root: str, inventory: DataFrame) -> DataFrame:
-    """The files of an inventory ``(file, sha256, rows)`` that are missing or differ, and how."""
-    raw = spark.read.format("binaryFile").load(root)
-    name = F.element_at(F.split("path", "/"), -1)
-    got = raw.select(name.alias("file"), F.sha2("content", 256).alias("got_sha256"))
-    lines = spark.read.option("header", True).csv(root).select(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1).alias("file")).groupBy("file").agg(F.count("*").alias("got_rows"))
-    met = inventory.join(got, "file", "left").join(lines, "file", "left")
+    df = files.with_line_numbers(read_raw_csv(spark, [f"{root}/{name}" for name in latest["files"]]))
+    return df.withColumns({"source_version": F.lit(latest["version_number"]), "source_id": F.concat_ws(":", "source_file", F.col("source_row").cast("string"))})
+
+
+def check_files(spark: SparkSession, root: str, inventory: DataFrame, whole: int = files.WHOLE) -> DataFrame:
+    """The files of an inventory ``(file, sha256, rows)`` that are missing or differ, and how; ``whole`` as in ``files.digests``."""
+    met = inventory.join(files.digests(spark, root, whole), "file", "left")
     wrong = F.when(F.col("got_sha256").isNull(), "missing").when(F.col("got_sha256") != F.col("sha256"), "checksum").when(F.coalesce("got_rows", F.lit(0)) != F.col("rows"), "rows")
     return met.withColumn("problem", wrong).where("problem is not null")
 
@@ -104,10 +97,9 @@ def check_roundtrip(before: DataFrame, after: DataFrame, by: str = "city") -> Da
     return out.withColumn("same", same & (F.col("lost") == 0) & (F.col("extra") == 0))
 
 
-def publish(df: DataFrame, coverage: DataFrame, path: str) -> None:
-    """Deals first, the coverage that makes them visible last; an existing output is refused."""
-    write_deals(df, f"{path}/cities")
-    coverage.write.mode("errorifexists").parquet(f"{path}/coverage")
+def publish(df: DataFrame, coverage: DataFrame, path: str, **more: DataFrame) -> None:
+    """Deals and further tables first, the coverage that makes them visible last; all or nothing."""
+    files.publish_all({"cities": df, **more, "coverage": coverage}, path, "coverage", {"cities": "city"})
 
 
 def build_descriptions(df: DataFrame, pick: str = "most_deals") -> DataFrame:

