@@ -23,8 +23,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_batches, texts
+from .common import give_back, map_batches, texts
 
+#: Texts that a worker turns into ids and back at once.
+ROWS = 200
 #: Pieces that a worker remembers, and their characters, before it starts anew.
 MEMO, MEMO_CHARS = 100_000, 2_000_000
 #: The split pattern with Unicode's White_Space spelled out.
@@ -65,6 +67,8 @@ class Coder:
         for token, i in spec["model"]["vocab"].items():
             self.table[i] = token.encode() if token in special else bytes(back[c] for c in token)
         self.lengths = np.array([len(t or b"") for t in self.table], dtype=np.int64)
+        del spec
+        give_back()
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Packed ids of each text."""
@@ -125,7 +129,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", vocabula
             out[decoded_col] = pa.array([coder(path).decode(p) for p in packed], pa.binary())
         return out
 
-    return map_batches(df, make, new, keep)
+    return map_batches(df, make, new, keep, ROWS)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabulary: str | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -135,7 +139,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabu
     def make(b):
         return {out_col: pa.array([coder(path).decode(p or b"") for p in b.column(ids_col).to_pylist()], pa.binary())}
 
-    return map_batches(df, make, [(out_col, "binary")], keep)
+    return map_batches(df, make, [(out_col, "binary")], keep, ROWS)
 
 
 def offsets(df: DataFrame, ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:

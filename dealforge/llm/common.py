@@ -112,18 +112,18 @@ def pieces(batches, rows: int = 2_000):
             yield b.slice(i, rows)
 
 
-def map_batches(df: DataFrame, make, new: list[tuple[str, str]], keep: list[str] | None = None) -> DataFrame:
+def map_batches(df: DataFrame, make, new: list[tuple[str, str]], keep: list[str] | None = None, rows: int = 2_000) -> DataFrame:
     """Add the columns that ``make(batch) -> dict`` computes from each Arrow batch.
 
     ``keep`` names the input columns to carry on (default: all). A new column replaces an old
-    one of the same name, whatever its case.
+    one of the same name, whatever its case. ``make`` gets at most ``rows`` rows at once.
     """
     fresh = {n.lower() for n, _ in new}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in fresh]
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [f"`{n}` {t}" for n, t in new])
 
     def run(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, rows):
             got = make(b)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [got[n] for n, _ in new], names=kept + [n for n, _ in new])
             del b, got
