@@ -16,9 +16,9 @@ def _c(c: Col) -> Column:
 
 
 def num(c: Col) -> Column:
-    """A double; what is no finite number is null."""
+    """A double; what is no finite number is null. NaN is beyond infinity in order."""
     d = _c(c).try_cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
+    return F.when(F.abs(d) < float("inf"), d)
 
 
 def parse_number(c: Col) -> Column:
