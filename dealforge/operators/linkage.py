@@ -15,11 +15,10 @@ PRICE_M, AREA, ROOMS, PRICE_ILS = 0.001000001, 0.5, 0.001, 1000.0
 
 
 def unique_by(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys are complete and occur once."""
-    once = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n = 1").drop("_n")
-    for k in keys:
-        once = once.where(F.col(k).isNotNull())
-    return df.join(once, keys, "left_semi")
+    """The rows whose keys are complete and occur once; one grouping, so ``df`` is computed once. Select before what is needed."""
+    rest = [c for c in df.columns if c not in keys]
+    known = df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_row"))
+    return known.where("_n = 1").select(*keys, "_row.*")
 
 
 def _agree(a: str, b: str, within: float, strict: bool = False) -> Column:
@@ -36,9 +35,10 @@ def strict_enrich(current: DataFrame, legacy: DataFrame) -> DataFrame:
     """
     keys = ["city", "_key", "deal_date"]
     cur, old = current.withColumn("_key", cadastral_key("gush_code")), legacy.withColumn("_key", cadastral_key("gush_code"))
-    a = unique_by(cur, keys).where(num("sale_portion") == 1).select(*keys, "record_id", *[F.col(c).alias(f"n_{c}") for c in ("price_millions", "area", "rooms", "build_year")])
+    facts = ["price_millions", "area", "rooms", "build_year"]
+    a = unique_by(cur.select(*keys, "record_id", "sale_portion", *facts), keys).where(num("sale_portion") == 1).select(*keys, "record_id", *[F.col(c).alias(f"n_{c}") for c in facts])
     got = ["price_millions", "area", "rooms", "build_year", "street", "full_address", "floor", "build_floors", "record_id"]
-    b = unique_by(old, keys).select(*keys, *[F.col(c).alias(f"o_{c}") for c in got])
+    b = unique_by(old.select(*keys, *got), keys).select(*keys, *[F.col(c).alias(f"o_{c}") for c in got])
     years = F.coalesce((num("n_build_year") > 0) & (num("o_build_year") > 0) & (num("n_build_year") != num("o_build_year")), F.lit(False))
     same = F.coalesce(F.abs(num("n_price_millions") - num("o_price_millions")) <= PRICE_M, F.lit(False))
     good = a.join(b, keys).where(same & _agree("n_area", "o_area", AREA) & _agree("n_rooms", "o_rooms", ROOMS, True) & ~years)

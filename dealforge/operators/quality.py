@@ -161,8 +161,8 @@ def reconcile_prices(current: DataFrame, legacy: DataFrame, key: str = "unit_key
     """Per place and share class: one-to-one matches whose amounts, and declared ones if there are, agree within steps."""
     on = [by, key, "deal_date"]
     declared = "declared_amount" in current.columns
-    a = unique_by(legacy, on).select(*on, (num("price_millions") * 1e6).alias("old"))
-    b = unique_by(current, on).select(*on, (num("price_millions") * 1e6).alias("new"), num("sale_portion").alias("p"), (num("declared_amount") if declared else F.lit(None).cast("double")).alias("declared"))
+    a = unique_by(legacy.select(*on, (num("price_millions") * 1e6).alias("old")), on)
+    b = unique_by(current.select(*on, (num("price_millions") * 1e6).alias("new"), num("sale_portion").alias("p"), (num("declared_amount") if declared else F.lit(None).cast("double")).alias("declared")), on)
     m = a.join(b, on).withColumn("portion_group", F.when(F.col("p") == 1, "whole").when((F.col("p") > 0) & (F.col("p") < 1), "partial").when(F.col("p") == 0, "zero")).where("portion_group is not null")
 
     def grid(c: str, prefix: str) -> list[Column]:
