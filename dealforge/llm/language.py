@@ -64,8 +64,8 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
     return langs, np.log(table / table.sum(axis=1, keepdims=True))
 
 
-def text_evidence(df: DataFrame, model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``text_logs``: for each language the tempered log likelihood of the text."""
+def text_evidence(df: DataFrame, model, text_col: str = "text", keep: list[str] | None = None, out_col: str = "text_logs") -> DataFrame:
+    """Add ``out_col``: for each language the tempered log likelihood of the text."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make(b):
@@ -77,9 +77,9 @@ def text_evidence(df: DataFrame, model, text_col: str = "text", keep: list[str]
             total = n[at].sum()
             logs = table[:, at] @ n[at] * (min(1.0, EFFECTIVE / total) if total else 0.0)
             rows.append((logs - logs.max()).tolist())
-        return {"text_logs": pa.array(rows, pa.list_(pa.float64()))}
+        return {out_col: pa.array(rows, pa.list_(pa.float64()))}
 
-    return map_batches(df, make, [("text_logs", "array<double>")], keep)
+    return map_batches(df, make, [(out_col, "array<double>")], keep)
 
 
 def visible_text(html: Column) -> Column:
@@ -114,12 +114,13 @@ def identify(df: DataFrame, model, text_col: str = "text", keep: list[str] | Non
     if not langs:
         none = F.lit(None).cast("string")
         return df.select(*[c for c in names if c in df.columns], none.alias("text_lang"), none.alias("lang_id"), F.lit(None).cast("double").alias("confidence"))
-    scored = text_evidence(df, model, text_col, [c for c in names if c.lower() not in ("text_lang", "lang_id", "confidence")])
+    logs, says = fresh(df, "_text_logs", "_says")
+    scored = text_evidence(df, model, text_col, [c for c in names if c.lower() not in ("text_lang", "lang_id", "confidence")], logs)
     # what the text alone says, as a probability of each language
-    ps = [F.exp(F.element_at("text_logs", i + 1)) for i in range(len(langs))]
+    ps = [F.exp(F.element_at(logs, i + 1)) for i in range(len(langs))]
     total = sum(ps[1:], ps[0])
-    scored = saved(scored.withColumn("says", F.array(*[p / total for p in ps])), "language-text")
-    say = lambda i: F.element_at("says", i + 1)
+    scored = saved(scored.withColumn(says, F.array(*[p / total for p in ps])), "language-text")
+    say = lambda i: F.element_at(says, i + 1)
     # one row of as many sums as there are languages
     overall = scored.agg(*[(F.coalesce(F.sum(say(i)), F.lit(0.0)) + 1).alias(f"g{i}") for i in range(len(langs))]).first()
     host_of, suffix_of = fresh(scored, "_host", "_suffix")

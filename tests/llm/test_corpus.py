@@ -490,6 +490,16 @@ def counts_of(t):
     return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t or ""), dup, len(hit)
 
 
+def test_language_keeps_columns_of_any_name(spark, docs, none):
+    model = language.train(docs)
+    nothing = F.lit(None).cast("string")
+    rows = docs.select("doc_id", "text", nothing.alias("host"), nothing.alias("suffix"), nothing.alias("declared"), F.lit("mine").alias("says"), F.lit(7).alias("text_logs"), F.lit("x").alias("_says"))
+    got = language.identify(rows, model).collect()
+    assert len(got) == len(ROWS) and {(r["says"], r["text_logs"], r["_says"]) for r in got} == {("mine", 7, "x")}
+    empty = none.select("doc_id", "text", nothing.alias("host"), nothing.alias("suffix"), nothing.alias("declared"))
+    assert language.identify(empty, model).count() == 0
+
+
 def test_quality(docs, none):
     got = {r["doc_id"]: r for r in quality.assess(docs.select("*", *[F.lit(1).alias(c) for c in ("KEPT", "low", "HIGH", "_lang", "_band")])).collect()}
     for i, t, *_ in ROWS:
