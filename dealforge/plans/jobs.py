@@ -5,7 +5,9 @@ They are lazy, but for the quartiles of a global trimming and for the mix-adjust
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import replace
+from functools import cache
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -16,25 +18,45 @@ from ..sources import files, tables
 from ..sources.stage import staged
 
 
-def deals_analysis(deals: DataFrame, spec: FilterSpec, kind: str = "price", sample: int = 2000, seed: int = 1, index: DataFrame | None = None, colour: str = "rooms", adjusted: bool = False) -> dict[str, DataFrame]:
+class Outputs(Mapping):
+    """Named tables, each planned, with the jobs that its plan may need, when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
+def deals_analysis(deals: DataFrame, spec: FilterSpec, kind: str = "price", sample: int = 2000, seed: int = 1, index: DataFrame | None = None, colour: str = "rooms", adjusted: bool = False) -> Outputs:
     """Population, yearly profile, distribution, segments, index, sample and overlays of a selection.
 
     The statistics cover the whole selection; the sample is drawn last.
     """
     place = deals.where(spec.location().column())
-    rows = outliers.trim(filters.apply_filters(place, spec.rest()), "deals", kind)
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("record_id")))
-    yearly = summary.yearly_values(rows, kind)
-    line = outliers.trim_by_year(filters.apply_filters(deals.where(FilterSpec(cities=spec.cities).column()), spec.rest()))
+    rows = cache(lambda: outliers.trim(filters.apply_filters(place, spec.rest()), "deals", kind))
+    yearly = cache(lambda: summary.yearly_values(rows(), kind))
+    line = lambda: outliers.trim_by_year(filters.apply_filters(deals.where(FilterSpec(cities=spec.cities).column()), spec.rest()))
     out = {
-        "funnel": summary.funnel(deals, {"place": spec.location().column(), "filters": replace(spec.rest(), share=spec.share or "full").column()}),
-        "summary": summary.selection_summary(rows, kind), "population": summary.population(rows, kind), "annual": summary.annual_profile(rows, kind), "distribution": summary.histogram(rows, clean.price_metric(kind)),
-        "segments": segments.segment_premium(rows), "yearly": yearly, "city_line": summary.summarize(line, ["city", "deal_year"]),
-        "rows": segments.discretize(rows.where(clean.price_metric(kind).isNotNull()), colour).orderBy(order, "record_id").limit(sample),
+        "funnel": lambda: summary.funnel(deals, {"place": spec.location().column(), "filters": replace(spec.rest(), share=spec.share or "full").column()}),
+        "summary": lambda: summary.selection_summary(rows(), kind), "population": lambda: summary.population(rows(), kind), "annual": lambda: summary.annual_profile(rows(), kind),
+        "distribution": lambda: summary.histogram(rows(), clean.price_metric(kind)), "segments": lambda: segments.segment_premium(rows()), "yearly": yearly, "city_line": lambda: summary.summarize(line(), ["city", "deal_year"]),
+        "rows": lambda: segments.discretize(rows().where(clean.price_metric(kind).isNotNull()), colour).orderBy(order, "record_id").limit(sample),
     }
     if adjusted:
-        out["index"] = segments.hedonic_index(rows)
-    return out | ({"index_overlay": growth.index_overlay(yearly, index)} if index is not None else {})
+        out["index"] = lambda: segments.hedonic_index(rows())
+    if index is not None:
+        out["index_overlay"] = lambda: growth.index_overlay(yearly(), index)
+    return Outputs(out)
 
 
 def _metric_series(rows: DataFrame, keys: list[str], kind: str, stat: str) -> DataFrame:
@@ -43,44 +65,52 @@ def _metric_series(rows: DataFrame, keys: list[str], kind: str, stat: str) -> Da
     return summary.summarize(rows.where("deal_year is not null"), [*keys, "deal_year"], stat).select(*keys, "deal_year", "n_deals", F.col(f"{kind}_y").alias("y"))
 
 
-def area_comparison(deals: DataFrame, descriptions: DataFrame, areas: DataFrame, spec: FilterSpec, kind: str = "price", stat: str = "median", index: DataFrame | None = None) -> dict[str, DataFrame]:
+def area_comparison(deals: DataFrame, descriptions: DataFrame, areas: DataFrame, spec: FilterSpec, kind: str = "price", stat: str = "median", index: DataFrame | None = None) -> Outputs:
     """Series of chosen blocks beside each other, with the line of their cities and an index laid over them."""
     chosen = deals.join(F.broadcast(areas.select("city", "gush").distinct()), ["city", "gush"], "left_semi")
-    rows = outliers.trim(filters.apply_filters(chosen, spec.rest()), "areas", kind)
-    series = linkage.with_label(_metric_series(rows, ["city", "gush"], kind, stat), descriptions)
-    cities = outliers.trim(filters.apply_filters(deals.join(F.broadcast(areas.select("city").distinct()), "city", "left_semi"), spec.rest()), "areas", kind)
-    out = {"series": series, "packed": growth.pack_series(series, ["city", "gush", "gush_label"]), "raw": rows, "city_line": _metric_series(cities, ["city"], kind, stat)}
-    return out | ({"index_overlay": growth.index_overlay(_metric_series(rows, [], kind, stat), index)} if index is not None else {})
+    rows = cache(lambda: outliers.trim(filters.apply_filters(chosen, spec.rest()), "areas", kind))
+    series = cache(lambda: linkage.with_label(_metric_series(rows(), ["city", "gush"], kind, stat), descriptions))
+    cities = lambda: outliers.trim(filters.apply_filters(deals.join(F.broadcast(areas.select("city").distinct()), "city", "left_semi"), spec.rest()), "areas", kind)
+    out = {"series": series, "packed": lambda: growth.pack_series(series(), ["city", "gush", "gush_label"]), "raw": rows, "city_line": lambda: _metric_series(cities(), ["city"], kind, stat)}
+    if index is not None:
+        out["index_overlay"] = lambda: growth.index_overlay(_metric_series(rows(), [], kind, stat), index)
+    return Outputs(out)
 
 
-def city_comparison(deals: DataFrame, spec: FilterSpec, kind: str = "price", stat: str = "median", min_deals: int = 0, skip_years: tuple[int, ...] = (), mode: str = "absolute") -> dict[str, DataFrame]:
+def city_comparison(deals: DataFrame, spec: FilterSpec, kind: str = "price", stat: str = "median", min_deals: int = 0, skip_years: tuple[int, ...] = (), mode: str = "absolute") -> Outputs:
     """Series of cities, their ranking between two shared years and its cards."""
-    rows = outliers.trim(filters.apply_filters(filters.exclude_years(deals, list(skip_years)), spec), "cities", kind)
-    series = _metric_series(rows, ["city"], kind, stat)
-    ranking = growth.rank_cities(series, min_deals)
-    return {"series": growth.relative_series(series, "city", mode), "ranking": ranking, "cards": growth.city_cards(ranking, len(spec.cities)), "raw": rows}
+    rows = cache(lambda: outliers.trim(filters.apply_filters(filters.exclude_years(deals, list(skip_years)), spec), "cities", kind))
+    series = cache(lambda: _metric_series(rows(), ["city"], kind, stat))
+    ranking = cache(lambda: growth.rank_cities(series(), min_deals))
+    return Outputs({"series": lambda: growth.relative_series(series(), "city", mode), "ranking": ranking, "cards": lambda: growth.city_cards(ranking(), len(spec.cities)), "raw": rows})
 
 
-def gush_performance(deals: DataFrame, spec: FilterSpec, snapshot_year: int, kind: str = "price", stat: str = "median", min_deals: int = 5, picks: tuple[int, int, int] = (5, 5, 5), keys: tuple[str, ...] = ("city", "gush"), descriptions: DataFrame | None = None, index: DataFrame | None = None) -> dict[str, DataFrame]:
+def gush_performance(deals: DataFrame, spec: FilterSpec, snapshot_year: int, kind: str = "price", stat: str = "median", min_deals: int = 5, picks: tuple[int, int, int] = (5, 5, 5), keys: tuple[str, ...] = ("city", "gush"), descriptions: DataFrame | None = None, index: DataFrame | None = None) -> Outputs:
     """Growth of blocks between the endpoints of the comparison period.
 
     With ``descriptions`` picks have labels and their series are packed; with ``index`` that index is
     laid over the yearly values. Lines and overlays keep to the years compared.
     """
-    rows = outliers.trim(filters.apply_filters(deals, spec), "gushes", kind)
-    series = _metric_series(rows, list(keys), kind, stat)
-    period = growth.comparison_period(series, snapshot_year, spec.years or (None, None))
-    ranked = growth.growth(series, period, min_deals, keys)
-    picked = growth.pick_performers(ranked, *picks)
-    years = period.select(F.col("first_year").alias("_a"), F.col("last_year").alias("_z"))
-    within = lambda df: df.join(F.broadcast(years), F.col("deal_year").between(F.col("_a"), F.col("_z"))).drop("_a", "_z")
-    inside = within(rows)
-    out = {"series": series, "period": period, "ranking": ranked, "picks": picked, "yoy": growth.yoy(series, list(keys)), "raw": rows, "city_line": _metric_series(inside, ["city"], kind, stat)}
+    rows = cache(lambda: outliers.trim(filters.apply_filters(deals, spec), "gushes", kind))
+    series = cache(lambda: _metric_series(rows(), list(keys), kind, stat))
+    period = cache(lambda: growth.comparison_period(series(), snapshot_year, spec.years or (None, None)))
+    ranked = cache(lambda: growth.growth(series(), period(), min_deals, keys))
+    picked = cache(lambda: growth.pick_performers(ranked(), *picks))
+
+    def within(df: DataFrame) -> DataFrame:
+        years = period().select(F.col("first_year").alias("_a"), F.col("last_year").alias("_z"))
+        return df.join(F.broadcast(years), F.col("deal_year").between(F.col("_a"), F.col("_z"))).drop("_a", "_z")
+
+    def packed() -> DataFrame:
+        shown = within(series()).join(picked().select(*keys, "performance_group", "rank"), list(keys))
+        return growth.pack_series(linkage.with_label(shown, descriptions), [*keys, "gush_label", "performance_group", "rank"])
+
+    out = {"series": series, "period": period, "ranking": ranked, "picks": picked, "yoy": lambda: growth.yoy(series(), list(keys)), "raw": rows, "city_line": lambda: _metric_series(within(rows()), ["city"], kind, stat)}
     if descriptions is not None:
-        out["picks"] = linkage.with_label(picked, descriptions)
-        shown = within(series).join(picked.select(*keys, "performance_group", "rank"), list(keys))
-        out["packed"] = growth.pack_series(linkage.with_label(shown, descriptions), [*keys, "gush_label", "performance_group", "rank"])
-    return out | ({"index_overlay": growth.index_overlay(_metric_series(inside, [], kind, stat), index)} if index is not None else {})
+        out |= {"picks": lambda: linkage.with_label(picked(), descriptions), "packed": packed}
+    if index is not None:
+        out["index_overlay"] = lambda: growth.index_overlay(_metric_series(within(rows()), [], kind, stat), index)
+    return Outputs(out)
 
 
 def filter_options(deals: DataFrame, spec: FilterSpec) -> dict[str, DataFrame]:
@@ -185,20 +215,22 @@ def link_locations(current: DataFrame, legacy: DataFrame, key: str = "unit_key")
     return {"deals": linked, "basis": basis, "coverage": summary.coverage(linked, ["city"]), "descriptions": tables.build_descriptions(linked)}
 
 
-def snapshot_quality(current: DataFrame, legacy: DataFrame, key: str, recent: int, cutoff: str = "2026-09-19") -> dict[str, DataFrame]:
+def snapshot_quality(current: DataFrame, legacy: DataFrame, key: str, recent: int, cutoff: str = "2026-09-19") -> Outputs:
     """Profile of a snapshot, what it has beside an older source, and how far the two can be linked."""
     numbers = ["gush", "area", "rooms", "floor", "build_year", "sale_portion"]
-    out = {
-        "profile": quality.profile(current, ["city", "street", "roof", *numbers], numbers), "anomalies": quality.anomalies(current), "counts": quality.value_counts(current, [["city"], ["deal_year"], ["city", "deal_year"], ["apt_type"]]),
-        "duplicates": quality.duplicate_counts(current, ["city", "gush_code", "deal_date", "price_millions"]), "prices": quality.reconcile_prices(current, legacy, key), "sources": quality.compare_sources(current, legacy, recent, key),
-        "snapshots": quality.compare_snapshots(legacy, current, ["city", "deal_year"]), "measures": flags.compare_flags(legacy, current, flags.deal_flags(COVERED, cutoff)),
-        "contents": quality.compare_sets(current, legacy, ["city", "gush_code", "deal_date", "price_millions", "area"]), "candidates": quality.repeat_candidate_summary(legacy, current), "repeats": quality.multi_date_groups(current),
-    }
     form = lambda df: quality.canonical(df, ["price_millions", "area"], ["deal_date"], ["gush_code", "city", "street"])
-    extras = quality.append_report(form(legacy), form(current), "city", "street", ["price_millions", "area", "deal_date", "gush_code", "street"], ["gush_code", "deal_date"])
-    linked = linkage.strict_enrich(current, legacy).where("legacy_record_id is not null")
-    waterfall = quality.link_waterfall(legacy, current, linked, key)
-    return out | {f"append_{n}": d for n, d in extras.items()} | {"waterfall": waterfall.groupBy("reason").agg(F.count("*").alias("n")), "failures": quality.attribute_failures(waterfall)}
+    extras = cache(lambda: quality.append_report(form(legacy), form(current), "city", "street", ["price_millions", "area", "deal_date", "gush_code", "street"], ["gush_code", "deal_date"]))
+    waterfall = cache(lambda: quality.link_waterfall(legacy, current, linkage.strict_enrich(current, legacy).where("legacy_record_id is not null"), key))
+    content = ["city", "gush_code", "deal_date", "price_millions"]
+    return Outputs({
+        "profile": lambda: quality.profile(current, ["city", "street", "roof", *numbers], numbers), "anomalies": lambda: quality.anomalies(current),
+        "counts": lambda: quality.value_counts(current, [["city"], ["deal_year"], ["city", "deal_year"], ["apt_type"], ["sale_portion"]]),
+        "duplicates": lambda: quality.duplicate_counts(current, content), "contents": lambda: quality.compare_sets(current, legacy, [*content, "area"]), "prices": lambda: quality.reconcile_prices(current, legacy, key),
+        "sources": lambda: quality.compare_sources(current, legacy, recent, key), "snapshots": lambda: quality.compare_snapshots(legacy, current, ["city", "deal_year"]),
+        "measures": lambda: flags.compare_flags(legacy, current, flags.deal_flags(COVERED, cutoff)), "candidates": lambda: quality.repeat_candidate_summary(legacy, current), "repeats": lambda: quality.multi_date_groups(current),
+        "waterfall": lambda: waterfall().groupBy("reason").agg(F.count("*").alias("n")), "failures": lambda: quality.attribute_failures(waterfall()),
+        **{f"append_{n}": lambda n=n: extras()[n] for n in ("counts", "places", "years", "samples", "repeats")},
+    })
 
 
 COVERED = ["city", "street", "gush", "gush_code", "full_address", "deal_date", "deal_year", "price_millions", "area", "rooms", "floor", "roof", "apt_type", "build_year", "building_age", "build_floors"]
@@ -209,12 +241,12 @@ def repeat_sales(rows: DataFrame, conditions: dict, key: str = "unit_key") -> di
     return {"scopes": quality.repeat_sale_scopes(rows, conditions, key), "list": quality.repeat_sale_list(whole, key), "stable": quality.stable_profiles(whole, key), "consistent": quality.repeat_sales(quality.consistent_units(whole, key), key)}
 
 
-def address_job(legacy: DataFrame, current: DataFrame, query: str, key: str = "unit_key", places: tuple[DataFrame, DataFrame] | None = None, city: str | None = None, chosen: tuple[float, ...] = (), **how) -> dict[str, DataFrame]:
+def address_job(legacy: DataFrame, current: DataFrame, query: str, key: str = "unit_key", places: tuple[DataFrame, DataFrame] | None = None, city: str | None = None, chosen: tuple[float, ...] = (), **how) -> Outputs:
     """Lookup of an address, histories and pairs; with ``places`` (descriptions, polygons) and a city the map of its blocks."""
-    history = linkage.deal_history(current, legacy, key)
-    shown = {}
+    history = cache(lambda: linkage.deal_history(current, legacy, key))
+    out = {"history": history, "by_date": lambda: linkage.by_date(history(), key), "pairs": lambda: linkage.pair_parallel(current, legacy, key)}
+    out["lookup"] = lambda: addresses.lookup_address(legacy, current, query, key, city, **how)
     if places is not None and city is not None:
         counts = current.where(F.col("city") == city).groupBy("gush").agg(F.count("*").alias("deals"))
-        shown["map"] = linkage.attach_polygons(places[0], places[1], city, list(chosen), counts)
-    how = how | ({"city": city} if city else {})
-    return shown | {"lookup": addresses.lookup_address(legacy, current, query, key, **how), "history": history, "by_date": linkage.by_date(history, key), "pairs": linkage.pair_parallel(current, legacy, key)}
+        out["map"] = lambda: linkage.attach_polygons(places[0], places[1], city, list(chosen), counts)
+    return Outputs(out)
