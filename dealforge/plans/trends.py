@@ -184,7 +184,17 @@ def k1(spark, sf_dir):
     return segments.discretize(deals(spark, sf_dir), "rooms").select("record_id", "label")
 
 
-@register("K2_nice_breaks")
+#: The plain scale: of all readable steps the one with few enough bins, three at least, near the target, and finest.
+BREAKS = """s as (select min(area) as a, max(area) as b, least(8, greatest(3, count(distinct area) // 2)) as target from deals), m as (select unnest([1, 2, 2.5, 5, 10]::double[]) as m),
+w as (select pow(10, floor(log10((b - a) / target))) as p, (b - a) / target as x from s), r as (select min(p * m) as step from w, m where x / p <= m),
+c as (select m * pow(10, floor(log10(r.step)) + i) as step, a, b, target from r, m, s, range(-2, 4) k(i)),
+d as (select *, floor(a / step) as first, ceil(b / step) - floor(a / step) + case when ceil(b / step) * step <= b then 1 else 0 end as bins from c),
+e as (select step, first, bins from d order by bins > 8, bins < 3, abs(bins - target), step limit 1),
+g as (select round(first * step + i * step, 12) as lo, round(first * step + (i + 1) * step, 12) as hi from e, range(0, 100) k(i) where i < bins)"""
+_SHORT = "rtrim(rtrim(format('{{:.3f}}', {}), '0'), '.')"
+
+
+@register("K2_nice_breaks", f"{WITH}, {BREAKS} select {_SHORT.format('lo')} || '-' || {_SHORT.format('hi')} as label, count(*) as n, min(area) as low, max(area) as high from deals left join g on area >= lo and area < hi group by 1")
 def k2(spark, sf_dir):
     """Deals in each readable area bin."""
     d = segments.discretize(deals(spark, sf_dir), "area")
