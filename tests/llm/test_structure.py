@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from dealforge.llm import merkle, queries, repair, sharding
+from dealforge.llm import brown, chat, embeddings, merkle, queries, repair, repeats, sharding
 
 SF = "/root/testdata/sf0.001"
 TURNS = "conv_id long, turn long, role string, text string, sha string"
@@ -251,3 +251,21 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "out"), 7)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.doc_id, r.shard, r.slot) for r in got.collect()) == sorted((r.doc_id, r.shard, r.slot) for r in sharding.assign(df, 7).collect())
+
+
+# 1, 2, 4, 8 --------------------------------------------------------------------------------------
+
+
+def test_clashing_names_and_empty_tables(spark):
+    """Columns named like an operator's own change nothing, and tables without rows give none."""
+    docs = spark.createDataFrame([(i, f"text {i % 3} " + "same words here " * 40) for i in range(12)], "doc_id long, text string")
+    clash = docs.select("*", *[F.lit(1).alias(c) for c in ("id", "n_bytes", "KEPT", "name", "part", "names", "held_out", "score", "h", "n", "lang")])
+    same = lambda f, a, b: sorted(map(tuple, f(a).collect()), key=repr) == sorted(map(tuple, f(b).collect()), key=repr)
+    assert same(repeats.remove_repeats, docs, clash) and repeats.remove_repeats(docs.limit(0)).count() == 0
+    assert same(brown.score_corpus, docs, clash) and brown.score_corpus(docs.limit(0)).count() == 0
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None)], "vec_id long, embedding array<double>")
+    named = vectors.select("*", *[F.lit(1).alias(c) for c in ("id", "component", "kept", "n_links", "cell", "x")])
+    assert same(embeddings.near_duplicates, vectors, named) and embeddings.near_duplicates(vectors.limit(0)).count() == 0
+    turns = spark.createDataFrame([(i, t, "user" if t % 2 == 0 else "assistant", f"{t} {i * (t > 1)}") for i in range(2) for t in range(4)], "pair_id long, turn long, role string, text string")
+    more = turns.select("*", *[F.lit(1).alias(c) for c in ("conv", "said", "side", "a", "b", "at", "part", "train")])
+    assert same(lambda d: chat.preference_rows(d.where("pair_id = 0"), d.where("pair_id = 1").withColumn("pair_id", F.lit(0).cast("long"))), turns, more)
