@@ -249,10 +249,13 @@ def f12(spark, sf_dir):
     return linkage.pair_parallel(units(spark, sf_dir), old_units(spark, sf_dir)).drop("price_millions", "legacy_price")
 
 
-@register("F13_resolve_areas", f"{WITH} select city, gush from gush_streets where gush = 7 and city in ('NATION_1', 'NATION_2') group by all")
+@register("F13_resolve_areas", f"{WITH} {DESCR} select distinct city, gush from gush_streets where gush in (7, 11) or (city = 'NATION_3' and street in (select min(street) from deals where city = 'NATION_3')) union select city, gush from descr where gush_desc in (select min(gush_desc) from descr)")
 def f13(spark, sf_dir):
-    d = descriptions(spark, sf_dir).where(F.col("city").isin("NATION_1", "NATION_2"))
-    return linkage.resolve_areas(d, gush_streets(spark, sf_dir), ids=[7.0])
+    """Blocks by number in all cities, by a street of one, and by a label."""
+    d = descriptions(spark, sf_dir)
+    label = d.agg(F.min("gush_desc")).first()[0]
+    street = deals(spark, sf_dir).where("city = 'NATION_3'").agg(F.min("street")).first()[0]
+    return linkage.resolve_areas(d, gush_streets(spark, sf_dir), ids=[7.0, 11.0], labels=[label], city_streets=[("NATION_3", street)], most=10_000)
 
 
 @register("F14_by_date", f"{WITH} {HIST}, nr as (select distinct x.record_id, x.source from both_ x join both_ y using ({U}) where x.source <> y.source and abs(x.price_millions * 1e6 - y.price_millions * 1e6) <= 1000) select {U}, count(*) as records, string_agg(distinct b.source, ',' order by b.source) as sources, string_agg(b.source || ':' || b.record_id || ':' || case when nr.record_id is null then 'alone' else 'parallel' end, ';' order by b.source, b.record_id) as list from both_ b left join nr on nr.record_id = b.record_id and nr.source = b.source group by {U}")
