@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import addresses
 from . import jobs
-from .fixtures import WITH, deals, legacy_deals, units
+from .fixtures import WITH, legacy_deals, units
 from .registry import register
 
 #: The second source with property keys; rows without a valid one stay.
