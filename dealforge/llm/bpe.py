@@ -3,9 +3,10 @@
 ``encode`` adds packed ids (little-endian unsigned 32-bit integers), ``decode`` turns packed ids
 back into bytes, ``offsets`` gives each token's byte and character span.
 
-Each match of the vocabulary's split pattern is encoded on its own, so a worker keeps the ids of
-the pieces that it has met. The pattern's letter and number classes are stable only up to a Unicode
-version; a text with characters outside long-settled ranges goes through the library whole.
+Whole texts go through the tiktoken library with the ranks and the split pattern of the vocabulary,
+without special tokens: their strings in a text are ordinary text. A worker remembers nothing but
+the vocabulary. The library's pattern overflows on millions of blanks in a row, so what the pattern
+makes one piece of them by rule is given to it as one piece.
 
 Cases: a null text counts as empty and has no ids; an empty table gives an empty result; a text is
 encoded whole whatever its length; repeated rows stay; a column that has the name
@@ -14,82 +15,58 @@ of a new one is replaced; decoding null gives empty bytes; ids outside the vocab
 
 from __future__ import annotations
 
+import base64
 import functools
-import json
-import os
+import re
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .common import give_back, map_batches, texts
 
 #: Texts that a worker turns into ids and back at once.
 ROWS = 200
-#: Pieces that a worker remembers, and their characters, before it starts anew.
-MEMO, MEMO_CHARS = 100_000, 2_000_000
-#: The split pattern with Unicode's White_Space spelled out.
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Ranges whose letters, numbers and blanks have not changed for long.
-SETTLED = regex.compile(r"[\x00-\u052f\u2000-\u206f]*+")
+#: Runs of so many blanks, Unicode's White_Space spelled out, are split off by hand.
+LONG = 10_000
+BLANKS = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG},}}")
 
 
 def default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-def byte_characters() -> dict[int, str]:
-    """The byte-to-character table: printable Latin-1 stands for itself, the rest moves above 255."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 class Coder:
+    """A vocabulary: ``path`` holds a token in base64 and its rank on each line."""
+
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
-        self.held = 0
-        back = {c: b for b, c in byte_characters().items()}
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        special = {t["content"] for t in spec["added_tokens"]}
-        size = 1 + max(spec["model"]["vocab"].values())
-        self.table: list[bytes | None] = [None] * size
-        for token, i in spec["model"]["vocab"].items():
-            self.table[i] = token.encode() if token in special else bytes(back[c] for c in token)
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.table: list[bytes | None] = [None] * (1 + max(ranks.values()))
+        for token, i in ranks.items():
+            self.table[i] = token
         self.lengths = np.array([len(t or b"") for t in self.table], dtype=np.int64)
-        del spec
+        del ranks
         give_back()
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        out: list[bytes | None] = []
-        for text in batch:
-            if SETTLED.fullmatch(text) is None:
-                out.append(self._packed([text])[0])
-                continue
-            pieces = PIECE.findall(text)
-            missing = [p for p in set(pieces) if p not in self.memo]
-            if missing:
-                if len(self.memo) > MEMO or self.held > MEMO_CHARS:
-                    self.memo.clear()
-                    self.held, missing = 0, list(set(pieces))
-                self.held += sum(map(len, missing))
-                self.memo.update(zip(missing, self._packed(missing), strict=True))
-            out.append(b"".join(map(self.memo.__getitem__, pieces)))
-        return out
-
-    def _packed(self, batch: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(batch, add_special_tokens=False)]
+        return [np.array(self._ids(t), dtype="<u4").tobytes() for t in batch]
+
+    def _ids(self, text: str) -> list[int]:
+        ids, at = [], 0
+        for run in BLANKS.finditer(text) if len(text) >= LONG else ():
+            end = run.end() - (run.end() < len(text))  # the last blank belongs to what follows
+            ids += self.lib.encode_ordinary(text[at : run.start()])
+            ids += self.lib._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + self.lib.encode_ordinary(text[at:]) if at else self.lib.encode_ordinary(text)
 
     def decode(self, packed: bytes) -> bytes:
         """The bytes that the ids stand for; a character may be split between tokens."""

@@ -318,6 +318,33 @@ def test_byte_pairs(docs):
     assert start[0] == 0 and end[-1] == 8 and first[0] == 0 and last[-1] == 4 and (start[1:] == end[:-1]).all()
 
 
+def test_byte_pairs_of_long_blanks():
+    c = bpe.coder(bpe.default_vocabulary())
+    for t in ("a" + " " * 30_000 + "b", " " * 30_000 + "\n" * 20_000 + ".x", "1" + "\u3000" * 10_001, " " * 9_999 + "\t" + "é  z" + " " * 40_000 + "'s"):
+        assert np.frombuffer(c.encode([t])[0], "<u4").tolist() == c.lib.encode_ordinary(t)
+    many = "a" + " " * 3_000_000 + "b"
+    assert c.decode(c.encode([many])[0]) == many.encode()
+
+
+def test_byte_pairs_take_one_pass_and_equal_another_library(spark, docs, tmp_path, capsys):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from dealforge.llm import queries
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    lib.encode_special_tokens = True
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op5_byte_bpe(spark, str(tmp_path))
+    out.explain()
+    assert capsys.readouterr().out.count("MapInArrow ") == 1
+    got = {r["doc_id"]: r for r in out.collect()}
+    for i, t, *_ in ROWS:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        assert got[i]["n_tokens"] == len(ids) and got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+
+
 # 6 -----------------------------------------------------------------------------------------------
 
 
