@@ -2,11 +2,13 @@
 
 The model is an interpolated modified Kneser-Ney model over the characters of words, one per
 language. Spark counts the n-grams of all texts; every lower order counts distinct left
-neighbours. Each order is stored as a sorted array of 64-bit hashes with its discounted
-probabilities and back-off weights. N-grams below ``MIN_SHARE`` of their own order's counts in their
-language back off, unless a kept n-gram of a higher order ends in them; this bounds each order to
-``ORDER / MIN_SHARE`` entries a language. A context hands down the weight of what it lost, so its
-probabilities still sum to one.
+neighbours. No n-gram is left out: each order is a table of discounted shares, back-off weights and
+interpolated probabilities. The most frequent n-grams of the top order, at most ``SENT`` of all
+languages, are sent to the workers as a sorted array of 64-bit hashes with their log
+probabilities. What a text holds besides those is written out as n-grams and scored by joins with
+the tables, which also back off for n-grams that no text had. A context hands down the weight that
+its discounts took and that of ``MIN_SHARE`` of all counts, so that rare contexts rely on lower
+orders however large the table is; its probabilities sum to one.
 
 A text's perplexity is taken per word over its whole words. A language's band is set by the
 quartiles of all its texts; texts outside are rejected.
@@ -19,16 +21,24 @@ have the name of a new one are replaced, others stay; an empty table gives an em
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import MIX1, WORD_RE, fresh, give_back, map_batches, mix64, saved, small_batches, texts, without
 
 ORDER = 4
+#: Share of its order's counts in its language by which each context's own count is raised in favour of the next lower order.
 MIN_SHARE = 1e-6
+#: At most so many n-grams are sent to the workers, the most frequent ones.
+SENT = 1_000_000
+#: The share of a character that was never seen, and the least probability that counts.
+UNSEEN, LEAST_P = 1.0 / 0x110000, 1e-12
 #: A band reaches so many interquartile ranges beyond the quartiles of the log perplexity,
 REACH = 8.0
 #: and, since few words say little, this over the square root of a text's words beyond that.
@@ -89,7 +99,7 @@ def repeat_words(words: list[str], size: int = WINDOW) -> int:
 
 
 def _by_language(batch: pa.RecordBatch, lang_col: str) -> list[str]:
-    return [x if x is not None else NO_LANG for x in batch.column(lang_col).to_pylist()]
+    return [str(x) if x is not None else NO_LANG for x in batch.column(lang_col).to_pylist()]
 
 
 def _ngram_batches(text_col: str, lang_col: str, order: int):
@@ -125,108 +135,153 @@ def _ngram_batches(text_col: str, lang_col: str, order: int):
     return run
 
 
-def model_tables(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
-    """Rows ``(k, lang, gram, p, back)``: an n-gram's discounted probability and its weight as a context.
-
-    ``p`` leaves out what the next lower order adds; ``back`` is what a text of this context hands
-    down, 1 where the context was never seen. Order 0 is the uniform share of an unseen character.
-    """
+def model_levels(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> dict[int, DataFrame]:
+    """By order, ``(lang, gram, n, share, back, p)`` of all n-grams: count, discounted share of its
+    context, weight that the context hands down, and probability with all lower orders."""
     slim = df.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     counts = small_batches(slim).mapInArrow(_ngram_batches("text", "lang", order), "lang string, gram string, n bigint")
-    top = saved(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "quality-ngrams")
-    levels = {order: top}
+    counted = {order: saved(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "quality-ngrams")}
     for k in range(order - 1, 0, -1):
         # continuation counts: distinct left neighbours; what begins a word has but one and keeps its count
         ends = F.substr("gram", F.lit(2)).alias("gram")
         n = F.sum(F.when(F.col("gram").startswith(EDGE * 2), F.col("n")).otherwise(1))
-        levels[k] = saved(levels[k + 1].groupBy("lang", ends).agg(n.alias("n")), "quality-ngrams")
-    out, above = [], None
-    for k, t in levels.items():
+        counted[k] = saved(counted[k + 1].groupBy("lang", ends).agg(n.alias("n")), "quality-ngrams")
+    levels: dict[int, DataFrame] = {}
+    for k in range(1, order + 1):
+        t = counted[k]
         some = t.groupBy("lang").agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
         y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
         safe = lambda i: F.greatest(F.lit(0.0), F.least(F.lit(float(i)), F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(0.5))))
         some = some.select("lang", safe(1).alias("d1"), safe(2).alias("d2"), safe(3).alias("d3"))
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        t = t.join(F.broadcast(some), "lang").withColumn("own", F.col("n") - d)
+        t = t.join(F.broadcast(some), "lang").select("lang", "gram", "n", (F.col("n") - d).alias("own"), F.substring("gram", 1, k - 1).alias("ctx"))
         # of counts of one kind: numbers of neighbours do not grow with the texts, counts of what begins a word do
-        t = t.withColumn("begins", F.lit(1 < k < order) & F.col("gram").startswith(EDGE))
-        least = t.groupBy("lang", "begins").agg((F.sum("n") * MIN_SHARE).alias("least"))
-        t = t.join(F.broadcast(least), ["lang", "begins"]).withColumn("stays", F.col("n") >= F.col("least"))
-        if above is not None:
-            ends = above.select("lang", F.substr("gram", F.lit(2)).alias("gram")).distinct().withColumn("reached", F.lit(True))
-            t = t.join(ends, ["lang", "gram"], "left").withColumn("stays", F.col("stays") | F.col("reached").isNotNull())
-        t = t.withColumn("ctx", F.substring("gram", 1, k - 1))
-        ctx = t.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("stays"), F.col("own"))).alias("held"))
-        ctx = saved(ctx.where("held is not null"), "quality-contexts")
-        above = saved(t.where("stays").select("lang", "gram", "ctx", "own"), "quality-kept")
-        own = above.join(ctx, ["lang", "ctx"])
-        out.append(own.select(F.lit(k).alias("k"), "lang", "gram", (F.col("own") / F.col("total")).alias("p"), F.lit(None).cast("double").alias("back")))
-        out.append(ctx.select(F.lit(k).alias("k"), "lang", F.col("ctx").alias("gram"), F.lit(None).cast("double").alias("p"), (1 - F.col("held") / F.col("total")).alias("back")))
-    rows = out[0]
-    for t in out[1:]:
-        rows = rows.unionByName(t)
-    return rows
-
-
-def _hashes(flat: np.ndarray, starts: np.ndarray, k: int, seed: int) -> np.ndarray:
+        begins = (F.lit(1 < k < order) & F.col("ctx").startswith(EDGE)).alias("begins")
+        ctx = t.groupBy("lang", "ctx", begins).agg(F.sum("n").alias("total"), F.sum("own").alias("held"))
+        prior = ctx.groupBy("lang", "begins").agg((F.sum("total") * MIN_SHARE).alias("prior"))
+        ctx = ctx.join(F.broadcast(prior), ["lang", "begins"]).select("lang", "ctx", (F.col("total") + F.col("prior")).alias("total"), "held")
+        t = t.join(ctx, ["lang", "ctx"]).withColumns({"share": F.col("own") / F.col("total"), "back": 1 - F.col("held") / F.col("total")})
+        under = F.lit(UNSEEN)
+        if k > 1:
+            t = t.withColumn("end", F.substr("gram", F.lit(2))).join(levels[k - 1].select("lang", F.col("gram").alias("end"), F.col("p").alias("under")), ["lang", "end"])
+            under = F.col("under")
+        levels[k] = saved(t.select("lang", "gram", "n", "share", "back", (F.col("share") + F.col("back") * under).alias("p")), "quality-levels")
+    return levels
+
+
+def _contexts(levels: dict[int, DataFrame], k: int) -> DataFrame:
+    return levels[k].select("lang", F.substring("gram", 1, k - 1).alias("ctx"), "back").distinct()
+
+
+def model_tables(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
+    """Rows ``(k, lang, gram, p, back)``: an n-gram's discounted probability and its weight as a context.
+
+    ``p`` leaves out what the next lower order adds; ``back`` is what a text of this context hands
+    down, 1 where the context was never seen. Order 0 is the uniform share of an unseen character.
+    """
+    none = F.lit(None).cast("double")
+    levels = model_levels(df, text_col, lang_col, order)
+    tables = [t.select(F.lit(k).alias("k"), "lang", "gram", F.col("share").alias("p"), none.alias("back")) for k, t in levels.items()]
+    tables += [_contexts(levels, k).select(F.lit(k).alias("k"), "lang", F.col("ctx").alias("gram"), none.alias("p"), "back") for k in levels]
+    return functools.reduce(DataFrame.unionByName, tables)
+
+
+def gram_logs(grams: DataFrame, levels: dict[int, DataFrame]) -> DataFrame:
+    """``(lang, gram, log)`` of distinct n-grams of the top order, seen or not."""
+    order = max(levels)
+    out = grams.select("lang", "gram", F.lit(UNSEEN).alias("p"))
+    for k in range(1, order + 1):
+        seen = levels[k].select("lang", F.col("gram").alias("end"), F.col("p").alias("seen"))
+        out = out.withColumns({"end": F.substring("gram", order - k + 1, k), "ctx": F.substring("gram", order - k + 1, k - 1)})
+        out = out.join(seen, ["lang", "end"], "left").join(_contexts(levels, k), ["lang", "ctx"], "left")
+        out = out.select("lang", "gram", F.coalesce("seen", F.coalesce("back", F.lit(1.0)) * F.col("p")).alias("p"))
+    return out.select("lang", "gram", F.log(F.greatest("p", F.lit(LEAST_P))).alias("log"))
+
+
+def _seed(lang: str) -> int:
+    return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
+
+
+def _hashes(flat: np.ndarray, starts: np.ndarray, k: int, seed: np.ndarray | int) -> np.ndarray:
     """Hashes of the ``k`` characters from each start on."""
-    h = np.full(len(starts), seed, dtype=np.uint64)
+    h = np.empty(len(starts), dtype=np.uint64)
+    h[:] = seed
     for i in range(k):
         h = mix64(h + flat[starts + i].astype(np.uint64) + np.uint64(1))
     return h
 
 
+def _keyed(order: int):
+    """Hashes of languages' n-grams instead of their names."""
+
+    def run(batches):
+        for b in batches:
+            grams, seed = b.column("gram").to_pylist(), functools.cache(_seed)
+            flat = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32)
+            seeds = np.array([seed(x) for x in b.column("lang").to_pylist()], np.uint64)
+            keys = _hashes(flat, np.arange(len(grams)) * order, order, seeds)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column("log")], names=["key", "log"])
+
+    return run
+
+
+class Known:
+    """Hashes of the most frequent n-grams, sorted, with their log probabilities."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray, order: int):
+        by = np.argsort(keys)
+        self.keys, self.logs, self.order = keys[by], logs[by], order
+
+    def word_logs(self, lang: str, words: list[str]) -> tuple[list[float], dict[int, list[str]]]:
+        """Of each word with its end the natural log probability of its known n-grams; by the word's place, its other n-grams."""
+        pad, words = EDGE * (self.order - 1), [_plain(w) for w in words]
+        text = "".join(f"{pad}{w}{EDGE}" for w in words)
+        flat = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        sizes = np.array([len(w) + 1 for w in words])  # n-grams
+        heads = np.cumsum(sizes) - sizes
+        at = np.arange(sizes.sum()) + np.repeat(np.arange(len(words)) * (self.order - 1), sizes)
+        keys = _hashes(flat, at, self.order, _seed(lang))
+        found, logs = np.zeros(len(at), dtype=bool), np.zeros(len(at))
+        if len(self.keys):
+            i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            found = self.keys[i] == keys
+            logs = np.where(found, self.logs[i], 0.0)
+        gaps: dict[int, list[str]] = {}
+        lost = np.flatnonzero(~found)
+        for w, i in zip((np.searchsorted(heads, lost, "right") - 1).tolist(), at[lost].tolist(), strict=True):
+            gaps.setdefault(w, []).append(text[i : i + self.order])
+        return np.add.reduceat(logs, heads).tolist(), gaps
+
+
 class Model:
-    """Sorted hash arrays of each language and order."""
-
-    def __init__(self, rows: list[tuple], order: int):
-        self.order, self.langs = order, {}
-        parts: dict[tuple, list] = {}
-        for k, lang, gram, p, back in rows:
-            parts.setdefault((lang, k, p is None), []).append((gram, back if p is None else p))
-        for (lang, k, context), got in parts.items():
-            n = k - 1 if context else k
-            flat = np.frombuffer("".join(g for g, _ in got).encode("utf-32-le"), np.uint32)
-            keys = _hashes(flat, np.arange(len(got)) * n, n, k) if n else np.full(1, k, np.uint64)
-            by = np.argsort(keys)
-            self.langs.setdefault(lang, {})[k, context] = keys[by], np.array([v for _, v in got])[by]
+    """The tables of all n-grams, and of the most frequent ones what workers hold."""
+
+    def __init__(self, levels: dict[int, DataFrame], known: Known):
+        self.levels, self.known = levels, known
 
     def word_logs(self, lang: str, words: list[str]) -> list[float]:
         """Natural log probability of each word with its end."""
-        words = [_plain(w) for w in words]
-        tables = self.langs.get(lang, {})
-        pad = EDGE * (self.order - 1)
-        flat = np.frombuffer("".join(f"{pad}{w}{EDGE}" for w in words).encode("utf-32-le"), np.uint32)
-        sizes = np.array([len(w) + self.order for w in words])
-        ends = np.cumsum(sizes)
-        inner = np.ones(len(flat), dtype=bool)
-        for i in range(self.order - 1):
-            inner[ends - sizes + i] = False
-        at = np.flatnonzero(inner)  # the positions that are predicted
-        none = np.zeros(0, np.uint64), np.zeros(0)
-        p = np.full(len(at), 1.0 / 0x110000)
-        for k in range(1, self.order + 1):
-            keys, back = tables.get((k, True), none)
-            back_here = _find(keys, back, _hashes(flat, at - k + 1, k - 1, k), 1.0)
-            keys, own = tables.get((k, False), none)
-            p = _find(keys, own, _hashes(flat, at - k + 1, k, k), 0.0) + back_here * p
-        logs = np.log(np.maximum(p, 1e-12))
-        heads = np.concatenate([[0], np.cumsum(sizes - self.order + 1)[:-1]])
-        return np.add.reduceat(logs, heads).tolist()
-
-
-def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), other)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], other)
+        logs, gaps = self.known.word_logs(lang, words)
+        if gaps:
+            grams = self.levels[1].sparkSession.createDataFrame([(lang, g) for g in {g for gs in gaps.values() for g in gs}], "lang string, gram string")
+            rest = {r["gram"]: r["log"] for r in gram_logs(grams, self.levels).collect()}
+            for w, gs in gaps.items():
+                logs[w] += sum(map(rest.__getitem__, gs))
+        return logs
 
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> Model:
-    """The model of all texts; at most ``ORDER / MIN_SHARE`` entries an order and language reach the driver."""
-    rows = model_tables(df, text_col, lang_col, order).select("k", "lang", "gram", "p", "back").toPandas()
-    rows["p"], rows["back"] = (rows[c].astype(object).where(rows[c].notna(), None) for c in ("p", "back"))
-    return Model(list(rows.itertuples(index=False, name=None)), order)
+    """The model of all texts; hashes of at most ``SENT`` n-grams reach the driver."""
+    levels = model_levels(df, text_col, lang_col, order)
+    top, least, left = levels[order], 1, SENT
+    for r in sorted(top.groupBy(F.floor(F.log2("n")).alias("b")).count().collect(), reverse=True):
+        left -= r["count"]
+        if left < 0:
+            least = 2 ** (r["b"] + 1)
+            break
+    often = top.where(F.col("n") >= least).select("lang", "gram", F.log(F.greatest("p", F.lit(LEAST_P))).alias("log"))
+    got = often.mapInArrow(_keyed(order), "key bigint, log double").toPandas()
+    return Model(levels, Known(got["key"].to_numpy(np.int64).view(np.uint64), got["log"].to_numpy(np.float64), order))
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -234,13 +289,16 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 def measure(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """Add the counts and ``log_ppl``, the mean negative log probability of a word."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(model.known)
     memos: dict[str, dict[str, float]] = {}
+    lost: dict[str, dict[str, list[str]]] = {}
     held: Counter = Counter()
+    row, says, logs_col, rest = fresh(df, "_row", "_says", "_logs", "_rest")
+    at = [0]
 
     def make(b):
         m = shared.value
-        rows, logs = [], []
+        rows, logs, rests = [], [], []
         counted = []
         for lang, t in zip(_by_language(b, lang_col), texts(b, text_col), strict=True):
             words = WORD_RE.findall(t)
@@ -248,25 +306,46 @@ def measure(df: DataFrame, model: Model, text_col: str = "text", lang_col: str =
         new: dict[str, set] = {}
         for lang, _, words in counted:
             memo = memos.setdefault(lang, {})
+            lost.setdefault(lang, {})
             new.setdefault(lang, set()).update(set(words).difference(memo))
         for lang, words in new.items():
             if words:
                 if len(memos[lang]) > MEMO or held[lang] > MEMO_CHARS:
                     memos[lang].clear()
+                    lost[lang].clear()
                     held[lang] = 0
                     words = {w for x, _, ws in counted if x == lang for w in ws}
                 every = list(words)
                 held[lang] += sum(map(len, every))
                 for i in range(0, len(every), 50_000):
                     part = every[i : i + 50_000]
-                    memos[lang].update(zip(part, m.word_logs(lang, part), strict=True))
+                    found, gaps = m.word_logs(lang, part)
+                    memos[lang].update(zip(part, found, strict=True))
+                    lost[lang].update((part[j], grams) for j, grams in gaps.items())
         for lang, c, words in counted:
             rows.append(c)
-            logs.append(-sum(map(memos[lang].__getitem__, words)) / len(words) if words else None)
+            logs.append(sum(map(memos[lang].__getitem__, words)))
+            gaps = lost[lang]
+            grams = Counter(g for w in words if w in gaps for g in gaps[w]) if gaps else ()
+            rests.append([{"gram": g, "n": n} for g, n in grams.items()] if grams else None)
+        first = (TaskContext.get().partitionId() << 40) + at[0]
+        at[0] += len(rows)
         out = {name: pa.array([r[i] for r in rows], pa.int64()) for i, name in enumerate(COUNTS)}
-        return out | {"log_ppl": pa.array(logs, pa.float64())}
-
-    return map_batches(df, make, [(n, "bigint") for n in COUNTS] + [("log_ppl", "double")], keep)
+        out |= {row: pa.array(range(first, first + len(rows)), pa.int64()), says: pa.array([x for x, *_ in counted], pa.string()), logs_col: pa.array(logs, pa.float64())}
+        return out | {rest: pa.array(rests, pa.list_(pa.struct([("gram", pa.string()), ("n", pa.int64())])))}
+
+    new = [(n, "bigint") for n in [*COUNTS, row]] + [(says, "string"), (logs_col, "double"), (rest, "array<struct<gram:string,n:bigint>>")]
+    rows = saved(map_batches(df, make, new, keep), "quality-measured")
+    shared.destroy()
+    names = [c for c in rows.columns if c not in (row, says, logs_col, rest) and c.lower() != "log_ppl"]
+    ppl = lambda logs: F.try_divide(-logs, F.col("n_words")).alias("log_ppl")
+    if rows.where(F.col(rest).isNotNull()).isEmpty():
+        return rows.select(*[F.col(f"`{c}`") for c in names], ppl(F.col(logs_col)))
+    parts = rows.select(F.col(row).alias("row"), F.col(says).alias("lang"), F.explode(rest).alias("x")).select("row", "lang", "x.gram", "x.n")
+    found = saved(gram_logs(parts.select("lang", "gram").distinct(), model.levels), "quality-rest")
+    more = parts.join(found, ["lang", "gram"]).groupBy(F.col("row").alias(row)).agg(F.sum(F.col("n") * F.col("log")).alias(says))
+    out = rows.drop(says, rest).join(more, row, "left")
+    return saved(out.select(*[F.col(f"`{c}`") for c in names], ppl(F.col(logs_col) + F.coalesce(says, F.lit(0.0)))), "quality-measured")
 
 
 def bands(measured: DataFrame, lang_col: str = "lang", reach: float = REACH) -> DataFrame:
@@ -302,5 +381,5 @@ def assess(df: DataFrame, text_col: str = "text", lang_col: str = "lang", keep:
     names = keep if keep is not None else df.columns
     if lang_col not in names:
         names = [*names, lang_col]
-    measured = saved(measure(df, train(df, text_col, lang_col), text_col, lang_col, names), "quality-measured")
+    measured = measure(df, train(df, text_col, lang_col), text_col, lang_col, names)
     return judge(measured, saved(bands(measured, lang_col), "quality-bands"), lang_col)

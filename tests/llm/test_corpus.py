@@ -567,6 +567,63 @@ def test_model_keeps_its_lower_orders_as_the_table_grows(spark, monkeypatch):
     assert all(math.isclose(x, 1) for x in sums.values())
 
 
+def kneser_ney(texts):
+    """Natural log probability of a word by modified Kneser-Ney over all 4-grams of the texts' words."""
+    counts = {4: collections.Counter()}
+    for w in (w for t in texts for w in words_of(t)):
+        s = f"\2\2\2{w.lower()}\2"
+        counts[4].update(s[i : i + 4] for i in range(len(s) - 3))
+    for k in (3, 2, 1):
+        counts[k] = collections.Counter()
+        for g, n in counts[k + 1].items():
+            counts[k][g[1:]] += n if g.startswith("\2\2") else 1
+    share, back = {}, {}
+    for k, c in counts.items():
+        have = collections.Counter(c.values())
+        y = have[1] / (have[1] + 2 * have[2]) if have[1] + 2 * have[2] else None
+        cut = [0.5 if y is None or not have[i] else i - (i + 1) * y * have[i + 1] / have[i] for i in (1, 2, 3)]
+        cut = [max(0, min(i, d)) for i, d in zip((1, 2, 3), cut)]
+        kind = lambda g: 1 < k < 4 and g.startswith("\2")
+        of_kind = collections.Counter()
+        for g, n in c.items():
+            of_kind[kind(g)] += n
+        total, held = collections.Counter(), collections.Counter()
+        total.update({g[:-1]: of_kind[kind(g)] * 1e-6 for g in c})
+        for g, n in c.items():
+            total[g[:-1]] += n
+            held[g[:-1]] += n - cut[min(n, 3) - 1]
+        share |= {(k, g): (n - cut[min(n, 3) - 1]) / total[g[:-1]] for g, n in c.items()}
+        back |= {(k, g): 1 - held[g] / total[g] for g in total}
+
+    def p(g):
+        return share.get((len(g), g), 0) + back.get((len(g), g[:-1]), 1) * (p(g[1:]) if len(g) > 1 else 1 / 0x110000)
+
+    def log(w):
+        s = f"\2\2\2{w.lower()}\2"
+        return sum(math.log(max(p(s[i : i + 4]), 1e-12)) for i in range(len(s) - 3))
+
+    return log
+
+
+@pytest.mark.parametrize("sent", [1_000_000, 60, 0])
+def test_no_ngram_is_left_out_of_the_model(spark, docs, monkeypatch, sent):
+    monkeypatch.setattr(quality, "SENT", sent)
+    model = quality.train(docs)
+    assert len(model.known.keys) <= sent
+    logs = {lang: kneser_ney([t for _, t, x, *_ in ROWS if x == lang]) for lang in ("en", "fr", None)}
+    logs["new"] = kneser_ney([])
+    others = [(0, "Bako bakqo é 日本 unseen", "en"), (0, "Bako bako", "en"), (0, "ba", "new"), (0, "", "new"), (None, "tu tux", None)]
+    for table, rows in ((docs, [(i, t, x) for i, t, x, *_ in ROWS]), (spark.createDataFrame(others, "doc_id long, text string, lang string"), others)):
+        got = quality.measure(table, model, keep=["doc_id", "text", "lang"]).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            words = words_of(r["text"])
+            want = -sum(map(logs[r["lang"]], words)) / len(words) if words else None
+            assert r["log_ppl"] is None if want is None else math.isclose(r["log_ppl"], want, rel_tol=1e-9)
+    words = ["bako", "qx日"]
+    assert np.allclose(model.word_logs("en", words), list(map(logs["en"], words)))
+
+
 def test_digest_is_of_the_whole_text(docs):
     long = "word " * 60000
     df = docs.sparkSession.createDataFrame([(1, long)], "doc_id long, text string")
