@@ -149,17 +149,16 @@ def model_levels(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     levels: dict[int, DataFrame] = {}
     for k in range(1, order + 1):
         t = counted[k]
-        some = t.groupBy("lang").agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
+        # prior weights of counts of one kind: numbers of neighbours do not grow with the texts, counts of what begins a word do
+        begins = F.lit(1 < k < order) & F.col("gram").startswith(EDGE)
+        some = t.groupBy("lang").agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)], F.sum(F.when(begins, F.col("n"))).alias("head"), F.sum(F.when(~begins, F.col("n"))).alias("inner"))
         y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
         safe = lambda i: F.greatest(F.lit(0.0), F.least(F.lit(float(i)), F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(0.5))))
-        some = some.select("lang", safe(1).alias("d1"), safe(2).alias("d2"), safe(3).alias("d3"))
+        some = some.select("lang", safe(1).alias("d1"), safe(2).alias("d2"), safe(3).alias("d3"), "head", "inner")
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        t = t.join(F.broadcast(some), "lang").select("lang", "gram", "n", (F.col("n") - d).alias("own"), F.substring("gram", 1, k - 1).alias("ctx"))
-        # of counts of one kind: numbers of neighbours do not grow with the texts, counts of what begins a word do
-        begins = (F.lit(1 < k < order) & F.col("ctx").startswith(EDGE)).alias("begins")
-        ctx = t.groupBy("lang", "ctx", begins).agg(F.sum("n").alias("total"), F.sum("own").alias("held"))
-        prior = ctx.groupBy("lang", "begins").agg((F.sum("total") * MIN_SHARE).alias("prior"))
-        ctx = ctx.join(F.broadcast(prior), ["lang", "begins"]).select("lang", "ctx", (F.col("total") + F.col("prior")).alias("total"), "held")
+        prior = (F.when(begins, F.col("head")).otherwise(F.col("inner")) * MIN_SHARE).alias("prior")
+        t = t.join(F.broadcast(some), "lang").select("lang", "gram", "n", (F.col("n") - d).alias("own"), F.substring("gram", 1, k - 1).alias("ctx"), prior)
+        ctx = t.groupBy("lang", "ctx").agg((F.sum("n") + F.max("prior")).alias("total"), F.sum("own").alias("held"))
         t = t.join(ctx, ["lang", "ctx"]).withColumns({"share": F.col("own") / F.col("total"), "back": 1 - F.col("held") / F.col("total")})
         under = F.lit(UNSEEN)
         if k > 1:
