@@ -87,6 +87,43 @@ def test_repeats(docs, monkeypatch, length, gram, hot, limits):
     assert sum(w[1] for w in want) > 0
 
 
+def test_strings_that_differ_by_a_pattern_stay(spark):
+    """The pattern is a multiple of 2 ** 64 under the polynomial that hashed strings before."""
+    pattern = np.array([2])
+    for k in (1, 2, *range(4, 52, 4)):
+        pattern = np.pad(pattern, (0, k)) - np.pad(pattern, (k, 0))
+    one = np.full(len(pattern), ord("m"))
+    one, other = (bytes(x.astype(np.uint8)).decode() for x in (one, one + pattern))
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(100):
+        head, tail = ("".join(rnd.choices("abcdefgh ", k=42)) for _ in range(2))
+        rows += [head + one + tail, head + other + tail]
+    assert {len(t) for t in rows} == {repeats.LENGTH}
+    for hot in (256, 1):
+        got = repeats.remove_repeats(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3), hot=hot)
+        assert got.where("n_removed > 0 or n_spans > 0").count() == 0
+
+
+def test_hashes_of_strings_of_any_length():
+    b = np.frombuffer(b"abracadabra abracadabra " * 20, np.uint8)
+    for length in (1, 3, 8, 9, 16, 17, 60, 400, len(b), len(b) + 1):
+        strings = [bytes(b[p : p + length]) for p in range(len(b) - length + 1)]
+        h = repeats.string_hashes(b, length)
+        assert len(h) == len(strings) and len(set(zip(strings, h, strict=True))) == len(set(strings)) == len(set(h))
+
+
+def test_n_removed_shows_passages_and_n_bytes_the_length(spark):
+    """A passage of 51 words goes from 400 bytes on; the length before removal doesn't show it."""
+    rnd = random.Random(8)
+    words = lambda n, k: " ".join("".join(rnd.choices("abcdefgh", k=k)) for _ in range(n))
+    short, long = words(51, 6), words(51, 8)
+    rows = [(0, f"{words(30, 7)} {short}"), (1, f"{words(40, 7)} {short} {words(9, 5)}"), (2, f"{words(30, 7)} {long}"), (3, f"{words(40, 7)} {long} {words(9, 5)}"), (4, words(90, 7))]
+    got = {r["id"]: (r["n_bytes"], r["n_removed"] > 0) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(short) < 400 <= len(long)
+    assert got == {i: (len(t), i in (2, 3)) for i, t in rows}
+
+
 def test_sampled_strings_hold_equal_samples():
     b = np.frombuffer(("abcdefgh" * 30 + "z" * 300).encode(), np.uint8)
     h = repeats.string_hashes(b, 8)
