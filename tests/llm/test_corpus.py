@@ -124,6 +124,18 @@ def test_n_removed_shows_passages_and_n_bytes_the_length(spark):
     assert got == {i: (len(t), i in (2, 3)) for i, t in rows}
 
 
+@pytest.mark.parametrize(("length", "gone"), [(400, False), (256, True)])
+def test_items_of_benchmark_are_shorter_than_400_bytes(spark, length, gone):
+    """Items of over 50 words in two texts each stay by the contract's length and go by a shorter one."""
+    items = [t for (t,) in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("text").collect() if len(words_of(t)) > 50]
+    assert items and all(256 < len(t.encode()) < 400 for t in items)
+    rnd = random.Random(9)
+    text = lambda t, letters: " ".join(["".join(rnd.choices(letters, k=90)), t, "".join(rnd.choices(letters, k=90))])
+    rows = list(enumerate(text(t, letters) for t in items for letters in ("abcd", "efgh")))
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=length).collect()
+    assert {r["id"]: r["n_removed"] for r in got} == {i: (len(items[i // 2].encode()) + 2) * gone for i, _ in rows}
+
+
 def test_sampled_strings_hold_equal_samples():
     b = np.frombuffer(("abcdefgh" * 30 + "z" * 300).encode(), np.uint8)
     h = repeats.string_hashes(b, 8)
