@@ -121,8 +121,9 @@ def display_address(full: Col = "full_address", street: Col = "street", city: Co
 
 
 def compact(c: Col, places: int = 3) -> Column:
-    """Rounded to three decimals, halves to even."""
-    return F.bround(_c(c), places)
+    """Rounded to three decimals, halves of the scaled double to even; what rounds to nothing keeps its sign."""
+    x, by = _c(c).cast("double"), float(10**places)
+    return F.when(F.abs(x * by) < float("inf"), F.rint(x * by) / by).otherwise(x)
 
 
 def text_key(c: Col) -> Column:
