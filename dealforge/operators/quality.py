@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.clean import num
-from ..sources.stage import staged
+from ..sources.stage import Outputs, staged
 from .flags import count_flags
 from .linkage import unique_by
 
@@ -77,7 +79,7 @@ def append_extras(snapshot: DataFrame, append: DataFrame, loose: list[str], weak
     return out.select(*cols, kind.alias("nearness"), F.coalesce("_weak", F.lit(False)).alias("property_day"))
 
 
-def append_report(snapshot: DataFrame, append: DataFrame, place: str, name: str, loose: list[str], weak: list[str], day: str = "deal_date", samples: int = 20) -> dict[str, DataFrame]:
+def append_report(snapshot: DataFrame, append: DataFrame, place: str, name: str, loose: list[str], weak: list[str], day: str = "deal_date", samples: int = 20) -> Outputs:
     """What an append export has beyond a snapshot: counts, places, years, samples of each kind, and repeated contents.
 
     Both tables are canonical. ``place`` is the code of a place, which may be missing, ``name`` its
@@ -85,18 +87,22 @@ def append_report(snapshot: DataFrame, append: DataFrame, place: str, name: str,
     are cut in each task before the shuffle.
     """
     cols = snapshot.columns
-    extras = staged(append_extras(snapshot, append, loose, weak))
+    extras = cache(lambda: staged(append_extras(snapshot, append, loose, weak)))
     digest = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols]), 256)
     rank = F.row_number().over(W.partitionBy("nearness").orderBy("digest", *cols))
     match = F.col("nearness") == "same_but_place"
     flags = {"matching_without_place": match, "unmatched_without_place": ~match, "missing_place": F.coalesce(F.trim(place), F.lit("")) == "", "known_property_day": F.col("property_day"), "new_property_day": ~F.col("property_day")}
-    unique = append.groupBy(*cols).agg(F.count("*").alias("n"))
-    no_place = append.groupBy(*loose).agg(F.count("*").alias("n"))
-    repeats = lambda g, of: g.agg(F.lit(of).alias("content"), F.count("*").alias("unique"), F.coalesce(F.sum("n") - F.count("*"), F.lit(0)).alias("excess"))
-    return {
-        "counts": count_flags(extras, flags), "places": extras.groupBy(place, name).agg(F.count("*").alias("extra_rows")), "years": extras.groupBy(F.year(F.col(day).cast("date")).alias("year")).agg(F.count("*").alias("extra_rows")),
-        "samples": extras.withColumn("digest", digest).withColumn("rank", rank).where(F.col("rank") <= samples).drop("property_day"), "repeats": repeats(unique, "all").unionByName(repeats(no_place, "without_place")),
-    }
+
+    def repeats() -> DataFrame:
+        whole = append.groupBy(*cols).agg(F.count("*").alias("n"))
+        part = whole.groupBy(*loose).agg(F.count("*").alias("u"), F.sum("n").alias("n"))
+        one = lambda of, u: F.struct(F.lit(of).alias("content"), u.alias("unique"), F.coalesce(F.sum("n") - u, F.lit(0)).alias("excess"))
+        return part.agg(F.array(one("all", F.coalesce(F.sum("u"), F.lit(0))), one("without_place", F.count("*"))).alias("r")).select(F.inline("r"))
+
+    return Outputs({
+        "counts": lambda: count_flags(extras(), flags), "places": lambda: extras().groupBy(place, name).agg(F.count("*").alias("extra_rows")), "years": lambda: extras().groupBy(F.year(F.col(day).cast("date")).alias("year")).agg(F.count("*").alias("extra_rows")),
+        "samples": lambda: extras().withColumn("digest", digest).withColumn("rank", rank).where(F.col("rank") <= samples).drop("property_day"), "repeats": repeats,
+    })
 
 
 def repeat_sales(df: DataFrame, key: str = "unit_key") -> DataFrame:
@@ -190,13 +196,21 @@ def compare_sources(current: DataFrame, legacy: DataFrame, recent: int, key: str
 def link_waterfall(legacy: DataFrame, current: DataFrame, linked: DataFrame, key: str) -> DataFrame:
     """Each legacy row and why it is or is not linked; of several reasons the later in the list holds.
 
-    ``linked`` has the ``legacy_record_id`` of linked rows; ``key`` is null for an invalid one.
+    ``linked`` has the ``legacy_record_id`` of linked rows; ``key`` is null for an invalid one. Where
+    ``linked`` has city, key and date too, of which it has one row each, it is met by them as all else is.
     """
     on = ["city", key, "deal_date"]
     facts = [F.max(num(c)).alias(f"_n_{c}") for c in ("price_millions", "area", "rooms", "build_year")]  # of the only row, where it is one
     new = current.where(F.col(key).isNotNull()).groupBy(*on).agg(F.count("*").alias("_new"), F.max("sale_portion").alias("_p"), *facts)
-    old = legacy.where(F.col(key).isNotNull()).groupBy(*on).agg(F.count("*").alias("_old"))
-    m = legacy.join(new, on, "left").join(old, on, "left").join(linked.select(F.col("legacy_record_id").alias("record_id")).distinct().withColumn("_done", F.lit(True)), "record_id", "left")
+    if key in linked.columns:
+        done = linked.select(*on, F.col("legacy_record_id").alias("_linked"))
+        m = legacy.join(new, on, "left").join(done, on, "left").withColumn("_done", F.col("_linked") == F.col("record_id")).drop("_linked")
+        # rows without a key, date or city have no such count
+        m = m.withColumn("_old", F.when(F.col("_new").isNotNull(), F.count("*").over(W.partitionBy(*on, F.when(F.col("_new").isNull(), F.col("record_id"))))))
+    else:
+        old = legacy.where(F.col(key).isNotNull()).groupBy(*on).agg(F.count("*").alias("_old"))
+        done = linked.select(F.col("legacy_record_id").alias("record_id")).distinct().withColumn("_done", F.lit(True))
+        m = legacy.join(new, on, "left").join(old, on, "left").join(done, "record_id", "left")
     reason = (
         F.when(F.col("_done"), "enriched").when(F.col(key).isNull(), "invalid_key").when(F.col("_new").isNull(), "no_key_and_date").when(F.col("_new") > 1, "new_key_ambiguous")
         .when(F.col("_old") > 1, "legacy_key_ambiguous").when(F.col("_p").isNull() | (F.col("_p") != 1), "share_not_full").otherwise("attributes_disagree")
@@ -239,12 +253,27 @@ def with_parcel(df: DataFrame) -> DataFrame:
 
 
 def repeat_candidate_summary(old: DataFrame, new: DataFrame, definitions: dict[str, list[str]] = DEFINITIONS) -> DataFrame:
-    """``(definition, candidate_rows, cities)`` of ``repeat_candidates`` under each definition."""
-    old, new, out = with_parcel(old), with_parcel(new), None
-    for name, key in definitions.items():
-        one = repeat_candidates(old, new, key).agg(F.lit(name).alias("definition"), F.count("*").alias("candidate_rows"), F.countDistinct("city").alias("cities"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """``(definition, candidate_rows, cities)`` of ``repeat_candidates`` under each definition.
+
+    Rows are shuffled once by what all definitions have in common: those that say the same under one of
+    them then lie together, and are counted there. A code tells its parcel, so it stands for both.
+    """
+    wide = [{*key, *(["_place"] if {"gush_code", "parcel"} & {*key} else [])} for key in definitions.values()]
+    common = sorted(set.intersection(*wide))
+    columns = sorted({c for key in definitions.values() for c in key} | {"city", "deal_date"})
+    side = lambda df, is_new: with_parcel(df).withColumn("_place", F.coalesce("parcel", "gush_code")).select(*columns, "_place", F.lit(is_new).alias("_new"))
+    both = side(old, False).unionByName(side(new, True))
+    out = both.repartition(*common) if common else both
+    for i, key in enumerate(definitions.values()):
+        full = F.lit(True)
+        for c in key:
+            full &= F.col(c).isNotNull()
+        known, group = F.count_if(~F.col("_new")), [*common, *[c for c in key if c not in common]]
+        there, day = known.over(W.partitionBy(*group)) > 0, (known.over(W.partitionBy(*group, "deal_date")) > 0) & F.col("deal_date").isNotNull()
+        out = out.withColumn(f"_c{i}", F.col("_new") & full & there & ~day)
+    sums = out.groupBy("city").agg(*[F.count_if(f"_c{i}").alias(f"_c{i}") for i in range(len(definitions))])
+    one = lambda i, name: F.struct(F.lit(name).alias("definition"), F.coalesce(F.sum(f"_c{i}"), F.lit(0)).alias("candidate_rows"), F.count_if((F.col(f"_c{i}") > 0) & F.col("city").isNotNull()).alias("cities"))
+    return sums.agg(F.array(*[one(i, name) for i, name in enumerate(definitions)]).alias("r")).select(F.inline("r"))
 
 
 def multi_date_groups(df: DataFrame, definitions: dict[str, list[str]] = DEFINITIONS) -> DataFrame:
